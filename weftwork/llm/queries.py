@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
 from weftwork.session import table
 
@@ -22,3 +23,31 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 3, 1, 2, ... of their sources, 150% of all words."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_mix_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 9) AS h,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+r AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0::DOUBLE)) AS rate
+      FROM w WINDOW b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, min(CASE WHEN w * rate <= cap THEN rate END) OVER () AS lam FROM r),
+aim AS (SELECT source, source_size, CASE WHEN lam IS NULL OR w * lam > cap THEN cap ELSE w * lam END AS target FROM t),
+plan AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS base FROM aim),
+g AS (SELECT d.source, h, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY d.source, h),
+c AS (SELECT g.*, plan.target - plan.base * plan.source_size AS budget, CAST(sum(n) OVER (PARTITION BY g.source ORDER BY h) AS BIGINT) AS up_to
+      FROM g JOIN plan ON g.source IS NOT DISTINCT FROM plan.source),
+k AS (SELECT source, h, up_to <= budget OR (up_to - n <= budget AND up_to - budget < budget - (up_to - n)) AS more FROM c)
+SELECT d.doc_id, d.size, plan.source_size, plan.target,
+       CAST(d.size * (plan.base + CASE WHEN k.more AND plan.target > plan.base * plan.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.h = d.h
+"""
