@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.session import materialize
+from weftwork.session import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
@@ -20,17 +20,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
     e = materialize(e, "cc-edges")
-    labels = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    e = e.where("a <> b")
+    # Loops give their node a label, but are no edges.
+    labels = materialize(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "cc-labels")
     for _ in range(most_rounds):
-        if e.isEmpty():
+        if e.where("a <> b").isEmpty():
+            discard(e)
             return labels
+        old, one = e, labels
         step = (
-            e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
+            e.where("a <> b").select("a", "b").union(e.select(F.col("b"), F.col("a")))
             .groupBy("a").agg(F.min("b").alias("low"))
             .select(F.col("a").alias("was"), F.least("a", "low").alias("goal"))
         )
-        step = materialize(step, "cc-step")
+        was = step = materialize(step, "cc-step")
         for _ in range(2):
             on = step.select(F.col("was").alias("goal"), F.col("goal").alias("end"))
             step = step.join(on, "goal", "left").select("was", F.coalesce("end", "goal").alias("goal"))
@@ -41,4 +43,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         right = step.select(F.col("was").alias("b"), F.col("goal").alias("nb"))
         e = e.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
         e = materialize(e.where("a <> b").distinct(), "cc-edges")
+        discard(old, one, was, step)
     raise RuntimeError(f"edges are left after {most_rounds} rounds")

@@ -26,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.components import components
 from weftwork.llm.textbatch import chunks, mix, set_id, shingle_sets
-from weftwork.session import materialize
+from weftwork.session import discard, materialize
 
 #: Shingles held by a task before it counts them.
 _HOLD = 4_000_000
+#: So many ids of texts to compare are sent to all tasks at most (8 MB); more are joined by a shuffle.
+_BROADCAST_IDS = 1_000_000
 
 
 def _names(width: int):
@@ -75,9 +77,9 @@ def _overlap(n: int, num: int, den: int) -> int:
 
 
 def _keys(width: int, num: int, den: int, extend: int, combine_below: int, frequent: np.ndarray, rank: np.ndarray):
-    """Rows (key, node, n, f): f is the number of frequent tokens in the prefix."""
+    """Rows (key, node, n, f, rare): f is the number of frequent tokens in the prefix, rare tells whether the key is a rare token."""
 
-    def index(s: np.ndarray) -> tuple[np.ndarray, int]:
+    def index(s: np.ndarray) -> tuple[np.ndarray, int, int]:
         n = len(s)
         need = _overlap(n, num, den)
         p = min(n, n - need + min(extend, need))
@@ -87,7 +89,7 @@ def _keys(width: int, num: int, den: int, extend: int, combine_below: int, frequ
         keys = [s[~often][:p]]
         rest = p - len(keys[0])
         if rest <= 0:
-            return keys[0], 0
+            return keys[0], 0, len(keys[0])
         last = s[often][np.argsort(rank[at[often]], kind="stable")][:rest]
         with np.errstate(over="ignore"):
             if n <= combine_below * den // num + 1:
@@ -96,25 +98,26 @@ def _keys(width: int, num: int, den: int, extend: int, combine_below: int, frequ
                 keys.append(mix(low * np.uint64(0xE7037ED1A0B428DB) + high))
             if n >= combine_below * num // den or n < 2:
                 keys.append(mix(last + np.uint64(0x1D8E4E27C47D124F)))
-        return np.concatenate(keys), len(last)
+        return np.concatenate(keys), len(last), len(keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 done: set[int] = set()
-                keys, nodes, sizes, many, rows = [], [], [], [], []
+                keys, nodes, sizes, many, rows, rare = [], [], [], [], [], []
                 for s in shingle_sets(part.column("text"), width):
                     if len(s) and (node := set_id(s)) not in done:
                         done.add(node)
-                        k, f = index(s)
+                        k, f, r = index(s)
                         keys.append(k)
                         nodes.append(node)
                         sizes.append(len(s))
                         many.append(f)
                         rows.append(len(k))
+                        rare.append(np.arange(len(k)) < r)
                 if keys:
                     each = lambda x, t: pa.array(np.repeat(np.array(x, t), rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), each(nodes, np.int64), each(sizes, np.int32), each(many, np.int32)], ["key", "node", "n", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), each(nodes, np.int64), each(sizes, np.int32), each(many, np.int32), pa.array(np.concatenate(rare))], ["key", "node", "n", "f", "rare"])
 
     return run
 
@@ -134,11 +137,14 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, nu
     """Those of ``pairs(a, b)`` of nodes whose whole sets are linked."""
     names = reps.select("node", "rep")
     pairs = materialize(pairs.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b"), "ngram-pairs")
-    wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(wanted, "doc_id").select("doc_id", "text"), "ngram-texts")
+    wanted = materialize(pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ngram-wanted")
+    few = wanted.count() <= _BROADCAST_IDS
+    texts = materialize(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text"), "ngram-texts")
     full = pairs.join(texts.toDF("ra", "text_a"), "ra").join(texts.toDF("rb", "text_b"), "rb").select("a", "b", "text_a", "text_b")
     both = full.mapInArrow(_compare(width), "a long, b long, shared long, united long")
-    return both.where(f"{den} * shared >= {num} * united").select("a", "b")
+    out = materialize(both.where(f"{den} * shared >= {num} * united").select("a", "b"), "ngram-linked")
+    discard(pairs, wanted, texts)
+    return out
 
 
 def jaccard_components(
@@ -177,10 +183,17 @@ def jaccard_components(
     reps = materialize(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-nodes")
 
     run = _keys(width, num, den, extend, combine_below, frequent, rank)
-    entries = materialize(docs.select("doc_id", "text").mapInArrow(run, "key long, node long, n int, f int"), "ngram-index")
-    pivots = entries.groupBy("key").agg(F.min(F.struct("node", "n", "f")).alias("p"), F.max("node").alias("top")).where("p.node <> top")
-    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.f").alias("pf"))
-    shared = materialize(entries.join(pivots, "key").distinct(), "ngram-shared")
+    entries = materialize(docs.select("doc_id", "text").mapInArrow(run, "key long, node long, n int, f int, rare boolean"), "ngram-index")
+    # Few nodes have one rare token, so these keys are dealt out whole; other keys may have very many
+    # nodes: their smallest is found by a partial aggregate and joined back, which skew can't hurt.
+    lowest = F.struct("node", "n", "f")
+    of_key = Window.partitionBy("key")
+    rare = entries.where("rare").select("key", "node", "n", "f", F.min(lowest).over(of_key).alias("p"), F.max("node").over(of_key).alias("top"))
+    often = entries.where("not rare").select("key", "node", "n", "f")
+    often = often.join(often.groupBy("key").agg(F.min(lowest).alias("p"), F.max("node").alias("top")).where("p.node <> top"), "key")
+    shared = rare.where("p.node <> top").unionByName(often).select("key", "node", "n", "f", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.f").alias("pf"))
+    shared = materialize(shared.dropDuplicates(["key", "node"]), "ngram-shared")
+    discard(entries)
 
     like = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
     demand = f"least(least({extend}, ceil(na * {num} / {den})), least({extend}, ceil(nb * {num} / {den}))) - least(fa, fb)"
@@ -190,7 +203,7 @@ def jaccard_components(
         .select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pf").alias("fa"), F.col("f").alias("fb"))
         .where(like).groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.count("*").alias("c")).where(enough).select("a", "b")
     )
-    first = materialize(_verified(docs, reps, star, width, num, den), "ngram-star")
+    first = _verified(docs, reps, star, width, num, den)
     label = components(first)
 
     placed = shared.select("key", "node", "n", "f").join(label.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -207,7 +220,8 @@ def jaccard_components(
         .select("a", "b", F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"), F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
         .groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.count("*").alias("c")).where(enough).select("a", "b")
     )
-    second = materialize(_verified(docs, reps, rest.join(first, ["a", "b"], "left_anti"), width, num, den), "ngram-rest")
+    second = _verified(docs, reps, rest.join(first, ["a", "b"], "left_anti"), width, num, den)
+    discard(shared, placed)
 
     names = reps.select("node", "rep")
     linked = first.union(second)

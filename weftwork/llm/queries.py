@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftwork.llm.decontaminate import contaminated
 from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
 from weftwork.session import table
@@ -51,3 +52,9 @@ SELECT d.doc_id, d.size, plan.source_size, plan.target,
        CAST(d.size * (plan.base + CASE WHEN k.more AND plan.target > plan.base * plan.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.h = d.h
 """
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all benchmark items."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
