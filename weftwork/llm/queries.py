@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm.decontaminate import contaminated
+from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
 from weftwork.session import table
@@ -58,3 +59,15 @@ FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source JOIN k ON k.source
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of all documents with all benchmark items."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of all documents; a document's source takes the place of a host."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of all pages, with the declared markup language, the address suffix and the host."""
+    return identify(page_evidence(table(spark, sf_dir, "pages")), "page_id", host="host", suffix="suffix", declared="declared")
