@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,18 @@ def session(master: str = "local[*]", app: str = "weftwork", **conf) -> SparkSes
     return spark
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on import this package from where the driver has it."""
+    home = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, environment.get("PYTHONPATH")]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder; only Spark's reader opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once, its lineage is cut,
     and it survives the loss of any executor. ``by`` partitions the files by columns."""
-    spark = df.sparkSession
+    spark = reach(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
