@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm.decontaminate import contaminated
+from weftwork.llm import token_store
 from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
+from weftwork.llm.tokens import public_file
+from weftwork.llm.vector_join import vector_links
 from weftwork.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +74,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of all pages, with the declared markup language, the address suffix and the host."""
     return identify(page_evidence(table(spark, sf_dir, "pages")), "page_id", host="host", suffix="suffix", declared="declared")
+
+
+#: The tokenizer file of the queries and the id that ends a document.
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+
+
+@query
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written as token-id files and read back: where each starts, its length and checksum."""
+    return token_store.digest(spark, token_store.write(table(spark, sf_dir, "documents"), public_file(TOKENIZER), END_ID))
+
+
+@query
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.95 or more."""
+    return vector_links(table(spark, sf_dir, "embeddings"))
