@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm.decontaminate import contaminated
 from weftwork.llm import token_store
+from weftwork.llm.html_wrappers import extract
 from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
@@ -90,3 +91,9 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings with a cosine of 0.95 or more."""
     return vector_links(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract(table(spark, sf_dir, "pages"))
