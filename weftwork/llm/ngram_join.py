@@ -34,7 +34,7 @@ from weftwork.llm.textbatch import chunks, mix, set_id, shingle_sets
 from weftwork.session import discard, materialize
 
 #: Shingles held by a task before it counts them.
-_HOLD = 4_000_000
+_HOLD = 2_000_000
 #: So many ids of texts to compare are sent to all tasks at most (8 MB); more are joined by a shuffle.
 _BROADCAST_IDS = 1_000_000
 
@@ -152,7 +152,7 @@ def jaccard_components(
     width: int = 5,
     num: int = 4,
     den: int = 5,
-    extend: int = 12,
+    extend: int = 16,
     combine_below: int = 300,
     frequent_from: int = 64,
     frequent_most: int = 1 << 18,
@@ -206,22 +206,23 @@ def jaccard_components(
     first = _verified(docs, reps, star, width, num, den)
     label = components(first)
 
+    # Keys whose nodes are all in one component by now have nothing more to say.
     placed = shared.select("key", "node", "n", "f").join(label.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(placed, "ngram-placed")
-    groups = placed.select("key", "comp").distinct()
-    mixed = groups.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    groups = groups.join(mixed, "key")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    open_ = materialize(placed.join(mixed, "key"), "ngram-open")
+    discard(shared, placed)
+    groups = open_.select("key", "comp").distinct()
     across = groups.select("key", F.col("comp").alias("ca")).join(groups.select("key", F.col("comp").alias("cb")), "key").where("ca < cb")
-    left = placed.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"))
-    right = placed.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"))
+    left = open_.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"))
+    right = open_.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"))
     rest = (
         across.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(like)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "fa", "fb")
-        .select("a", "b", F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"), F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
-        .groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.count("*").alias("c")).where(enough).select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"), F.least("fa", "fb").alias("f"))
+        .groupBy("a", "b", "na", "nb", "f").agg(F.count("*").alias("c")).withColumns({"fa": F.col("f"), "fb": F.col("f")}).where(enough).select("a", "b")
     )
     second = _verified(docs, reps, rest.join(first, ["a", "b"], "left_anti"), width, num, den)
-    discard(shared, placed)
+    discard(open_)
 
     names = reps.select("node", "rep")
     linked = first.union(second)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled alone, and whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _M = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
