@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch of rows for a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def session(master: str = "local[*]", app: str = "weftwork", **conf) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow on; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.master(master).appName(app)
@@ -29,11 +33,13 @@ def session(master: str = "local[*]", app: str = "weftwork", **conf) -> SparkSes
 
 
 def reach(spark: SparkSession) -> SparkSession:
-    """Let Python workers that start from now on import this package from where the driver has it."""
+    """Let Python workers that start from now on import this package from where the driver has it,
+    and get their rows in batches that leave a small worker room."""
     home = str(Path(__file__).resolve().parents[1])
     environment = spark.sparkContext.environment
     if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, environment.get("PYTHONPATH")]))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
