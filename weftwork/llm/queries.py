@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm.decontaminate import contaminated
 from weftwork.llm import token_store
+from weftwork.llm.attribution import section_tokens
 from weftwork.llm.html_wrappers import extract
 from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
+from weftwork.llm.pseudonyms import pseudonymize
 from weftwork.llm.tokens import public_file
 from weftwork.llm.vector_join import vector_links
 from weftwork.session import table
@@ -97,3 +99,19 @@ def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: Of the queries only: real data needs a key of its own, that is kept secret.
+DEMO_KEY = b"weftwork demonstration key"
+
+
+@query
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with format-preserving pseudonyms for personal data."""
+    return pseudonymize(table(spark, sf_dir, "documents"), DEMO_KEY).select("doc_id", "text", "n_found")
+
+
+@query
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all documents, from one encoding of each whole document."""
+    return section_tokens(table(spark, sf_dir, "documents"), public_file(TOKENIZER))

@@ -14,7 +14,11 @@ import os
 import numpy as np
 
 #: Pieces kept by a worker; beyond, it starts anew.
-KEEP = 500_000
+KEEP = 600_000
+
+#: The value of pieces whose texts go to the library whole; others have four bytes for each token.
+_ODD = b"odd"
+_MARKS = ".,;:!?\n"
 
 _loaded: dict[tuple, Encoder] = {}
 
@@ -45,51 +49,99 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.offsets = offsets
-        self.inner: dict[str, bytes | None] = {}
-        self.leading: dict[str, bytes | None] = {}
+        self.inner: dict[str, bytes] = {}
+        self.leading: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._direct(list(_MARKS)), strict=True))
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         if self.offsets:
             return [np.array([a for a, _ in e.offsets], "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str], known: dict[str, bytes | None], before: str) -> None:
-        """Encode pieces that aren't known yet; those that touch other white space get None."""
-        plain, ends = [], []
-        for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace():
-                known[p] = None
-            elif not self.offsets and len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2] < "ɐ":
-                ends.append(p)
-            else:
-                plain.append(p)
-        bases = {p[:-1] for p in ends if p[:-1] not in known} - set(plain)
-        todo = [*plain, *bases]
-        for at in range(0, len(todo), 20_000):
-            some = todo[at : at + 20_000]
-            known.update(zip(some, self._direct([before + p for p in some]), strict=True))
-        if ends:
-            mark = {c: x for c, x in zip(".,;:!?", self._direct(list(".,;:!?")), strict=True)}
-            for p in ends:
-                base = known[p[:-1]]
-                known[p] = None if base is None else base + mark[p[-1]]
+    def _learn(self, inner: set[str], leading: set[str]) -> None:
+        """Encode pieces that aren't known yet. Those that touch other white space are marked as odd.
+
+        A mark of punctuation that ends a piece after a letter, and a line feed between two
+        characters that aren't white space, are pre-tokens of their own, so that the parts of such
+        a piece are encoded in its place.
+        """
+        plan: list[tuple[dict, str, list]] = []
+        for known, pieces in ((self.inner, inner), (self.leading, leading)):
+            for p in pieces:
+                if p in known:
+                    continue
+                if not p or p[0].isspace() or p[-1].isspace():
+                    known[p] = _ODD
+                    continue
+                parts: list[tuple[dict | None, str]] = []
+                lines = p.split("\n")
+                if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                    lines = [p]
+                for k, x in enumerate(lines):
+                    if k:
+                        parts.append((None, "\n"))
+                    of = known if not k else self.leading
+                    if len(x) > 1 and x[-1] in _MARKS and x[-2].isalpha() and x[-2] < "ɐ":
+                        parts += [(of, x[:-1]), (None, x[-1])]
+                    else:
+                        parts.append((of, x))
+                plan.append((known, p, parts))
+        for known, before in ((self.inner, " "), (self.leading, "")):
+            todo = list({x for _, _, parts in plan for of, x in parts if of is known and x not in known})
+            for at in range(0, len(todo), 20_000):
+                some = todo[at : at + 20_000]
+                known.update(zip(some, self._direct([before + x for x in some]), strict=True))
+        for known, p, parts in plan:
+            if p not in known:
+                known[p] = self._joined(parts)
+
+    def _joined(self, parts: list[tuple[dict | None, str]]) -> bytes:
+        values = [self.marks[x] if of is None else of[x] for of, x in parts]
+        if not self.offsets:
+            return b"".join(values)
+        out, at = [], 0
+        for (of, x), v in zip(parts, values, strict=True):
+            out.append(np.frombuffer(v, "<u4") + np.uint32(at))
+            at += len(x) + (of is self.inner)
+        return np.concatenate(out).astype("<u4").tobytes()
 
     def pieces(self, texts: list[str]) -> list[tuple[list[str], list[bytes] | None]]:
         """For each text its pieces and their values, or None in place of these if it must go whole."""
         if len(self.inner) + len(self.leading) > KEEP:
-            self.inner, self.leading = {}, {}
+            self.inner.clear()
+            self.leading.clear()
         cut = [t.split(" ") for t in texts]
+        inner, leading = self.inner.get, self.leading.get
+        found = [list(map(inner, c)) for c in cut]
         new: set[str] = set()
-        for c in cut:
-            new.update(c[1:])
-        self._learn(new - self.inner.keys(), self.inner, " ")
-        self._learn({c[0] for c in cut} - self.leading.keys(), self.leading, "")
-        out = []
-        get = self.inner.__getitem__
-        for t, c in zip(texts, cut, strict=True):
-            first = self.leading[c[0]] if t else b""
-            found = [first, *map(get, c[1:])]
-            out.append((c, None if None in found else found))
+        first: set[str] = set()
+        for c, f in zip(cut, found, strict=True):
+            f[0] = leading(c[0]) if len(c) > 1 or c[0] else b""
+            if f[0] is None:
+                first.add(c[0])
+            if None in f:
+                i = 0
+                while True:
+                    try:
+                        i = f.index(None, i + 1)
+                    except ValueError:
+                        break
+                    new.add(c[i])
+        if new or first:
+            self._learn(new, first)
+        out: list[tuple[list[str], list[bytes] | None]] = []
+        for c, f in zip(cut, found, strict=True):
+            if f[0] is None:
+                f[0] = leading(c[0])
+            if None in f:
+                i = 0
+                while True:
+                    try:
+                        i = f.index(None, i + 1)
+                    except ValueError:
+                        break
+                    f[i] = inner(c[i])
+            out.append((c, None if _ODD in f else f))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
