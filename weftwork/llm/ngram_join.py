@@ -8,9 +8,9 @@ Any order and any classes give the same result; they decide only how much is com
 
 Prefixes. For a similarity of t and a set of n tokens, linked sets share at least ceil(t n) tokens,
 and so at least l of their first n - ceil(t n) + l ones. The prefix is extended by
-l = min(extend, ceil(t n)). Rare tokens of the prefix are indexed singly, frequent ones as
-k-combinations (k = 2) of one another: two prefixes that share l >= 2 tokens share a rare one or a
-combination. Sets above ``combine_below`` tokens index their frequent tokens singly, and sets about
+l = min(extend, ceil(t n)). Rare tokens of the prefix are indexed singly. Linked sets that share
+none of these share at least two frequent tokens of their prefixes for l = 2, which are indexed as
+k-combinations (k = 2) of one another. Sets above ``combine_below`` tokens index their frequent tokens singly, and sets about
 that size do both, so that any two of similar size meet.
 
 Candidates. Two nodes are compared if they share as many index keys as the prefixes demand. So that
@@ -87,10 +87,10 @@ def _keys(width: int, num: int, den: int, extend: int, combine_below: int, frequ
         at[at == len(frequent)] = 0
         often = frequent[at] == s if len(frequent) else np.zeros(n, bool)
         keys = [s[~often][:p]]
-        rest = p - len(keys[0])
-        if rest <= 0:
-            return keys[0], 0, len(keys[0])
-        last = s[often][np.argsort(rank[at[often]], kind="stable")][:rest]
+        rest, near = p - len(keys[0]), min(p, n - need + 2) - len(keys[0])
+        if near <= 0:
+            return keys[0], max(0, rest), len(keys[0])
+        last = s[often][np.argsort(rank[at[often]], kind="stable")][:near]
         with np.errstate(over="ignore"):
             if n <= combine_below * den // num + 1:
                 i, j = np.triu_indices(len(last), 1)
@@ -98,7 +98,7 @@ def _keys(width: int, num: int, den: int, extend: int, combine_below: int, frequ
                 keys.append(mix(low * np.uint64(0xE7037ED1A0B428DB) + high))
             if n >= combine_below * num // den or n < 2:
                 keys.append(mix(last + np.uint64(0x1D8E4E27C47D124F)))
-        return np.concatenate(keys), len(last), len(keys[0])
+        return np.concatenate(keys), rest, len(keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,43 +184,51 @@ def jaccard_components(
 
     run = _keys(width, num, den, extend, combine_below, frequent, rank)
     entries = materialize(docs.select("doc_id", "text").mapInArrow(run, "key long, node long, n int, f int, rare boolean"), "ngram-index")
+    # r: the rare tokens of the prefix. Of the nodes of a key the one with the fewest is in the middle.
+    need = f"ceil(n * {num} / {den})"
+    stored = entries
+    entries = entries.withColumn("r", F.expr(f"cast(n - {need} + least({extend}, {need}) - f as int)"))
     # Few nodes have one rare token, so these keys are dealt out whole; other keys may have very many
-    # nodes: their smallest is found by a partial aggregate and joined back, which skew can't hurt.
-    lowest = F.struct("node", "n", "f")
+    # nodes: the middle one is found by a partial aggregate and joined back, which skew can't hurt.
+    middle = [F.min(F.struct("r", "node", "n", "f")).alias("p"), F.min("node").alias("low"), F.max("node").alias("high")]
     of_key = Window.partitionBy("key")
-    rare = entries.where("rare").select("key", "node", "n", "f", F.min(lowest).over(of_key).alias("p"), F.max("node").over(of_key).alias("top"))
-    often = entries.where("not rare").select("key", "node", "n", "f")
-    often = often.join(often.groupBy("key").agg(F.min(lowest).alias("p"), F.max("node").alias("top")).where("p.node <> top"), "key")
-    shared = rare.where("p.node <> top").unionByName(often).select("key", "node", "n", "f", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.f").alias("pf"))
+    rare = entries.where("rare").select("key", "node", "n", "f", "r", "rare", *[c.over(of_key).alias(x) for c, x in ((F.min(F.struct("r", "node", "n", "f")), "p"), (F.min("node"), "low"), (F.max("node"), "high"))])
+    often = entries.where("not rare").select("key", "node", "n", "f", "r", "rare")
+    often = often.join(often.groupBy("key").agg(*middle).where("low <> high"), "key")
+    shared = rare.where("low <> high").unionByName(often).select("key", "node", "n", "f", "r", "rare", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.f").alias("pf"), F.col("p.r").alias("pr"))
     shared = materialize(shared.dropDuplicates(["key", "node"]), "ngram-shared")
-    discard(entries)
+    discard(stored)
 
     like = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
     demand = f"least(least({extend}, ceil(na * {num} / {den})), least({extend}, ceil(nb * {num} / {den}))) - least(fa, fb)"
-    enough = f"c >= greatest(1, {demand})"
-    star = (
-        shared.where("node <> pivot")
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pf").alias("fa"), F.col("f").alias("fb"))
-        .where(like).groupBy("a", "b", "na", "nb", "fa", "fb").agg(F.count("*").alias("c")).where(enough).select("a", "b")
-    )
-    first = _verified(docs, reps, star, width, num, den)
+    # If a prefix reaches the frequent class, all rare tokens of its set are in it: what the other has besides isn't shared.
+    most = "least(if(fb > 0, na - (ra - c), na), if(fa > 0, nb - (rb - c), nb))"
+    enough = f"(fa > 0 and fb > 0 and c = 0 or c >= greatest(1, {demand})) and {den} * {most} >= {num} * (na + nb - {most})"
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough of what their prefixes have; an order of ends that is the same for all keys."""
+        ends = pairs.select(*[F.when(F.col("a") < F.col("b"), F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(f"{x}a") for x in ("n", "f", "r")], *[F.when(F.col("a") < F.col("b"), F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"{x}b") for x in ("n", "f", "r")], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rare")
+        return ends.where(like).groupBy("a", "b", "na", "nb", "fa", "fb", "ra", "rb").agg(F.count_if("rare").alias("c")).where(enough).select("a", "b")
+
+    star = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pf").alias("fa"), F.col("f").alias("fb"), F.col("pr").alias("ra"), F.col("r").alias("rb"), "rare")
+    first = _verified(docs, reps, counted(star), width, num, den)
     label = components(first)
 
     # Keys whose nodes are all in one component by now have nothing more to say.
-    placed = shared.select("key", "node", "n", "f").join(label.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = shared.select("key", "node", "n", "f", "r", "rare").join(label.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(placed, "ngram-placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     open_ = materialize(placed.join(mixed, "key"), "ngram-open")
     discard(shared, placed)
-    groups = open_.select("key", "comp").distinct()
-    across = groups.select("key", F.col("comp").alias("ca")).join(groups.select("key", F.col("comp").alias("cb")), "key").where("ca < cb")
-    left = open_.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"))
-    right = open_.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"))
-    rest = (
-        across.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(like)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"), F.least("fa", "fb").alias("f"))
-        .groupBy("a", "b", "na", "nb", "f").agg(F.count("*").alias("c")).withColumns({"fa": F.col("f"), "fb": F.col("f")}).where(enough).select("a", "b")
-    )
+    # Components of a key are paired unless no pair of their nodes can be linked: by a frequent key, which
+    # matters only to sets without a shared rare token, at most the frequent part of either is shared.
+    groups = open_.groupBy("key", "comp", "rare").agg(F.max(F.col("n") - F.when(F.col("rare"), 0).otherwise(F.col("r"))).alias("most"), F.min("n").alias("least"))
+    one, two = (groups.select("key", "rare", F.col("comp").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("least").alias(f"l{x}")) for x in "ab")
+    across = one.join(two, ["key", "rare"]).where(f"ca < cb and {den} * least(ma, mb) >= {num} * (la + lb - least(ma, mb))").select("key", "ca", "cb")
+    left = open_.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("r").alias("ra"), "rare")
+    right = open_.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("r").alias("rb"))
+    fit = f"rare or {den} * least(na - ra, nb - rb) >= {num} * (na + nb - least(na - ra, nb - rb))"
+    rest = counted(across.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(fit))
     second = _verified(docs, reps, rest.join(first, ["a", "b"], "left_anti"), width, num, den)
     discard(open_)
 

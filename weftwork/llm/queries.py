@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftwork.llm.decontaminate import contaminated
 from weftwork.llm import token_store
@@ -14,6 +15,7 @@ from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
 from weftwork.llm.ngram_join import jaccard_components
 from weftwork.llm.pseudonyms import pseudonymize
+from weftwork.llm.quality import fit, grade, rating
 from weftwork.llm.tokens import public_file
 from weftwork.llm.vector_join import vector_links
 from weftwork.session import table
@@ -115,3 +117,11 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of all documents, from one encoding of each whole document."""
     return section_tokens(table(spark, sf_dir, "documents"), public_file(TOKENIZER))
+
+
+@query
+def op1_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of all documents: 0 poor, 1 toxic, 2 good; those are kept that are good more likely than not."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("grade")), 3)
+    return grade(docs, model, good=2)
