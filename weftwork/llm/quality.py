@@ -132,31 +132,49 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 12, step: float = 0.3, decay: float = 1e-4, batch: int = 64) -> Model:
-    """Maximum likelihood by adaptive gradient steps over shuffled small batches. Thresholds stay in order."""
+def _telling(features: list[np.ndarray], grades: np.ndarray, n_grades: int, least: float) -> np.ndarray:
+    """Features whose chi-square over the grades is above ``least``: others would only add noise to long texts."""
+    n = np.array([np.count_nonzero(grades == k) for k in range(n_grades)], float)[:, None]
+    seen = np.array([np.bincount(np.concatenate([np.zeros(0, np.int64), *(f for f, g in zip(features, grades, strict=True) if g == k)]).astype(np.int64), minlength=1 << BITS) for k in range(n_grades)], float)
+    share = seen.sum(0) / len(grades)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = ((seen - n * share) ** 2 / (n * share) + (seen - n * share) ** 2 / (n * (1 - share))).sum(0)
+    return np.nan_to_num(chi, nan=0.0, posinf=0.0) > least
+
+
+def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 20, step: float = 0.1, decay: float = 1e-3, batch: int = 64, least: float = 100.0) -> Model:
+    """Maximum likelihood by adaptive gradient steps over shuffled small batches. Thresholds stay in order.
+
+    Texts with equal features count once. A feature's value falls with its frequency.
+    """
+    _, first = np.unique([f.tobytes() for f in features], return_index=True)
+    first.sort()
+    features, grades = [features[i] for i in first], grades[first]
+    telling = _telling(features, grades, n_grades, least)
+    features = [f[telling[f]] for f in features]
     rng = np.random.Generator(np.random.PCG64(7))
     w, gw = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
+    frequency = np.bincount(np.concatenate([np.zeros(0, np.int64), *features]).astype(np.int64), minlength=1 << BITS)
+    value = np.sqrt(np.minimum(1, len(grades) * 0.1 / np.maximum(frequency, 1))) * telling
     share = np.array([(np.count_nonzero(grades > k) + 1) / (len(grades) + 2) for k in range(n_grades - 1)])
-    t = np.log((1 - share) / share)
+    t = np.maximum.accumulate(np.log((1 - share) / share))
     gt = np.full(n_grades - 1, 1.0)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for _ in range(rounds):
         order = rng.permutation(len(grades))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            flat = np.concatenate([features[i] for i in rows])
-            sizes = np.array([len(features[i]) for i in rows])
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            score = np.bincount(owner, w[flat], len(rows))
+            flat = np.concatenate([features[i] for i in rows]).astype(np.int64)
+            owner = np.repeat(np.arange(len(rows)), [len(features[i]) for i in rows])
+            x = value[flat]
+            score = np.bincount(owner, w[flat] * x, len(rows))
             g = grades[rows]
             # P(g) = F(t_g - s) - F(t_(g-1) - s); slopes of its logarithm by both thresholds.
             up = np.where(g < n_grades - 1, sigmoid(np.append(t, 0)[np.minimum(g, n_grades - 2)] - score), 1.0)
             low = np.where(g > 0, sigmoid(t[np.maximum(g - 1, 0)] - score), 0.0)
             p = np.maximum(up - low, 1e-9)
             du, dl = up * (1 - up) / p, low * (1 - low) / p
-            slope = du - dl  # of -log P by the score
-            # Every document counts alike, however many features it has.
-            push = np.bincount(flat, (slope / np.sqrt(sizes))[owner], 1 << BITS)
+            push = np.bincount(flat, (du - dl)[owner] * x, 1 << BITS)
             used = np.unique(flat)
             push[used] += decay * w[used]
             gw[used] += push[used] ** 2
@@ -164,7 +182,7 @@ def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rou
             dt = np.bincount(np.minimum(g, n_grades - 2), -du * (g < n_grades - 1), n_grades - 1) + np.bincount(np.maximum(g - 1, 0), dl * (g > 0), n_grades - 1)
             gt += dt**2
             t = np.maximum.accumulate(t - step * dt / np.sqrt(gt))
-    return Model(w, t)
+    return Model(w * value, t)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> Model:
