@@ -147,8 +147,7 @@ def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rou
 
     Texts with equal features count once. A feature's value falls with its frequency.
     """
-    _, first = np.unique([f.tobytes() for f in features], return_index=True)
-    first.sort()
+    first = list({f.tobytes(): i for i, f in reversed(list(enumerate(features)))}.values())[::-1]
     features, grades = [features[i] for i in first], grades[first]
     telling = _telling(features, grades, n_grades, least)
     features = [f[telling[f]] for f in features]
