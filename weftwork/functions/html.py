@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BREAKS = frozenset(("br", "p", "li", "pre"))
 _SILENT = frozenset(("script", "style", "template"))
@@ -86,18 +87,18 @@ def page_text(html: str | None) -> tuple[str | None, str]:
     return "".join(p.title).strip() or None, "\n".join(lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     """Text of a fragment; references are decoded twice, as sources escape them once more. Null is empty."""
     return html.map(flat_text)
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
 def extract_text(html: pd.Series) -> pd.DataFrame:
     """(title, text) of a page without its navigation, forms and scripts; non-blank lines, trimmed."""
     return pd.DataFrame([page_text(h) for h in html], columns=["title", "text"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _unescape(t))

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, although it may be used at every element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapsed(text: Column) -> Column:
     """Runs of white space become one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(text, WHITE, " "))
@@ -104,20 +109,21 @@ def locate(body: Column, span: Column) -> Column:
 def excerpt(body: Column, span: Column, n_words: int = 60) -> Column:
     """``n_words`` words of a body around a span's middle, with marks where words are left out; null if the span isn't there."""
     at = locate(body, span)
-    words = F.split(collapsed(body), " ")
-    before = F.size(tokens(F.substr(collapsed(body), F.lit(1), at)))
-    span_words = word_count(span)
-    total = F.size(words)
-    first = F.greatest(F.lit(0), F.least(before + F.floor(span_words / 2).cast("int") - n_words // 2, total - n_words))
-    cut = F.array_join(F.slice(words, first + 1, F.lit(n_words)), " ")
-    return F.when(at.isNotNull(), F.concat(F.when(first > 0, F.lit("… ")).otherwise(""), cut, F.when(first + n_words < total, F.lit(" …")).otherwise("")))
+
+    def cut(words: Column) -> Column:
+        before = F.size(tokens(F.substr(collapsed(body), F.lit(1), at)))
+        total = F.size(words)
+        first = F.greatest(F.lit(0), F.least(before + F.floor(word_count(span) / 2).cast("int") - n_words // 2, total - n_words))
+        text = F.array_join(F.slice(words, first + 1, F.lit(n_words)), " ")
+        return F.concat(F.when(first > 0, F.lit("… ")).otherwise(""), text, F.when(first + n_words < total, F.lit(" …")).otherwise(""))
+
+    return F.when(at.isNotNull(), let(F.split(collapsed(body), " "), cut))
 
 
 def shingles(text: Column, n: int = 3, pattern: str = r"(?U)\b\w\w+\b") -> Column:
     """All ``n``-word shingles, repeats included, of the lower-cased words of two characters or more."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))
-    some = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-    return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))
+    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
 def ratio(a: Column, b: Column, places: int | None = None) -> Column:
