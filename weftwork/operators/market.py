@@ -47,7 +47,7 @@ def segments(params: DataFrame) -> DataFrame:
     s = s.crossJoin(frame(REGIONS, "region string, r_share double"))
     growth = (F.col("w_cagr") + F.col("d_cagr")) / 2
     size = F.col("firms") * F.col("adoption") * F.col("spend") * F.col("w_share") * F.col("d_share") * F.col("r_share")
-    years = [F.round(size * F.pow(1 + growth, F.lit(float(n))), 2).alias(f"size_{2025 + n}") for n in range(6)]
+    years = [F.round(size * F.round(F.pow(1 + growth, F.lit(float(n))), 12), 2).alias(f"size_{2025 + n}") for n in range(6)]
     return s.select(*by, "workload", "deployment", "tier", "region", *years, F.round(growth, 4).alias("cagr"))
 
 

@@ -545,7 +545,7 @@ _DIMENSIONS = (
 )
 _SEGMENTS = f"""WITH {_DIMENSIONS}, x AS (SELECT workload, deployment, tier, region, f.value * a.value * s.value * ws.value * ds.value * r.share AS size, (cw.value + cd.value) / 2 AS g FROM w, d, t, r, p f, p a, p s, p ws, p ds, p cw, p cd
  WHERE f.key = 'firms_' || t AND a.key = 'adoption_' || t AND s.key = 'spend_' || t AND ws.key = 'share_' || w AND ds.key = 'deploy_' || d AND cw.key = 'cagr_' || w AND cd.key = 'cagr_deploy_' || d),
- seg AS (SELECT workload, deployment, tier, region, {", ".join(f"round((size * pow(1 + g, {n}))::DECIMAL(30, 9), 2)::DOUBLE AS size_{2025 + n}" for n in range(6))}, round(g, 4) AS cagr FROM x)"""
+ seg AS (SELECT workload, deployment, tier, region, {", ".join(f"round(size * round(pow(1 + g, {n}), 12), 2) AS size_{2025 + n}" for n in range(6))}, round(g, 4) AS cagr FROM x)"""
 
 
 @query(_SEGMENTS + " SELECT * FROM seg")
