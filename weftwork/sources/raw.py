@@ -32,8 +32,8 @@ def write_jsonl(items: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, tag: str | None = None) -> DataFrame:
-    """A CSV file, or a glob of them; blanks stay empty strings, and ``tag`` names a column for the file's name."""
-    df = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\x00")
+    """A CSV file, or a glob of them; blank strings stay empty, not null, and ``tag`` names a column for the file's name."""
+    df = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, emptyValue="").na.fill("")
     return df if tag is None else df.withColumn(tag, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
