@@ -191,26 +191,18 @@ def _words(symbol: str) -> tuple[str, frozenset]:
 
 
 class Wrapper:
-    """A wrapper made ready for pages."""
+    """A wrapper made ready for pages with a main part, or for those without one."""
 
-    def __init__(self, nodes: list[Node]) -> None:
+    def __init__(self, nodes: list[Node], has_main: bool) -> None:
         self.codes: dict[str, str] = {}
         self.stack: list[str] = []
-        self.has_main = self._main_somewhere(nodes)
+        self.has_main = has_main
         self.nodes = self._prepare(nodes)
+        self.symbols = {c: s for s, c in self.codes.items()}
         self.cache: dict[int, re.Pattern] = {}
 
-    def _main_somewhere(self, nodes: list[Node]) -> bool:
-        for n in nodes:
-            if isinstance(n, tuple):
-                if self._main_somewhere(n[1]):
-                    return True
-            elif n != SLOT and self._is_main(n):
-                return True
-        return False
-
     @staticmethod
-    def _is_main(symbol: str) -> bool:
+    def is_main(symbol: str) -> bool:
         name, words = _words(symbol)
         return name in MAIN or bool(words & MAIN_WORDS) and not words & OUTSIDE_WORDS
 
@@ -223,7 +215,7 @@ class Wrapper:
                 continue  # the heading of an article
             if name in OUTSIDE or words & OUTSIDE_WORDS:
                 return False
-            inside = inside or self._is_main(symbol)
+            inside = inside or self.is_main(symbol)
         return inside
 
     def _prepare(self, nodes) -> list:
@@ -232,19 +224,23 @@ class Wrapper:
             if isinstance(n, tuple):
                 out.append((n[0], self._prepare(n[1])))
             elif n == SLOT:
-                out.append((SLOT, self._wanted()))
+                out.append((SLOT, None))
             else:
                 out.append(("=", self.codes.setdefault(n, chr(0x4E00 + len(self.codes)))))
-                if n[0] == "/":
-                    if any(_words(s)[0] == n[1:] for s in self.stack):
-                        while _words(self.stack.pop())[0] != n[1:]:
-                            pass
-                else:
-                    if _words(n)[0] in _OPEN_ENDED and self.stack and _words(self.stack[-1])[0] == _words(n)[0]:
-                        self.stack.pop()
-                    self.stack.append(n)
         return out
 
+    def _enter(self, symbol: str) -> None:
+        """An element opens or closes; optional elements that a page doesn't have never do."""
+        if symbol[0] == "/":
+            if any(_words(s)[0] == symbol[1:] for s in self.stack):
+                while _words(self.stack.pop())[0] != symbol[1:]:
+                    pass
+            return
+        name = _words(symbol)[0]
+        if name in _OPEN_ENDED and self.stack and _words(self.stack[-1])[0] == name:
+            self.stack.pop()
+        self.stack.append(symbol)
+
     def _pattern(self, nodes: list) -> str:
         return "".join(SLOT if k == SLOT else x if k == "=" else f"(?:{self._pattern(x)}){k}" for k, x in nodes)
 
@@ -258,7 +254,9 @@ class Wrapper:
         for i, (kind, x) in enumerate(nodes, 1):
             a, b = m.span(i)
             if kind == SLOT:
-                wanted[code_index(code, a) + at] = x
+                wanted[code_index(code, a) + at] = self._wanted()
+            elif kind == "=":
+                self._enter(self.symbols[x])
             elif kind in "?+" and b > a:
                 one = re.compile(self._pattern(x)) if (id(x), 1) not in self.cache else self.cache[id(x), 1]
                 self.cache[id(x), 1] = one
@@ -276,6 +274,7 @@ class Wrapper:
         except KeyError:
             return None
         wanted = [False] * symbols.count(SLOT)
+        self.stack = []
         return wanted if self._take(self.nodes, code, 0, wanted) else None
 
 
@@ -296,16 +295,17 @@ def parse(text: str) -> list[Node]:
 
 
 @lru_cache(maxsize=512)
-def _wrapper(text: str) -> Wrapper:
-    return Wrapper(parse(text))
+def _wrapper(text: str, has_main: bool) -> Wrapper:
+    return Wrapper(parse(text), has_main)
 
 
 def main_text(page: str, wrapper: str | None) -> str:
     """The blocks of main text of a page, by its host's wrapper, or by the page's own if that doesn't accept it."""
     symbols, texts = stream(page)
-    wanted = _wrapper(wrapper).slots(symbols) if wrapper else None
+    has_main = any(s != SLOT and s[0] != "/" and Wrapper.is_main(s) for s in symbols)
+    wanted = _wrapper(wrapper, has_main).slots(symbols) if wrapper else None
     if wanted is None:
-        wanted = Wrapper(fold(list(symbols))).slots(symbols)
+        wanted = Wrapper(fold(list(symbols)), has_main).slots(symbols)
     return "\n".join(t for t, w in zip(texts, wanted or [], strict=False) if w)
 
 

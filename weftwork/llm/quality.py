@@ -142,14 +142,14 @@ def _telling(features: list[np.ndarray], grades: np.ndarray, n_grades: int, leas
     return np.nan_to_num(chi, nan=0.0, posinf=0.0) > least
 
 
-def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 20, step: float = 0.1, decay: float = 1e-3, batch: int = 64, least: float = 100.0) -> Model:
+def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 20, step: float = 0.1, decay: float = 1e-3, batch: int = 64) -> Model:
     """Maximum likelihood by adaptive gradient steps over shuffled small batches. Thresholds stay in order.
 
     Texts with equal features count once. A feature's value falls with its frequency.
     """
     first = list({f.tobytes(): i for i, f in reversed(list(enumerate(features)))}.values())[::-1]
     features, grades = [features[i] for i in first], grades[first]
-    telling = _telling(features, grades, n_grades, least)
+    telling = _telling(features, grades, n_grades, max(15.0, len(grades) / 80))
     features = [f[telling[f]] for f in features]
     rng = np.random.Generator(np.random.PCG64(7))
     w, gw = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
