@@ -199,12 +199,12 @@ def test_quality(spark):
     rng = random.Random(2)
     good, bad = [f"fine{i}" for i in range(200)], ["awful", "nasty"]
     text = lambda g: " ".join(rng.choice(good) for _ in range(40)) + (f" {rng.choice(bad)}" if g == 1 else "") if g else "!!! ### " * 20 + rng.choice(good)
-    rows = [(i, text(g), g) for i, g in enumerate([0, 1, 2] * 150)]
-    d = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows] + [(None, "x", 0.0), (999, None, 0.0), (998, "", 0.0)], "doc_id long, text string, kept double")
-    ratings = spark.createDataFrame([(i, g) for i, _, g in rows if i < 300] + [(None, 1), (5, None)], "doc_id long, grade int")
+    rows = [(i, text(g), g) for i, g in enumerate([0, 1, 2] * 300)]
+    d = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows] + [(None, "x", 0.0), (9999, None, 0.0), (9998, "", 0.0)], "doc_id long, text string, kept double")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows if i < 600] + [(None, 1), (5, None)], "doc_id long, grade int")
     m = quality.fit(d, ratings, 3)
     got = {r.doc_id: r for r in quality.grade(d, m, 2).collect()}
-    held = [(got[i], g) for i, _, g in rows if i >= 300]
+    held = [(got[i], g) for i, _, g in rows if i >= 600]
     assert np.mean([r.kept == (g == 2) for r, g in held]) > 0.95 and m.thresholds[0] <= m.thresholds[1]
     mean = [np.mean([r.expected_grade for r, g in held if g == k]) for k in range(3)]
     assert mean[0] < mean[1] < mean[2] and len(got) == len(rows) + 3

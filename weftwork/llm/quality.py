@@ -22,6 +22,8 @@ BITS = 18
 STEM = 5
 #: Rated documents that the model is fitted on, at most: those with the lowest hashes of their ids.
 SAMPLE = 8_000
+#: Steps of the fit, at least.
+STEPS = 1_500
 
 
 _KINDS = np.zeros((4, 256), bool)
@@ -145,7 +147,8 @@ def _telling(features: list[np.ndarray], grades: np.ndarray, n_grades: int, leas
 def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 20, step: float = 0.1, decay: float = 1e-3, batch: int = 64) -> Model:
     """Maximum likelihood by adaptive gradient steps over shuffled small batches. Thresholds stay in order.
 
-    Texts with equal features count once. A feature's value falls with its frequency.
+    Texts with equal features count once. A feature's value falls with its frequency. Small samples
+    get more rounds, ``STEPS`` steps at least.
     """
     first = list({f.tobytes(): i for i, f in reversed(list(enumerate(features)))}.values())[::-1]
     features, grades = [features[i] for i in first], grades[first]
@@ -159,7 +162,7 @@ def fit_model(features: list[np.ndarray], grades: np.ndarray, n_grades: int, rou
     t = np.maximum.accumulate(np.log((1 - share) / share))
     gt = np.full(n_grades - 1, 1.0)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-STEPS * batch // max(1, len(grades))))):
         order = rng.permutation(len(grades))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
