@@ -66,7 +66,7 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-# url, title, body, author, posted_at, score, n_comments of each source; {} for kinds that differ.
+# What a document takes from each source's payload.
 MAPPERS: dict[str, Callable[[], dict[str, Column]]] = {
     "reddit": lambda: {
         "url": _get("permalink"), "title": F.when(F.col("kind") == "submission", _get("title")),
