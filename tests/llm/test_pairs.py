@@ -126,6 +126,26 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in contaminated(d, t).collect()} == {(i, i) for i in range(6)}
 
 
+def test_decontamination_wherever_words_are_replaced(spark):
+    rng = random.Random(7)
+    items, docs = [], []
+    for n, replaced in [(13, 1), (13, 2), (15, 2), (15, 3), (20, 4), (25, 5), (41, 8)]:
+        for _ in range(40):
+            k = len(items)
+            item = [f"i{k}-{j}" for j in range(n)]
+            bad = rng.sample(range(n), replaced)
+            items.append((k, " ".join(item)))
+            docs.append((k, " ".join(["before"] * rng.randint(0, 3) + [f"x{j}" if j in bad else w for j, w in enumerate(item)] + ["after"] * rng.randint(0, 3))))
+    items += [(1000, " ".join(f"m{j}" for j in range(13))), (1001, " ".join(f"t{j}" for j in range(13)))]
+    docs += [(1000, " ".join(f"m{j}" if j not in (2, 6, 10) else "other" for j in range(13))), (1001, " ".join(f"t{j}" for j in range(12)))]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_equal) for r in contaminated(d, t).collect()}
+    want = {(k, k): (n, n - m) for i, (n, m) in enumerate([(13, 1), (13, 2), (15, 2), (15, 3), (20, 4), (25, 5), (41, 8)]) for k in range(40 * i, 40 * i + 40)}
+    assert got == want
+    with pytest.raises(ValueError, match="masks"):
+        contaminated(d, t, least=12)
+
+
 def vectors(n=900, dim=16):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(n, dim))

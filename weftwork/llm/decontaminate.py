@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask over ``SPAN`` tokens keeps some positions and ignores the others. The hashes of the kept
+A mask over some tokens keeps some positions and ignores the others. The hashes of the kept
 tokens at every position of the test items are joined with those of all documents, for each mask;
 a hit gives a diagonal on which item and document are laid over one another. Along the diagonal the
-stretch with the best sum of matches and mismatches is verified: it may hold substitutions, and it
-counts if it is long enough and equal enough.
+longest stretch that is equal enough is looked for: it may hold substitutions anywhere, and it
+counts if it is long enough. Every stretch of ``LEAST`` words or more, ``SHARE`` of them equal, has
+a hit, wherever its substitutions are.
 
 The join is a probe into a sorted array in each task, so documents are never shuffled. The array is
 bounded: a larger benchmark is cut into blocks of items, each of which is held against all rows.
@@ -13,6 +14,7 @@ bounded: a larger benchmark is cut into blocks of items, each of which is held a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -22,16 +24,17 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.textbatch import chunks, mix, words
 
-SPAN = 10
-#: 1: the token counts. With one substitution in every five tokens, some mask ignores both that a span holds.
-MASKS = ("1111111100", "1101111011", "1011110111", "0111101111", "1110111101", "1111011110")
+#: 1: the token counts. No row of 13 to 25 tokens with 80 % equal, so no longer one either, is without a hit.
+MASKS = ("1111111", "11101111", "111110011", "11010010111", "1100100010111", "1110101001001")
+#: The shortest and the least equal stretches that the masks are complete for.
+LEAST, SHARE = 13, 0.8
 #: Words of the items of a block; with all masks below 100 MB in a task.
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 22
 
 
 def _hashes(h: np.ndarray, mask: str) -> np.ndarray:
-    n = len(h) - SPAN + 1
+    n = len(h) - len(mask) + 1
     x = np.full(max(n, 0), np.uint64(int(mask, 2)))
     with np.errstate(over="ignore"):
         for j, bit in enumerate(mask):
@@ -48,11 +51,11 @@ class _Items:
         h, _, _, self.at = words(pa.array([r[1] for r in rows], pa.string()))
         self.words = h
         keys, places = [], []
-        room = np.zeros(len(h), bool)
-        for a, b in zip(self.at[:-1], self.at[1:], strict=True):
-            room[a : max(a, b - SPAN + 1)] = True
-        place = np.flatnonzero(room)
         for mask in MASKS:
+            room = np.zeros(len(h), bool)
+            for a, b in zip(self.at[:-1], self.at[1:], strict=True):
+                room[a : max(a, b - len(mask) + 1)] = True
+            place = np.flatnonzero(room)
             keys.append(_hashes(h, mask)[place] if len(place) else np.zeros(0, np.uint64))
             places.append(place)
         key, place = np.concatenate(keys), np.concatenate(places)
@@ -63,24 +66,26 @@ class _Items:
         self.item = np.searchsorted(self.at, np.arange(len(h)), "right") - 1
 
 
-def _best(same: np.ndarray, penalty: int) -> tuple[int, int]:
-    """The stretch with the largest sum of +1 for a match and -penalty for a mismatch; the first, longest one."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
-    low = np.minimum.accumulate(total)
-    gain = total - low
-    b = int(np.argmax(gain))
-    a = int(np.flatnonzero(total[: b + 1] == low[b])[0])
-    return a, b
+def _longest(same: np.ndarray, share: Fraction) -> tuple[int, int]:
+    """The longest stretch of which ``share`` is equal; of several the one with more equal words, then the first."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # The first place from which the sum up to each end isn't negative.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    length = np.arange(len(total)) - start
+    ends = np.flatnonzero(length == length.max())
+    b = int(ends[np.argmax(equal[ends] - equal[start[ends]])])
+    return int(start[b]), b
 
 
-def _search(items: _Items, least: int, share: float, penalty: int):
+def _search(items: _Items, least: int, share: Fraction):
     names = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 h, _, _, at = words(part.column("text"))
-                if len(h) < SPAN or not len(items.key):
+                if len(h) < least or not len(items.key):
                     continue
                 found = []
                 for mask in MASKS:
@@ -90,11 +95,9 @@ def _search(items: _Items, least: int, share: float, penalty: int):
                     n = hi - lo
                     where = np.repeat(maybe, n)
                     k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    found.append(np.stack([where, items.place[k]]))
-                where, place = np.concatenate(found, axis=1)
-                doc = np.searchsorted(at, where, "right") - 1
-                inside = where + SPAN <= at[doc + 1]
-                where, place, doc = where[inside], place[inside], doc[inside]
+                    doc = np.searchsorted(at, where, "right") - 1
+                    found.append(np.stack([where, items.place[k], doc])[:, where + len(mask) <= at[doc + 1]])
+                where, place, doc = np.concatenate(found, axis=1)
                 if not len(where):
                     continue
                 # One diagonal of a document and an item is verified once, whatever its hits.
@@ -104,10 +107,9 @@ def _search(items: _Items, least: int, share: float, penalty: int):
                     a, b = int(items.at[i]), int(items.at[i + 1])
                     lo, hi = max(a, int(at[d]) - shift), min(b, int(at[d + 1]) - shift)
                     same = h[lo + shift : hi + shift] == items.words[lo:hi]
-                    s, e = _best(same, penalty)
-                    equal = int(same[s:e].sum())
-                    if e - s >= least and equal >= share * (e - s):
-                        row = (e - s, equal, -(lo + s + shift - int(at[d])), -(lo + s - a))
+                    s, e = _longest(same, share)
+                    if e - s >= least:
+                        row = (e - s, int(same[s:e].sum()), -(lo + s + shift - int(at[d])), -(lo + s - a))
                         out[d, i] = max(out.get((d, i), row), row)
                 if out:
                     ids = part.column("doc_id")
@@ -117,19 +119,22 @@ def _search(items: _Items, least: int, share: float, penalty: int):
     return run
 
 
-def contaminated(docs: DataFrame, tests: DataFrame, least: int = 13, share: float = 0.8, penalty: int = 3) -> DataFrame:
+def contaminated(docs: DataFrame, tests: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``tests(item_id, text, ...)`` -> one row for each document and item
     that overlap: ``(doc_id, item_id, doc_word, item_word, n_words, n_equal)``.
 
     The overlap is the longest verified one: ``n_words`` words from the word ``doc_word`` of the
     document, laid over the item's from ``item_word``, of which ``n_equal`` are equal. It has
-    ``least`` words or more, of which a share of ``share`` or more are equal; so an item of fewer
-    words than ``least``, and an empty or null text, overlaps with nothing. Of equally long overlaps
+    ``least`` words or more, of which a share of ``share`` or more are equal, those at its ends or
+    not; so an item of fewer words than ``least``, and an empty or null text, overlaps with nothing.
+    Less than ``LEAST`` words or ``SHARE`` is refused, as hits would be missing. Of equally long overlaps
     the one with more equal words counts, and then the first. Repeated documents give repeated rows;
     repeated items count once for each id and text. Rows without id keep a null in the pair. Extra
     columns don't matter; empty tables give empty results.
     """
-    least = max(least, SPAN)
+    if least < LEAST or share < SHARE:
+        raise ValueError(f"the masks find stretches of {LEAST} words or more, {SHARE} of them equal")
+    exact = Fraction(share).limit_denominator(10_000)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     t = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     spaces = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) + 1
@@ -139,5 +144,5 @@ def contaminated(docs: DataFrame, tests: DataFrame, least: int = 13, share: floa
     found = []
     for k in range(blocks):
         items = _Items(sorted(((r.item_id, r.text) for r in t.where(F.col("block") == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        found.append(d.mapInArrow(_search(items, least, share, penalty), schema))
+        found.append(d.mapInArrow(_search(items, least, exact), schema))
     return reduce(DataFrame.unionByName, found)
