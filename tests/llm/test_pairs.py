@@ -180,3 +180,26 @@ def test_vectors_against_brute_force(spark, monkeypatch):
         assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in got if r.vec_id is None or r.vec_id >= 2000)
     assert audit(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string"), links.where("vec_id < 2000").dropDuplicates(["vec_id"])) >= 0.9
     assert vector_links(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [10, 0])
+def test_vectors_in_hundreds_of_shards(spark, monkeypatch, clusters):
+    from weftwork.llm import vector_join
+
+    monkeypatch.setattr(vector_join, "AIM", 20)
+    rng = np.random.default_rng(5)
+    n, dim = 4000, 32
+    x = rng.normal(size=(n, dim))
+    if clusters:
+        x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)] + 0.5 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # A pair of a cosine a little over 0.95 for each two vectors.
+    side = rng.normal(size=(n // 2, dim))
+    side -= (side * x[::2]).sum(1, keepdims=True) * x[::2]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.96, (n // 2, 1))
+    x[1::2] = cosine * x[::2] + np.sqrt(1 - cosine**2) * side
+    s = x @ x.T >= 0.95
+    np.fill_diagonal(s, False)
+    got = {r.vec_id: r.n_links for r in vector_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] <= s[i].sum() for i in range(n)) and sum(got.values()) >= 0.985 * s.sum()

@@ -1,7 +1,10 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 Shards. Centroids are fitted on a bounded sample; each vector joins the shards of its two nearest
-centroids, so that shards overlap. A shard that is too large for a task is cut into blocks, and
+centroids and of all others whose border to the nearest is within a margin of it. A margin of the
+sine of half the angle of the threshold leaves no pair without a common shard, as both reach the
+shard of the point between them. Below it the margin grows until the shards hold a share ``HELD``
+of the true pairs of a sample of vectors, which is held against all vectors. A shard that is too large for a task is cut into blocks, and
 each pair of its blocks is a shard of its own: nothing of it is left out.
 
 Graph. In each shard every vector gets its nearest neighbours, robust-pruned: a neighbour is left
@@ -33,6 +36,8 @@ SAMPLE, CENTROIDS, AIM = 20_000, 2048, 1000
 #: Vectors of a shard, at most.
 SHARD = 2400
 _NEAR, _DEGREE, _BEAM = 48, 24, 32
+#: The share of true pairs that shards hold, at least; vectors sampled for them, pairs of these at most, steps of the margin.
+HELD, QUERIES, PAIRS, STEPS = 0.99, 2000, 5000, 16
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -52,18 +57,64 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _deal(c: np.ndarray):
+def _joined(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
+    """Which centroids' shards each vector joins."""
+    s = x @ c.T
+    row, first = np.arange(len(x)), np.argmax(s, axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[first] @ c.T)))
+    joined = s[row, first][:, None] - s <= margin * apart + 1e-9
+    s[row, first] = -np.inf
+    joined[row, first] = joined[row, np.argmax(s, axis=1)] = True
+    return joined
+
+
+def _deal(c: np.ndarray, margin: float):
     def run(frames):
         for f in frames:
-            s = _unit(f["v"]) @ c.T
-            first = np.argmax(s, axis=1)
-            s[np.arange(len(s)), first] = -np.inf
-            second = np.argmax(s, axis=1) if c.shape[0] > 1 else first
-            yield f.assign(s1=np.minimum(first, second).astype(np.int32), s2=np.maximum(first, second).astype(np.int32))
+            x = _unit(f["v"])
+            shards = [np.flatnonzero(j).astype(np.int32) for a in range(0, len(x), 1024) for j in _joined(x[a : a + 1024], c, margin)]
+            yield f.assign(shards=pd.Series(shards, index=f.index, dtype=object))
 
     return run
 
 
+def _margin(some: DataFrame, sample: pd.DataFrame, c: np.ndarray, threshold: float) -> float:
+    """The smallest margin at which shards hold enough of the true pairs of a sample."""
+    if len(c) < 2:
+        return 0.0
+    dim = c.shape[1]
+    whole = float(np.sqrt(max(0.0, (1 - threshold) / 2)))
+    sample = sample.iloc[np.linspace(0, len(sample) - 1, min(len(sample), QUERIES, max(200, 2_000_000 // dim))).astype(int)]
+    q, ids = _unit(sample["v"]), sample["rep"].to_numpy()
+
+    def near(frames):
+        for f in frames:
+            x, rep = _unit(f["v"]), f["rep"].to_numpy()
+            for a in range(0, len(x), 1024):
+                i, k = np.nonzero((x[a : a + 1024] @ q.T >= threshold) & (rep[a : a + 1024, None] != ids[None, :]))
+                yield pd.DataFrame({"k": k, "rep": rep[a + i], "v": list(x[a + i])})
+
+    pairs = some.select("rep", "v").mapInPandas(near, "k long, rep long, v array<double>")
+    pairs = pairs.orderBy(F.xxhash64("k", "rep"), "k", "rep").limit(min(PAIRS, max(200, 2_000_000 // dim))).toPandas()
+    if len(pairs) < 100:
+        # Too few to measure by: pairs are made at the threshold, each towards another vector of the sample.
+        other = np.roll(q, 1, axis=0)
+        other = other - (other * q).sum(1, keepdims=True) * q
+        size = np.linalg.norm(other, axis=1)
+        a = q[size > 1e-9]
+        b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * other[size > 1e-9] / size[size > 1e-9, None]
+        if len(pairs):
+            a, b = np.concatenate([a, q[pairs["k"]]]), np.concatenate([b, _unit(pairs["v"])])
+    else:
+        a, b = q[pairs["k"]], _unit(pairs["v"])
+    for step in range(STEPS):
+        margin = whole * step / STEPS
+        held = [(_joined(a[i : i + 1024], c, margin) & _joined(b[i : i + 1024], c, margin)).any(1) for i in range(0, len(a), 1024)]
+        if held and np.concatenate(held).mean() >= HELD:
+            return margin
+    return whole
+
+
 def _prune(s: np.ndarray, alpha: float) -> list[np.ndarray]:
     """The robust-pruned neighbours of each row of a similarity matrix of unit vectors."""
     n = len(s)
@@ -161,10 +212,13 @@ def _links(threshold: float, margin: float):
         at = pd.Series(np.arange(len(ids)), index=ids)
         adjacent = [at.reindex(a).dropna().to_numpy(np.int64) for a in f["adjacent"]]
         found = _found(_unit(f["v"]), adjacent, threshold, margin)
-        s1, s2, block = f["s1"].to_numpy(), f["s2"].to_numpy(), f["block"].to_numpy()
+        block = f["block"].to_numpy()
         # The pair counts here if no earlier shard holds both, and in one pair of blocks only.
-        earlier = (s1 < shard) & np.ones(len(f), bool)
-        mine = ~((s1[:, None] == s1[None, :]) & earlier[:, None])
+        before = [np.asarray(x)[np.asarray(x) < shard] for x in f["shards"]]
+        names, column = np.unique(np.concatenate(before), return_inverse=True)
+        inside = np.zeros((len(f), len(names)), np.float32)
+        inside[np.repeat(np.arange(len(f)), [len(x) for x in before]), column] = 1
+        mine = inside @ inside.T == 0
         mine &= (block[:, None] != block[None, :]) if i != j else True
         count = (found & mine) @ f["copies"].to_numpy()
         root = np.arange(len(ids))
@@ -200,13 +254,14 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, alpha: float = 1.2
         some = nodes.where(F.col("dim") == r["dim"])
         sample = some.orderBy(F.xxhash64("rep")).limit(min(SAMPLE, max(1000, 2_000_000 // r["dim"]))).select("rep", "v").toPandas().sort_values("rep")
         c = _centroids(_unit(sample["v"]), min(CENTROIDS, len(sample), -(-r["count"] // AIM)))
-        parts.append(some.mapInPandas(_deal(c), "v array<double>, rep long, copies long, dim int, s1 int, s2 int"))
+        margin = _margin(some, sample, c, threshold)
+        parts.append(some.mapInPandas(_deal(c, margin), "v array<double>, rep long, copies long, dim int, shards array<int>"))
     if not parts:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     dealt = parts[0]
     for p in parts[1:]:
         dealt = dealt.unionByName(p)
-    dealt = dealt.withColumn("shard", F.explode(F.array_distinct(F.array("s1", "s2"))))
+    dealt = dealt.withColumn("shard", F.explode("shards"))
     dealt = materialize(dealt, "vector-shards")
     # A row for each shard; larger ones are cut into blocks of at most half a shard.
     sizes = dealt.groupBy("dim", "shard").agg(F.count("*").alias("m"))
@@ -220,7 +275,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, alpha: float = 1.2
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
     # A vector in a shard of many blocks has as many lists.
     united = materialize(united, "vector-graph")
-    full = dealt.select(*by, "rep", "v", "copies", "s1", "s2", "block").join(united, "rep")
+    full = dealt.select(*by, "rep", "v", "copies", "shards", "block").join(united, "rep")
     found = materialize(full.groupBy(*by).applyInPandas(_links(threshold, margin), "rep long, n long, root long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
