@@ -119,6 +119,19 @@ def test_pseudonyms(spark):
     assert pseudonymize(d.limit(0), b"key").count() == 0
 
 
+def test_pseudonyms_beside_other_numbers():
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    plain, short = card.replace(" ", ""), iban.replace(" ", "")
+    texts = [f"{card} 12/25", f"{plain} 123", f"12 {card}", f"12 34 {card} 56", f"12-34-{card.replace(' ', '-')}", f"{iban} 2024", f"{short} EUR", f"{short} EUR {card} 7", f"AB12 {iban} EUR 5000 X"]
+    for text in texts:
+        new, counts = Pseudonyms(b"key").replace(text)
+        assert not any(x in new for x in (card, plain, card.replace(" ", "-"), iban, short)), text
+        assert sum(counts.values()) == text.count("4111") + text.count("ES91") and re.sub(r"[0-9]", "0", re.sub(r"[A-Z0-9]{4}", "0000", new)) == re.sub(r"[0-9]", "0", re.sub(r"[A-Z0-9]{4}", "0000", text)), text
+        assert Pseudonyms(b"key", back=True).replace(new)[0] == text
+    for text in ("1234567890123456 78", "call 1-2-3", "1234 5678 9012 3456", "XX00 1234 5678 9012"):
+        assert Pseudonyms(b"key").replace(text) == (text, {})
+
+
 def test_mix(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), "w " * rng.randint(0, 40)) for i in range(600)] + [(600, "d", None), (601, "a", "long " * 3000), (601, "a", "long " * 3000)]

@@ -8,6 +8,11 @@ task meets them; a pseudonym is valid like its original; and who has the key can
 Formats: payment cards (13 to 19 digits with a check digit), telephone numbers, IPv4 addresses,
 US social security numbers, IBANs, dates with a day, e-mail addresses, and secrets that are
 recognised by a prefix or by a name before them. Separators and letter case stay where they are.
+
+Digits and groups that aren't valid as a whole may hold a card or an IBAN beside other numbers or
+words: every start at a separator is tried, for an IBAN with the length of its country, for a card
+with every end at a separator, those of a usual grouping and then the longest first. A pseudonym beside other digits may be valid
+with them by chance, and isn't undone then.
 """
 
 from __future__ import annotations
@@ -39,6 +44,22 @@ _FIND = re.compile(
     r"|(?P<phone>(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]))"
     r"|(?P<card>(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 )
+_GROUP = re.compile(r"[0-9]+")
+#: Groups of digits that cards are usually written in.
+_USUAL = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+#: The lengths of IBANs by country.
+_LENGTHS = {
+    country: int(size)
+    for size, countries in (
+        x.split(":")
+        for x in (
+            "15:NO", "16:BE BI", "18:DK FK FI FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+            "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BF CF CM DJ FR GR IT MC MG MR SM",
+            "28:AL AZ BJ BY CI CY DO DZ GT GW HN HU LB ML NE NI PL SN SV TD TG", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "33:RU", "32:LC",
+        )
+    )
+    for country in countries.split()
+}
 #: A text without any of these has nothing to find.
 _MAYBE = re.compile(r"[0-9@]")
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -209,26 +230,62 @@ class Pseudonyms:
         if len(self.known) > _KEEP:
             self.known = {}
 
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup
+        out: list[str] = []
+        at = done = 0
+        while m := _FIND.search(text, at):
             kind = next(k for k in ("email", "secret", "named", "iban", "ssn", "iso", "day", "ip", "phone", "card") if m[k] is not None)
-            if kind == "named":
-                found, start = m["value"], m[0][: m.start("value") - m.start()]
+            start, at = m.start("value") if kind == "named" else m.start(), m.end()
+            if kind == "card":
+                start, end, new, at = self._cards(text, start)
+            elif kind == "iban":
+                ends = [start + x.start() for x in re.finditer(" ", m[0])]
+                # An end inside a run isn't guessed: one of several would be valid by chance too often.
+                ends = [e for e in ends if len(text[start:e].replace(" ", "")) == _LENGTHS.get(text[start : start + 2])] + [at, *ends[:1]]
+                end, new = next(((e, x) for e in ends if (x := self._new(kind, text[start:e])) is not None), (ends[-1], None))
+                at = end
             else:
-                found, start = m[0], ""
-            if (kind, found) not in self.known:
-                new = self.characters(found, "named") if kind == "named" else getattr(self, kind)(found)
-                if new is None and kind in ("iban", "phone") and len(re.sub(r"\D", "", found)) >= 13:
-                    new = self.card(found) if re.fullmatch(r"[0-9 -]+", found) else None
-                self.known[kind, found] = new
-            new = self.known[kind, found]
+                end, new = at, self._new(kind, text[start:at])
             if new is None:
-                return m[0]
+                continue
             name = {"iso": "date", "day": "date", "named": "secret"}.get(kind, kind)
             counts[name] = counts.get(name, 0) + 1
-            return start + new
-
-        return _FIND.sub(one, text), counts
+            out += text[done:start], new
+            done = end
+        return "".join(out) + text[done:], counts
+
+    def _new(self, kind: str, found: str) -> str | None:
+        if (kind, found) not in self.known:
+            new = self.characters(found, "named") if kind == "named" else getattr(self, kind)(found)
+            if new is None and kind == "phone" and len(re.sub(r"\D", "", found)) >= 13:
+                new = self.card(found) if re.fullmatch(r"[0-9 -]+", found) else None
+            self.known[kind, found] = new
+        return self.known[kind, found]
+
+    def _cards(self, text: str, start: int) -> tuple[int, int, str | None, int]:
+        """(start, end, pseudonym, where to go on) of the first card in the groups of digits from ``start``, or from the next ones if hyphens join them."""
+        while True:
+            sizes: list[int] = []
+            tries: list[tuple[bool, int]] = []
+            e = start
+            while m := _GROUP.match(text, e):
+                e = m.end()
+                sizes.append(e - m.start())
+                if sum(sizes) > 19:
+                    break
+                if sum(sizes) >= 13:
+                    tries.append((tuple(sizes) in _USUAL, e))
+                if text[e : e + 1] not in (" ", "-"):
+                    break
+                e += 1
+            for _, e in sorted(tries, reverse=True):
+                if (new := self._new("card", text[start:e])) is not None:
+                    return start, e, new, e
+            after = start + sizes[0]
+            if not (text[after : after + 1] == "-" and _GROUP.match(text, after + 1)):
+                return start, after, None, after
+            start = after + 1
+            if _FIND.match(text, start):
+                return start, start, None, start
 
 
 def _run(key: bytes, back: bool):
