@@ -227,3 +227,9 @@ def test_quality(spark):
     a, b = quality._features(pa.array(["Idiot.", "idiot"]))
     assert len(set(a.tolist()) & set(b.tolist())) >= 5
     assert spark.createDataFrame([(1, 0), (1, 1), (0, 1), (None, 1)], "q int, t int").select(quality.rating(F.col("q"), F.col("t")).alias("g")).toPandas()["g"].fillna(-1).tolist() == [2, 1, 0, -1]
+
+
+def test_shape_features_keep_their_values():
+    names = [(k, n) for k in ("capitals", "distinct", "length", "digits", "marked") for n in range(61)]
+    # Names share the features' space with words; few meet by chance.
+    assert len({quality._name(x) for x in names}) >= len(names) - 3

@@ -9,6 +9,7 @@ grade and the probability of the grades that are good enough.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,7 +91,7 @@ _NAMES: dict[tuple, int] = {}
 
 
 def _name(x: tuple) -> int:
-    v = np.uint64(int.from_bytes(f"{x[0]}={min(x[1], 60)}".encode()[:8].ljust(8, b"."), "little"))
+    v = np.uint64(int.from_bytes(hashlib.blake2b(f"{x[0]}={min(x[1], 60)}".encode(), digest_size=8).digest(), "little"))
     return int(mix(np.array([v ^ np.uint64(0x5851F42D4C957F2D)], np.uint64))[0] >> np.uint64(64 - BITS))
 
 
