@@ -4,11 +4,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from weftwork.llm.langid import identify
 from weftwork.llm.mixing import mix
-from weftwork.llm.tokens import load, public_file
+from weftwork.llm.tokens import public_file
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,10 +35,11 @@ def test_pipeline_equals_brute_force(spark):
     mixed = corpus_pipeline.mixed(spark, d, DATA)
     times = {r.doc_id: r.taken // r.size for r in mix(d).collect() if r.taken}
     want = sorted(i for i, n in times.items() for _ in range(n))
+    assert len(set(want)) > len(left) / 2 and len(want) > len(set(want))
     assert sorted(r.doc_id for r in mixed.collect()) == want and mixed.columns == docs.columns
     out = sorted(corpus_pipeline.run(spark, DATA).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in out] == want
-    tok, at = load(public_file("byte_bpe_50k.json")).library, 0
+    tok, at = Tokenizer.from_file(public_file("byte_bpe_50k.json")), 0
     for r in out:
         ids = np.array([*tok.encode(rows[r.doc_id].text, add_special_tokens=False).ids, 2], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))

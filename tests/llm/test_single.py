@@ -11,8 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from weftwork.llm import html_wrappers, quality, range_coder, token_store
+from weftwork.llm import attribution, html_wrappers, quality, range_coder, token_store
 from weftwork.llm.attribution import RULES, allocate, field_tokens, lines, section_tokens
 from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
@@ -26,7 +27,7 @@ TEXTS = ["", None, " ", "Plain text, with marks. And\nlines!\n\n", "a  b \n c\td
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab Z9.,!?'\n\t é 日🙂-"), max_size=40), max_size=6))
 def test_pieces_give_the_library_ids(texts):
-    direct = load(FILE).library
+    direct = Tokenizer.from_file(FILE)
     for t, x, s in zip(texts, load(FILE).encode(texts), load(FILE, True).spans(texts), strict=True):
         e = direct.encode(t, add_special_tokens=False)
         assert x == np.array(e.ids, "<u4").tobytes() and s.tolist() == [a for a, _ in e.offsets]
@@ -58,7 +59,7 @@ def test_token_files(spark, tmp_path, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string, seq string")
     path = token_store.write(d, FILE, 2, str(tmp_path / "store"))
     got = sorted(token_store.digest(spark, path).collect(), key=lambda r: r.start)
-    tok = load(FILE).library
+    tok = Tokenizer.from_file(FILE)
     ids = {i: sorted([*tok.encode(t or "", add_special_tokens=False).ids, 2] for j, t, _ in rows if j == i) for i, *_ in rows}
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
     at = 0
@@ -71,9 +72,30 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert token_store.digest(spark, token_store.write(d.limit(0), FILE, 2, str(tmp_path / "none"))).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab .\n日🙂"), max_size=30), min_size=1, max_size=5), st.sampled_from(RULES))
+def test_sections_equal_brute_force(texts, rule):
+    tok = Tokenizer.from_file(FILE)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for sections in (lines, lambda t: lines(t)):  # the second is handled like any other function
+        got = [r for b in attribution._run(FILE, sections, rule)(iter([batch])) for r in b.to_pylist()]
+        want = []
+        for i, t in enumerate(texts):
+            found = lines(t)
+            at = [a for a, _ in tok.encode(t, add_special_tokens=False).offsets]
+            n = [0] * len(found)
+            for a in at:
+                b = min([x for x in at if x > a], default=len(t))
+                shared = [len(set(range(a, b)) & set(range(x, y))) for _, x, y in found]
+                inside = [k for k, x in enumerate(shared) if x]
+                n[inside[0] if rule == "first" else inside[-1] if rule == "last" else shared.index(max(shared))] += 1
+            want += [(i, k, "line", a, b - a, n[k], len(at)) for k, (_, a, b) in enumerate(found)]
+        assert [tuple(r.values()) for r in got] == want
+
+
 def test_sections(spark):
     d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, section int")
-    tok = load(FILE).library
+    tok = Tokenizer.from_file(FILE)
     for rule in RULES:
         got = collections.defaultdict(list)
         for r in section_tokens(d, FILE, rule=rule).collect():
@@ -162,6 +184,20 @@ def test_mix(spark):
     assert mix(d.limit(0)).count() == 0
 
 
+def test_mix_of_sources_of_like_size(spark):
+    rng = random.Random(4)
+    rows = [(i, f"s{i % 20:02}", "w " * rng.randint(20, 60)) for i in range(2000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    total = sum(r.size for r in got)
+    target = {rows[r.doc_id][1]: r.target for r in got}
+    taken = collections.Counter()
+    for r in got:
+        taken[rows[r.doc_id][1]] += r.taken
+        assert 0 <= r.taken <= 2 * r.size and 0 < r.target <= 2 * r.source_size
+    assert sum(target.values()) == pytest.approx(1.5 * total) and len(target) == 20
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
+
+
 PAGE = "<!DOCTYPE html><html><head><title>t</title><script>var x='</p>';</script></head><body><nav><ul><li><a href=/a>A</a><li>B</ul></nav><div class=ad>buy</div><article><header><h1>T &amp; x</h1></header>{}<form>f</form><div class='comments'><p>c</div></article><aside>s</aside><footer>&copy; z"
 
 

@@ -9,6 +9,7 @@ its last one; ``most``, to the one that has most of its characters, the earlier
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +34,63 @@ def lines(text: str) -> list[tuple[str, int, int]]:
 
 
 def allocate(starts: np.ndarray, length: int, edges: np.ndarray, rule: str) -> np.ndarray:
-    """Tokens of each section. ``edges``: the first character of each section, ascending, from 0.
+    """Tokens of each section of one text. ``edges``: the first character of each section, ascending, from 0.
 
     A character whose bytes several tokens share belongs to all of them; a token ends where the
     next one with another first character begins.
     """
-    if not len(starts):
-        return np.zeros(len(edges), np.int64)
-    if rule == "first":
-        where = np.searchsorted(edges, starts, "right") - 1
-    else:
-        later = np.searchsorted(starts, starts, "right")
-        ends = np.append(starts, length)[later]
-        ends = np.maximum(ends, starts + 1)
-        a, b = np.searchsorted(edges, starts, "right") - 1, np.searchsorted(edges, ends - 1, "right") - 1
-        where = b
-        if rule == "most":
-            where = a.copy()
-            for i in np.flatnonzero(a != b):
-                cut = np.concatenate([[starts[i]], edges[a[i] + 1 : b[i] + 1], [ends[i]]])
-                where[i] = a[i] + int(np.argmax(np.diff(cut)))
-    return np.bincount(where, minlength=len(edges))
+    return _allocate(starts, edges, np.full(len(edges), length), rule)
+
+
+def _allocate(starts: np.ndarray, edges: np.ndarray, stops: np.ndarray, rule: str) -> np.ndarray:
+    """Tokens of each section of texts laid behind one another, with a place between them.
+
+    ``stops``: where the text of each section ends. Both ``starts`` and ``edges`` ascend, so that an
+    interval join of the few edges with the tokens is enough: a section has the tokens that begin
+    in it, and those right before an edge are dealt anew if they reach beyond it.
+    """
+    at = np.searchsorted(starts, edges)
+    n = np.diff(np.append(at, len(starts)))
+    if rule == "first" or not len(starts):
+        return n
+    after = np.append(starts, np.iinfo(np.int64).max)[at[1:]]
+    ends = np.minimum(after, stops[:-1])
+    over = np.flatnonzero((at[1:] > 0) & (ends > edges[1:]) & (starts[at[1:] - 1] < edges[1:])) + 1
+    if not len(over):
+        return n
+    # Edges between the same two tokens are crossed by the same tokens: those of one first character.
+    new = np.append(True, at[over][1:] != at[over][:-1])
+    first, last = over[new], over[np.append(new[1:], True)]
+    begin, end = starts[at[first] - 1], ends[last - 1]
+    moved = at[first] - np.searchsorted(starts, begin)
+    to = last.copy()
+    if rule == "most":
+        to = np.where(end - edges[first] > edges[first] - begin, first, first - 1)
+        for i in np.flatnonzero(last > first):
+            cut = np.concatenate([[begin[i]], edges[first[i] : last[i] + 1], [end[i]]])
+            to[i] = first[i] - 1 + int(np.argmax(np.diff(cut)))
+    np.subtract.at(n, np.searchsorted(edges, begin, "right") - 1, moved)
+    np.add.at(n, to, moved)
+    return n
+
+
+def _cut(texts: list[str], sections: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(sections of each text, first character and size of each section, kind of each)."""
+    if sections is lines:
+        found = [[len(x) + 1 for x in t.split("\n")] for t in texts]
+        for t, f in zip(texts, found, strict=True):
+            f[-1] -= 1
+            if not f[-1] and t:
+                f.pop()
+        size = np.array(list(chain.from_iterable(found)), np.int64)
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.cumsum(size) - size
+        head = np.repeat(at[np.cumsum(count) - count], count) if len(at) else at
+        return count, at - head, size, pa.repeat("line", len(size))
+    rows = [sections(t) for t in texts]
+    flat = [x for r in rows for x in r]
+    at, end = (np.fromiter((x[k] for x in flat), np.int64, len(flat)) for k in (1, 2))
+    return np.fromiter(map(len, rows), np.int64, len(rows)), at, end - at, pa.array([x[0] for x in flat], pa.string())
 
 
 def _run(path: str, sections: Callable[[str], list[tuple[str, int, int]]], rule: str):
@@ -63,17 +100,18 @@ def _run(path: str, sections: Callable[[str], list[tuple[str, int, int]]], rule:
         encoder = load(path, offsets=True)
         for batch in batches:
             for part in chunks(batch):
-                ids = part.column("doc_id").to_pylist()
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                rows: list[list] = [[] for _ in names]
-                for doc_id, text, starts in zip(ids, texts, encoder.spans(texts), strict=True):
-                    found = sections(text)
-                    edges = np.array([a for _, a, _ in found], np.int64)
-                    n = allocate(starts, len(text), edges, rule)
-                    for x, v in zip(rows, ([doc_id] * len(found), range(len(found)), [k for k, _, _ in found], edges.tolist(), [b - a for _, a, b in found], n.tolist(), [len(starts)] * len(found)), strict=True):
-                        x.extend(v)
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
+                spans = encoder.spans(texts)
+                tokens = np.fromiter(map(len, spans), np.int64, len(spans))
+                size = np.fromiter(map(len, texts), np.int64, len(texts))
+                base = np.cumsum(size + 1) - size - 1
+                count, first, width, kind = _cut(texts, sections)
+                starts = np.concatenate(spans) + np.repeat(base, tokens)
+                n = _allocate(starts, first + np.repeat(base, count), np.repeat(base + size, count), rule)
+                row = np.repeat(np.arange(len(texts)), count)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                cols = [part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), kind, *map(pa.array, (first, width, n, tokens[row]))]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 

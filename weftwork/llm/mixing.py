@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     s = s.withColumn("left", share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("weight_left", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("rate", F.col("left") / F.col("weight_left"))
-    s = s.withColumn("rate", F.min(F.when(F.col("w") * F.col("rate") <= F.col("cap"), F.col("rate"))).over(whole))
+    # The rate grows while capped sources leave, and falls once others do: of those that a source can have, the largest counts.
+    s = s.withColumn("rate", F.max(F.when(F.col("w") * F.col("rate") <= F.col("cap"), F.col("rate"))).over(whole))
     capped = F.col("rate").isNull() | (F.col("w") * F.col("rate") > F.col("cap"))
     return s.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("w") * F.col("rate")).alias("target"))
 

@@ -48,10 +48,12 @@ WITH d AS (
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
-r AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0::DOUBLE)) AS rate
-      FROM w WINDOW b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, min(CASE WHEN w * rate <= cap THEN rate END) OVER () AS lam FROM r),
-aim AS (SELECT source, source_size, CASE WHEN lam IS NULL OR w * lam > cap THEN cap ELSE w * lam END AS target FROM t),
+all_of AS (SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) AS share FROM w),
+-- A source is capped if the share is not used up when all grow to the rate at which it is full.
+full_at AS (SELECT a.source, sum(least(b.cap, b.w * (a.cap / a.w))) < any_value(share) AS capped FROM w a, w b, all_of GROUP BY a.source),
+u AS (SELECT w.*, capped FROM w JOIN full_at ON w.source IS NOT DISTINCT FROM full_at.source),
+lam AS (SELECT (any_value(share) - coalesce(sum(cap) FILTER (capped), 0.0::DOUBLE)) / sum(u.w) FILTER (NOT capped) AS lam FROM u, all_of),
+aim AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * lam END AS target FROM u, lam),
 plan AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS base FROM aim),
 g AS (SELECT d.source, h, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY d.source, h),
 c AS (SELECT g.*, plan.target - plan.base * plan.source_size AS budget, CAST(sum(n) OVER (PARTITION BY g.source ORDER BY h) AS BIGINT) AS up_to

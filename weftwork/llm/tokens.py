@@ -3,8 +3,8 @@
 For a byte-level BPE whose pre-tokenizer is the usual pattern of such vocabularies, a single space
 between two characters that aren't white space always starts a new pre-token. Texts are therefore
 cut there, the library encodes each distinct piece, and the ids of a text are those of its pieces
-in a row: the same ids as the library gives for the whole text. Texts with other uses of spaces go
-to the library whole. A worker keeps a bounded number of pieces between tasks.
+in a row: the same ids as the library gives for the whole text. Texts with other uses of spaces, or
+with the string of an added token such as ``<|endoftext|>``, go to the library whole. A worker keeps a bounded number of pieces between tasks.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Strings of added tokens, which the library finds before it splits a text.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.offsets = offsets
         self.inner: dict[str, bytes] = {}
         self.leading: dict[str, bytes] = {}
@@ -142,6 +143,9 @@ class Encoder:
                         break
                     f[i] = inner(c[i])
             out.append((c, None if _ODD in f else f))
+        for k, t in enumerate(texts):
+            if any(x in t for x in self.added):
+                out[k] = (out[k][0], None)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -158,8 +162,13 @@ class Encoder:
                 out.append(np.frombuffer(next(whole), "<u4").astype(np.int64))
                 continue
             # A piece after the first is encoded with the space before it, at which its offsets begin.
-            sizes = np.fromiter(map(len, c), np.int64, len(c)) + 1
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1] - 1])
-            counts = np.fromiter(map(len, f), np.int64, len(f)) // 4
-            out.append(np.frombuffer(b"".join(f), "<u4").astype(np.int64) + np.repeat(at, counts))
+            at = np.fromiter(map(len, c), np.int64, len(c))
+            at += 1
+            np.cumsum(at, out=at)
+            at[1:] = at[:-1] - 1
+            at[0] = 0
+            values = b"".join(f)
+            x = np.frombuffer(values, "<u4")
+            # Most pieces are one token, whose offset is the piece's.
+            out.append(at if len(x) == len(f) and not x.any() else x + np.repeat(at, np.fromiter(map(len, f), np.int64, len(f)) >> 2))
         return out
