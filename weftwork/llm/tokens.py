@@ -10,15 +10,19 @@ with the string of an added token such as ``<|endoftext|>``, go to the library w
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: Pieces kept by a worker; beyond, it starts anew.
-KEEP = 600_000
+#: Pieces kept by a worker in each of two generations: those not met again in one of them are forgotten.
+KEEP = 400_000
 
 #: The value of pieces whose texts go to the library whole; others have four bytes for each token.
 _ODD = b"odd"
-_MARKS = ".,;:!?\n"
+#: What stands between words that are encoded in one go: a line feed before a space or a letter is one token.
+_BETWEEN = "\n"
+#: Parts of a piece that are pre-tokens of their own: letters of Latin scripts, digits, marks but for the apostrophe, one line feed.
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@[-`{-~]+|\n(?=\S)")
 
 _loaded: dict[tuple, Encoder] = {}
 
@@ -50,67 +54,88 @@ class Encoder:
         #: Strings of added tokens, which the library finds before it splits a text.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.offsets = offsets
+        # What stands after a space, and what doesn't; before them the former generation of each.
         self.inner: dict[str, bytes] = {}
         self.leading: dict[str, bytes] = {}
-        self.marks = dict(zip(_MARKS, self._direct(list(_MARKS)), strict=True))
+        self.old: tuple[dict, dict] = ({}, {})
+        self.line = self.library.encode(_BETWEEN, add_special_tokens=False).ids
+        self.mark = self._direct([_BETWEEN])[0]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         if self.offsets:
             return [np.array([a for a, _ in e.offsets], "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """The values of parts, encoded as one text with a line feed after each."""
+        e = self.library.encode(before + f"{_BETWEEN}{before}".join(words) + _BETWEEN, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        ends = np.flatnonzero(ids == self.line[0])
+        begins = np.append(0, ends[:-1] + 1)
+        values = ids
+        if self.offsets:
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + len(before) + 1
+            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+            values = (at - np.repeat(np.cumsum(sizes) - sizes, ends + 1 - begins)).astype("<u4")
+        data = values.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+
     def _learn(self, inner: set[str], leading: set[str]) -> None:
         """Encode pieces that aren't known yet. Those that touch other white space are marked as odd.
 
-        A mark of punctuation that ends a piece after a letter, and a line feed between two
-        characters that aren't white space, are pre-tokens of their own, so that the parts of such
-        a piece are encoded in its place.
+        Where the pre-tokens of a piece are certain, they are encoded in its place; any other piece is encoded whole.
         """
-        plan: list[tuple[dict, str, list]] = []
-        for known, pieces in ((self.inner, inner), (self.leading, leading)):
+        plan: list[tuple[dict, str, list[str]]] = []
+        todo: tuple[set[str], set[str]] = (set(), set())
+        whole: tuple[list[str], list[str]] = ([], [])
+        for k, (known, old, pieces) in enumerate(((self.inner, self.old[0], inner), (self.leading, self.old[1], leading))):
             for p in pieces:
-                if p in known:
+                v = old.get(p)
+                if v is not None:
+                    known[p] = v
                     continue
                 if not p or p[0].isspace() or p[-1].isspace():
                     known[p] = _ODD
                     continue
-                parts: list[tuple[dict | None, str]] = []
-                lines = p.split("\n")
-                if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-                    lines = [p]
-                for k, x in enumerate(lines):
-                    if k:
-                        parts.append((None, "\n"))
-                    of = known if not k else self.leading
-                    if len(x) > 1 and x[-1] in _MARKS and x[-2].isalpha() and x[-2] < "ɐ":
-                        parts += [(of, x[:-1]), (None, x[-1])]
+                parts = _PART.findall(p)
+                if sum(map(len, parts)) != len(p):
+                    whole[k].append(p)
+                    continue
+                if len(parts) > 1:
+                    plan.append((known, p, parts))
+                    todo[1].update(parts[1:])
+                todo[k].add(parts[0])
+        todo[1].discard(_BETWEEN)
+        for known, old, some, direct, before in ((self.inner, self.old[0], todo[0], whole[0], " "), (self.leading, self.old[1], todo[1], whole[1], "")):
+            new = []
+            for x in some:
+                if x not in known:
+                    v = old.get(x)
+                    if v is None:
+                        new.append(x)
                     else:
-                        parts.append((of, x))
-                plan.append((known, p, parts))
-        for known, before in ((self.inner, " "), (self.leading, "")):
-            todo = list({x for _, _, parts in plan for of, x in parts if of is known and x not in known})
-            for at in range(0, len(todo), 20_000):
-                some = todo[at : at + 20_000]
-                known.update(zip(some, self._direct([before + x for x in some]), strict=True))
+                        known[x] = v
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                known.update(zip(part, self._words(part, before), strict=True))
+            known.update(zip(direct, self._direct([before + x for x in direct]), strict=True))
+        get = self.leading.get
         for known, p, parts in plan:
-            if p not in known:
-                known[p] = self._joined(parts)
-
-    def _joined(self, parts: list[tuple[dict | None, str]]) -> bytes:
-        values = [self.marks[x] if of is None else of[x] for of, x in parts]
-        if not self.offsets:
-            return b"".join(values)
-        out, at = [], 0
-        for (of, x), v in zip(parts, values, strict=True):
-            out.append(np.frombuffer(v, "<u4") + np.uint32(at))
-            at += len(x) + (of is self.inner)
-        return np.concatenate(out).astype("<u4").tobytes()
+            values = [known[parts[0]], *(self.mark if x == _BETWEEN else get(x) for x in parts[1:])]
+            if not self.offsets:
+                known[p] = b"".join(values)
+                continue
+            out, at = [values[0]], len(parts[0]) + (known is self.inner)
+            for x, v in zip(parts[1:], values[1:], strict=True):
+                out.append((np.frombuffer(v, "<u4") + np.uint32(at)).tobytes() if len(v) > 4 else at.to_bytes(4, "little"))
+                at += len(x)
+            known[p] = b"".join(out)
 
     def pieces(self, texts: list[str]) -> list[tuple[list[str], list[bytes] | None]]:
         """For each text its pieces and their values, or None in place of these if it must go whole."""
         if len(self.inner) + len(self.leading) > KEEP:
-            self.inner.clear()
-            self.leading.clear()
+            self.old = self.inner, self.leading
+            self.inner, self.leading = {}, {}
         cut = [t.split(" ") for t in texts]
         inner, leading = self.inner.get, self.leading.get
         found = [list(map(inner, c)) for c in cut]
