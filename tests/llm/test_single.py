@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftwork.llm import attribution, html_wrappers, quality, range_coder, token_store
+from weftwork.llm import attribution, html_wrappers, langid, quality, range_coder, token_store
 from weftwork.llm.attribution import RULES, allocate, field_tokens, lines, section_tokens
 from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
@@ -229,7 +230,18 @@ def test_wrappers_accept_what_they_are_made_of():
             assert got is not None and got == [True] * (s.count("#") - (not inside)) + [False] * (not inside)
 
 
-def test_language(spark):
+def test_foreign_text_is_unknown_at_any_length(spark):
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no tables")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = "il mio amico ha comprato una casa molto bella vicino al mare"
+    odd = [(-1 - i, t, None, None, 0) for i, t in enumerate([text, f"{text} e poi " * 12, "xkq zvw qqj wxz kkp vvz jqx", "xkq zvw qqj wxz kkp vvz jqx " * 5000, "the of and that with", "tz"])]
+    got = {r.doc_id: r for r in identify(d.unionByName(spark.createDataFrame(odd, d.schema))).collect()}
+    assert [got[-1 - i].reason for i in range(5)] == ["unknown"] * 4 + [None] and got[-5].language == "en" and len(got) == d.count() + len(odd)
+    assert sum(not r.kept for i, r in got.items() if i >= 0) <= 2
+
+
+def test_language(spark, monkeypatch):
     rng = random.Random(1)
     words = {"en": "the of and that with this from".split(), "de": "der und die nicht mit sich auf".split(), "fr": "les des que une pour dans est".split(), "es": "los las que una por para con".split()}
     rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, f"host-{lang}") for i, lang in enumerate(list(words) * 30)]
@@ -239,6 +251,11 @@ def test_language(spark):
     assert all(got[i].language == lang and got[i].kept for i, _, lang, _ in rows)
     assert [got[i].reason for i in (900, 901, 902, 904)] == ["empty", "empty", "empty", "unknown"] and got[903].language == "fr" and got[905].language == "de"
     assert identify(d.limit(0)).count() == 0
+    # Hosts beyond the bound of a broadcast give the same.
+    monkeypatch.setattr(langid, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(langid, "HOT", 3)
+    again = identify(d.unionByName(d)).collect()
+    assert len(again) == 2 * d.count() and all(r.language == got[r.doc_id].language and r.reason == got[r.doc_id].reason for r in again)
     p = page_evidence(spark.createDataFrame([(1, "https://u@WWW.Example.fr:80/a", '<html lang="fr-FR"><script>x</script><p>les des'), (2, None, None)], "page_id long, url string, html string"))
     r = p.orderBy("page_id").collect()
     assert (r[0].host, r[0].suffix, r[0].declared, r[0].text.split()) == ("www.example.fr", "fr", "fr", ["les", "des"]) and r[1].host is None

@@ -14,7 +14,6 @@ Declaration. The chance that a row in a language declares what it declares, from
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +82,24 @@ def _likelihood(tables: np.ndarray):
     return run
 
 
+#: Rows of a side that is broadcast, at most; beyond, the keys that have more than a share of 1 / HOT of all rows are.
+BROADCAST_ROWS, HOT = 100_000, 1000
+
+
+def _beside(rows: DataFrame, key: str, side: DataFrame, of: str, counts: str | None) -> DataFrame:
+    """``rows`` with the row of ``side`` that has ``of`` equal to ``key``, or nulls. A side that is too large to be
+    broadcast is joined by a shuffle, but for its frequent keys, whose rows, like those without a key, stay where they are."""
+    n = side.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), F.col(key) == F.col(of), "left")
+    size = F.col(counts) if counts else sum((F.col(c) for c in side.columns if c != of), F.lit(0.0))
+    share = side.agg(F.sum(size)).first()[0] / HOT
+    hot = side.where(size > share)
+    stay = rows.join(F.broadcast(hot), F.col(key) == F.col(of), "left")
+    rare = rows.join(F.broadcast(hot.select(of)), F.col(key) == F.col(of), "left_anti").where(F.col(key).isNotNull())
+    return stay.where(F.col(key).isNull() | F.col(of).isNotNull()).unionByName(rare.join(side.where(size <= share), F.col(key) == F.col(of), "left"))
+
+
 def identify(
     rows: DataFrame,
     id_col: str = "doc_id",
@@ -93,14 +110,15 @@ def identify(
     languages: tuple[str, ...] = LANGUAGES,
     smoothing: float = 20.0,
     least: float = 0.5,
-    enough: int = 300,
+    strays: float = 3.0,
 ) -> DataFrame:
     """``rows`` -> ``(<id_col>, language, posterior, declared, reason, kept)``, one row for each row.
 
     A row is rejected, with ``language`` null, for one of three reasons: ``empty``, no letter in its
-    text, or none at all; ``unknown``, it has ``enough`` trigrams of letters and spaces, and they are
-    less likely in every language than if all classes were equally frequent; ``undecided``, no language has a posterior of ``least``. Of equal
-    posteriors the language that is first in ``languages`` counts. A declaration, host or suffix
+    text, or none at all; ``unknown``, in every language its trigrams of letters and spaces are on
+    average less likely than if all classes were equally frequent, and further below that language's
+    own average than ``strays`` deviations of a text of that length, a margin that narrows as texts
+    get longer; ``undecided``, no language has a posterior of ``least``. Of equal posteriors the language that is first in ``languages`` counts. A declaration, host or suffix
     that is null, or a column that isn't given, says nothing. Repeated rows are judged alike, each
     by itself; extra columns don't matter; an empty table gives an empty result.
 
@@ -113,7 +131,10 @@ def identify(
     for r in counts.collect():  # a row for each language and class at most
         total[r.place] = r.n
     total = total.reshape(len(languages), -1) + 0.5
-    tables = np.ascontiguousarray(np.log(total / total.sum(1, keepdims=True)).T.astype(np.float32))
+    share = total / total.sum(1, keepdims=True)
+    mean = (share * np.log(share)).sum(1)
+    spread = np.sqrt((share * np.log(share) ** 2).sum(1) - mean**2)
+    tables = np.ascontiguousarray(np.log(share).T.astype(np.float32))
 
     s = d.mapInArrow(_likelihood(tables), "id long, declared string, host string, suffix string, n long, letters long, ll array<double>")
     best = F.array_position("ll", F.array_max("ll")).cast("int")
@@ -127,7 +148,9 @@ def identify(
     by_host = s.where("host is not null").groupBy(F.col("host").alias("h")).agg(*counted("h"), F.count("says").cast("double").alias("hn"))
     by_suffix = s.where("suffix is not null").groupBy(F.col("suffix").alias("x")).agg(*counted("x"), F.count("says").cast("double").alias("xn"))
     by_word = s.where("declared is not null").groupBy(F.col("declared").alias("w")).agg(*counted("w"))
-    f = s.join(by_host, s["host"] == by_host["h"], "left").join(by_suffix, s["suffix"] == by_suffix["x"], "left").join(by_word, s["declared"] == by_word["w"], "left")
+    f = s
+    for key, side, counts, of in (("host", by_host, "hn", "h"), ("suffix", by_suffix, "xn", "x"), ("declared", by_word, None, "w")):
+        f = _beside(f, key, materialize(side, f"language-by-{key}"), of, counts)
 
     own = lambda i: F.when(F.col("says") == i, 1.0).otherwise(0.0)
     some = F.when(F.col("says").isNotNull(), 1.0).otherwise(0.0)
@@ -140,9 +163,11 @@ def identify(
     f = f.withColumn("score", F.array(*score))
     f = f.withColumn("mass", F.aggregate("score", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("score"))))
     f = f.withColumn("posterior", 1.0 / F.col("mass")).withColumn("language", F.element_at(F.array(*map(F.lit, languages)), F.array_position("score", F.array_max("score")).cast("int")))
+    # The log-likelihood below which a text is none of language i; neighbouring trigrams share letters.
+    floor = lambda i: F.least(F.col("n") * float(-np.log(1 << _BITS)), F.col("n") * float(mean[i - 1]) - strays * float(spread[i - 1]) * F.sqrt(3.0 * F.col("n")))
     reason = (
         F.when(F.col("letters") == 0, "empty")
-        .when((F.col("n") >= enough) & (F.array_max("ll") < F.col("n") * float(-np.log(1 << _BITS))), "unknown")
+        .when(F.greatest(*[F.element_at("ll", i) - floor(i) for i in k]) < 0, "unknown")
         .when(F.col("posterior") < least, "undecided")
     )
     f = f.withColumn("reason", reason)
