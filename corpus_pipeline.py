@@ -22,29 +22,38 @@ from weftwork.session import materialize, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _named(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` whose doc_id is, or isn't, one of ``ids``. A null is an id like any other."""
+    ids = ids.select(F.col("doc_id").alias("named")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["named"]), how)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the known languages; rejected ones go. ``doc_id`` names a document, so repeated rows share a verdict."""
-    kept = identify(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Documents in one of the known languages; rejected ones go. ``doc_id`` names a document, so that
+    rows of one id, and rows without id, share a verdict: they go if one of them is rejected."""
+    return _named(docs, identify(docs).where("not kept"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles at 0.8: the one with the smallest doc_id."""
+    """One document of each group linked by 5-word shingles at 0.8: the one with the smallest doc_id.
+    Documents without words, or without id, are linked with nothing and stay."""
     found = jaccard_components(docs, width=5, num=4, den=5)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _named(docs, found.where("doc_id <> component_id"), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """Documents without an overlap with a benchmark item; all rows of an id, or without id, go if one has an overlap."""
+    return _named(docs, contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one without words is taken as often as its source allows, not at all."""
+    """Documents as often as the mix takes them. One without words costs nothing of its source's target and isn't taken;
+    rows of one id have one hash, and each is taken as often as the longest of them."""
     times = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("times"))
-    return docs.join(times, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    times = times.withColumnRenamed("doc_id", "named")
+    both = rows.join(times, rows["row.doc_id"].eqNullSafe(times["named"]))
+    return both.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
