@@ -1,8 +1,10 @@
 """The operators on single rows, and the pipeline."""
 
 import collections
+import json
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -216,18 +218,72 @@ def test_html(spark):
     assert html_wrappers.extract(d.limit(0)).count() == 0
 
 
+def _tree(rng, depth=0):
+    """A random page of blocks, with or without its end tags."""
+    out = []
+    for _ in range(rng.randint(0, 7 if depth else 12)):
+        tag = rng.choice(["p", "h2", "ul", "div", 'div class="a"', 'div class="b c"', "section", "table", "article", "dl"])
+        name = tag.split()[0]
+        inner = {"ul": "<li>x" * rng.randint(0, 3), "table": "<tr><td>1<td>2" * rng.randint(0, 2), "dl": "<dt>k<dd>v" * rng.randint(0, 2)}.get(name)
+        inner = ("text" if name in ("p", "h2") or depth > 2 else _tree(rng, depth + 1)) if inner is None else inner
+        out.append(f"<{tag}>{inner}" + (f"</{name}>" if name not in ("p", "li") or rng.random() < 0.5 else ""))
+    return "".join(out)
+
+
 def test_wrappers_accept_what_they_are_made_of():
     rng = random.Random(8)
+    whole = []
     for _ in range(60):
-        streams = [["article", *sum((rng.choice([["p", "#"], ["h2", "#", "/h2"], ["ul", *["li", "#"] * rng.randint(1, 4), "/ul"]]) for _ in range(rng.randint(0, 6))), []), "/article", *rng.choice([[], ["footer", "#", "/footer"]])] for _ in range(5)]
-        nodes = html_wrappers.fold(list(streams[0]))
-        for s in streams[1:]:
-            nodes = html_wrappers.fold(html_wrappers.merge(nodes, html_wrappers.fold(list(s))))
-        w = html_wrappers.Wrapper(html_wrappers.parse(html_wrappers.dump(nodes)), True)
-        for s in streams:
-            inside = "footer" not in s
-            got = w.slots(s)
-            assert got is not None and got == [True] * (s.count("#") - (not inside)) + [False] * (not inside)
+        pages = [html_wrappers.Page(_tree(rng)) for _ in range(6)]
+        node = None
+        for page in pages:
+            one = html_wrappers.Node.load(json.loads(html_wrappers.dump(html_wrappers.inferred(page.root[1]))))
+            node = one if node is None else html_wrappers.merge(node, one)
+        for page in pages:
+            for w in (node, html_wrappers.Node.load(json.loads(html_wrappers.dump(node))), html_wrappers.inferred(page.root[1])):
+                found = html_wrappers.slots(page, w)
+                assert found is not None and all(found)
+
+
+def test_wrappers_grow_no_further_and_match_in_linear_time():
+    rng = random.Random(1)
+    blocks = ["<p>x y</p>", "<h2>t</h2>", "<ul><li>a<li>b</ul>", "<div class=q><p>z</p></div>", "<blockquote>k</blockquote>", "<table><tr><td>1<td>2</table>"]
+    pages = ["<body><article>" + "".join(rng.choice(blocks) for _ in range(5000)) + "</article>" for _ in range(4)]
+    node = None
+    for p in pages:
+        one = html_wrappers.inferred(html_wrappers.Page(p).root[1])
+        node = one if node is None else html_wrappers.merge(node, one)
+    w = html_wrappers.dump(node)
+    start = time.process_time()
+    assert len(w) < 2000 and html_wrappers.main_text(pages[0], w).count("\n") > 5000 and not any("?" in x.key for x in html_wrappers._placed(pages[0], w)[1])
+    assert time.process_time() - start < 1
+    names = "".join(f'<div class="k{chr(97 + i % 26)}{chr(97 + i // 26)}"><p>t</p></div>' for i in range(400))
+    assert html_wrappers.main_text(names) == "\n".join(["t"] * 400) and len(html_wrappers.dump(html_wrappers.inferred(html_wrappers.Page(names).root[1]))) < 2000
+    assert html_wrappers.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+
+
+def test_names_count_whole_and_never_empty_an_article():
+    t = html_wrappers.main_text
+    assert t('<div class="wrapper has-sidebar"><article class="post category-search"><h2 class="section-header">H</h2><p>one</article><div class="sidebar">s</div></div>') == "H\none"
+    assert t('<div class="sidebar"><article><p>one<div class="comments"><p>c</div><section id="comment-list">d</section></article></div>') == "one"
+    assert t('<div class="site-nav">n</div><div class="entry-content"><p>one</div><div id="cookie-banner">c</div><p>far') == "one"
+    assert t('<form action="x"><div role="main"><p>one</div><input></form><p>two') == "one" and t("<main><header><h1>T</h1></header>x</main>y") == "T\nx"
+    assert t("<nav>a</nav><footer>b</footer>") == ""
+
+
+def test_wrapper_tells_the_template_from_the_page(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    page = lambda i: f"<div><ul><li><a href=/>{word()}</a><li><a href=/>{word()}</a></ul></div><div><p>Read this first</p></div><div><h1>T{i}</h1><p>{word()} {i}</p><p>see <a href=/>{word()}</a></p><p>Write to us today</p></div>"
+    copies = "<div><p>Read this first</p></div><div><h1>T</h1><p>the same words</p></div>"
+    rows = [(i, "http://varied/", page(i)) for i in range(12)] + [(100 + i, "http://copies/", copies) for i in range(9)] + [(200, "http://single/", page(200))]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, x in rows[:12]:
+        own = re.findall(r"<p>(.*?)</p>", x)
+        assert got[i] == "\n".join([f"T{i}", own[1], re.sub("<[^>]*>", "", own[2])])
+        # Without the host's wrapper nothing tells the menu and the notices from the rest.
+        assert html_wrappers.main_text(x) != got[i] and "Read this first" in html_wrappers.main_text(x)
+    assert got[100] == "Read this first\nT\nthe same words" and "Write to us" in got[200]
 
 
 def test_foreign_text_is_unknown_at_any_length(spark):

@@ -1,15 +1,20 @@
 """HTML extraction by inference of union-free regular expressions.
 
-A page is a stream of block tags and text slots; markup inside a line of text belongs to its slot,
-and end tags that HTML lets out are left out. Repeats in a stream become repeated groups. The
-streams of a host are aligned one after another with what has been inferred so far: a mismatch
-becomes an optional group, an occurrence beside a repeated group joins it. The result is the host's
-wrapper, an expression without unions of tags, text slots, optional and repeated groups, that
-accepts all its pages. Slots of the wrapper are main text or not by the elements they are in; a
-page is matched with its host's wrapper, and the slots of main text give its blocks.
-
-Equal streams of a host are one before any alignment, and a host's streams are aligned in parts
-first, so that a host with very many pages needs no large task.
+A page is a tree of block elements and text slots; markup inside a line of text belongs to its slot.
+The children of an element are a stream of symbols. Streams of the pages of a host are aligned one
+after another with what has been inferred so far, element by element: a mismatch becomes an optional
+item, repeats become repeated items, and symbols that come again among others become a repeated
+group of optional ones, as in ``(p? h2? ul?)+``. The result is the host's wrapper, an expression
+without unions for all its pages. Equal trees of a host are one before any alignment, and a
+host's trees are aligned in parts of bounded size until one is left.
+
+All pages are then matched with their host's wrapper, in time linear in the page, and each slot
+gathers evidence from them: which texts come again on nearly every page (the template's own, not the
+page's), and how much of it is link text. A page's main text are the slots in its ``article`` or
+``main`` element, or in all of the page if there is none, but for those whose text is the
+template's, lists of links outside of an article, and what elements and their class, id or role
+name as something else. Names count as whole values, or as the first or last part of one, and never
+for an element that holds the article.
 """
 
 from __future__ import annotations
@@ -17,8 +22,10 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -34,308 +41,481 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn del em fo
 _GAPS = frozenset(("br", "img", "wbr"))
 #: Block elements without content.
 VOID = frozenset("area base basefont bgsound col command embed frame hr input keygen link meta param source track".split())
-#: Elements whose tags may be left out of a page, in whole or at the end.
+#: Elements that have no part in the tree.
 _UNMARKED = frozenset(("html", "head", "body", "tbody", "thead", "tfoot"))
-_OPEN_ENDED = frozenset("p li dt dd option optgroup tr td th colgroup rb rtc".split())
+#: Elements that end where one of the named begins in the same parent.
+_ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "option": ("option", "optgroup"), "optgroup": ("optgroup",)}
+#: Elements that don't end a paragraph.
+_IN_PARAGRAPH = frozenset("object svg math canvas button select textarea option optgroup audio video map iframe noscript template script style label".split())
+#: Elements of running text, whose order is free; others have a place in the page.
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure figcaption table caption tr td th hr address details summary".split()) | {SLOT}
 #: Content of these is not markup.
 _RAW = "script|style|textarea|xmp"
-#: Elements, and words of class, id or role, that aren't main text.
+#: Elements that aren't main text.
 OUTSIDE = frozenset("nav header footer aside form script style noscript template title iframe object svg math canvas button select textarea dialog menu audio video map fieldset xmp".split())
+#: Values of class, id or role that aren't main text.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright dialog disqus footer gdpr header masthead menu"
     " modal nav navbar navigation navigator newsletter notice notices notification overlay pagination pager popup promo promotion recommended related reply replies respond search share sharing"
     " sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
+#: Words that do so as the first or last part of a value too, unless another part is one of these states.
+_PART_WORDS = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu nav navbar newsletter pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe".split())
+_STATES = frozenset("has no with without is not in on off open closed enabled disabled count active visible category tag type format status theme layout left right page template".split())
 MAIN = frozenset(("article", "main"))
 MAIN_WORDS = frozenset(("article", "main", "content", "post", "entry", "story"))
+_MAIN_PARTS = frozenset(("body", "content", "text", "main"))
+#: Elements of a path; what is deeper belongs to the last one.
+DEEP = 40
+#: Items and symbols of an element in a wrapper, before items become one group and symbols lose their names.
+ITEMS, SYMBOLS = 40, 64
+#: Trees that one task aligns at once.
+ALIGNED = 400
+#: Pages that evidence needs; the share of them that have a text of the template; the share of link text of a list of links.
+LEAST, SAME, LINKED = 5, 0.8, 0.8
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
-Node = str | tuple
-
-
-def stream(page: str) -> tuple[list[str], list[str]]:
-    """(symbols, the text of each slot among them). A symbol is ``tag|words of class, id and role``, ``/tag``, or the slot."""
-    symbols: list[str] = []
-    texts: list[str] = []
-    run: list[str] = []
-
-    def close() -> None:
-        if run:
-            text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
-            run.clear()
-            if text:
-                symbols.append(SLOT)
-                texts.append(text)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            run.append(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            continue
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        if name in INLINE:
-            if name in _GAPS:
-                run.append(" ")
-            continue
+
+class Page:
+    """``root``, a tree of ``(symbol, children)``, the texts of its slots in order, and their characters in links.
+
+    A symbol is ``tag`` or ``tag|values``, of class, id and role, without those that hold digits. A
+    child is an element or the number of a slot.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.texts: list[str] = []
+        self.links: list[int] = []
+        self.root: tuple[str, list] = ("", [])
+        self.has_main = False
+        self.open: list[tuple[str, tuple]] = [("", self.root)]
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        run: list[str] = []
+        linked = 0
+        in_link = False
+
+        def close() -> None:
+            nonlocal linked
+            if run:
+                text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+                run.clear()
+                if text:
+                    self.open[-1][1][1].append(len(self.texts))
+                    self.texts.append(text)
+                    self.links.append(min(linked, len(text)))
+            linked = 0
+
+        at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                run.append(page[at : m.start()])
+                if in_link:
+                    linked += m.start() - at
+            at = m.end()
+            name = m["name"]
+            if not name:
+                continue
+            name = name.lower()
+            if name in INLINE:
+                if name in _GAPS:
+                    run.append(" ")
+                elif name == "a":
+                    in_link = not m["end"]
+                continue
+            close()
+            if name in VOID or name in _UNMARKED:
+                continue
+            if m["end"]:
+                self._end(name)
+            else:
+                self._start(name, m["attributes"])
+        run.append(page[at:])
         close()
-        if name in VOID or name in _UNMARKED or m["end"] and name in _OPEN_ENDED:
-            continue
-        if m["end"]:
-            symbols.append(f"/{name}")
-        else:
-            words = sorted({w for x in _NAMED.finditer(m["attributes"]) for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower())})
-            symbols.append(f"{name}|{' '.join(words)}" if words else name)
-    run.append(page[at:])
-    close()
-    return symbols, texts
-
-
-def fold(nodes: list[Node]) -> list[Node]:
-    """Tandem repeats become repeated groups, short ones first."""
-    longest = 12
-    again = True
-    while again:
-        again = False
-        for p in range(1, longest + 1):
-            out: list[Node] = []
-            i = 0
-            while i < len(nodes):
-                body = nodes[i : i + p]
-                j = i + p
-                while len(body) == p and nodes[j : j + p] == body:
-                    j += p
-                if j > i + p and not (p == 1 and isinstance(body[0], tuple)):
-                    out.append(("+", tuple(body)))
-                    i, again = j, True
-                elif j > i + p:
-                    out.append(body[0])
-                    i, again = j, True
-                else:
-                    out.append(nodes[i])
-                    i += 1
-            nodes = out
-    return nodes
-
-
-def _groups(nodes: list[Node]) -> set[tuple]:
-    found = set()
-    for n in nodes:
-        if isinstance(n, tuple):
-            found |= _groups(list(n[1]))
-            if n[0] == "+":
-                found.add(n[1])
-    return found
-
-
-def _absorb(nodes: list[Node], bodies: set[tuple]) -> list[Node]:
-    """Occurrences of the bodies of repeated groups become such groups."""
-    for body in sorted(bodies, key=lambda b: (len(b), str(b))):
-        out: list[Node] = []
-        i = 0
-        while i < len(nodes):
-            if tuple(nodes[i : i + len(body)]) == body:
-                if not (out and out[-1] == ("+", body)):
-                    out.append(("+", body))
-                i += len(body)
-            elif nodes[i] == ("+", body) and out and out[-1] == nodes[i]:
-                i += 1
+
+    def _end(self, name: str) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] == name:
+                del self.open[i:]
+                return
+
+    def _start(self, name: str, attributes: str) -> None:
+        top = self.open[-1][0]
+        while top in _ENDED_BY and name in _ENDED_BY[top] or top == "p" and name not in _IN_PARAGRAPH:
+            self.open.pop()
+            top = self.open[-1][0]
+        parent = self.open[-1][1]
+        if len(self.open) > DEEP:
+            self.open.append((name, parent))
+            return
+        symbol = name
+        if name in MAIN:
+            self.has_main = True
+        elif attributes:
+            values = {v for x in _NAMED.finditer(attributes) for v in (x[1] or x[2] or x[3] or "").lower().split()}
+            values = sorted(v for v in values if not any(c.isdigit() for c in v))
+            if values:
+                self.has_main |= "main" in values and "role" in attributes.lower() and _is_role_main(attributes)
+                symbol = f"{name}|{' '.join(values)}"
+        node = (symbol, [])
+        parent[1].append(node)
+        self.open.append((name, node))
+
+
+def _is_role_main(attributes: str) -> bool:
+    return bool(re.search(r"""\brole\s*=\s*["']?main\b""", attributes, re.I))
+
+
+def _bare(symbol: str) -> str:
+    return symbol.partition("|")[0]
+
+
+class Node:
+    """The expression of an element's children: items of ``(symbols, optional, repeated)``, each with a node for each symbol."""
+
+    __slots__ = ("items", "below", "steps", "at", "needed")
+
+    def __init__(self, items: list[tuple[tuple[str, ...], bool, bool]], below: list[dict[str, Node]]) -> None:
+        self.items, self.below = items, below
+        self.steps: dict[tuple[int, str], int] = {}
+        self.at: dict[str, list[int]] | None = None
+        self.needed: list[int] = []
+
+    # Matching: the items reached after each child are bits of a number; steps are found once and kept.
+
+    def _ready(self) -> None:
+        self.at = {}
+        self.needed = [0]
+        for k, (symbols, optional, _) in enumerate(self.items):
+            for x in symbols:
+                self.at.setdefault(x, []).append(k)
+            self.needed.append(self.needed[-1] + (not optional))
+
+    def _follows(self, j: int, k: int) -> bool:
+        return k == j and self.items[k][2] or k > j and self.needed[k] == self.needed[j + 1]
+
+    def match(self, symbols: list[str]) -> list[int] | None:
+        """The item of each child, or None if the expression doesn't accept them."""
+        if self.at is None:
+            self._ready()
+        reached, passed = 1, []  # bit k + 1: item k
+        for x in symbols:
+            step = self.steps.get((reached, x))
+            if step is None:
+                step = 0
+                for k in self.at.get(x, ()):
+                    if any(reached >> (j + 1) & 1 and self._follows(j, k) for j in range(-1, k + 1)):
+                        step |= 1 << (k + 1)
+                self.steps[reached, x] = step
+            if not step:
+                return None
+            passed.append(step)
+            reached = step
+        last = [k for k in range(-1, len(self.items)) if reached >> (k + 1) & 1 and self.needed[-1] == self.needed[k + 1]]
+        if not last:
+            return None
+        out = []
+        k = last[0]
+        for i in range(len(symbols) - 1, -1, -1):
+            out.append(k)
+            before = passed[i - 1] if i else 1
+            k = next(j for j in range(k, -2, -1) if before >> (j + 1) & 1 and self._follows(j, k))
+        return out[::-1]
+
+    def dump(self) -> list:
+        return [[list(s), int(o), int(r), [None if n is None else n.dump() for n in (b.get(x) for x in s)]] for (s, o, r), b in zip(self.items, self.below, strict=True)]
+
+    @staticmethod
+    def load(x: list) -> Node:
+        return Node([(tuple(s), bool(o), bool(r)) for s, o, r, _ in x], [{k: Node.load(n) for k, n in zip(s, b, strict=True) if n is not None} for s, _, _, b in x])
+
+
+def _united(a: dict[str, Node], b: dict[str, Node]) -> dict[str, Node]:
+    return {x: merge(a[x], b[x]) if x in a and x in b else a.get(x) or b[x] for x in {**a, **b}}
+
+
+def _normal(items: list, below: list) -> Node:
+    """Runs of one symbol become repeated, and symbols that come again among others become a repeated group."""
+
+    def group(some: list, nodes: list) -> tuple:
+        names = sorted({x for s, _, _ in some for x in s})
+        under: dict[str, Node] = {}
+        for n in nodes:
+            under = _united(under, n)
+        return (tuple(names), all(o for _, o, _ in some), True), under
+
+    if len(items) > 1:
+        last: dict[str, int] = {}
+        grouped = {x for s, _, _ in items if len(s) > 1 for x in s}
+        every = len(items) > ITEMS
+        for k, (s, _, _) in enumerate(items):
+            for x in s:
+                last[x] = k
+        out, under, k = [], [], 0
+        while k < len(items):
+            end, j = k, k
+            while j <= end:
+                for x in items[j][0]:
+                    if every or x in grouped or _bare(x) in _FLOW or all(items[i][0] == (x,) for i in range(k, last[x] + 1)):
+                        end = max(end, last[x])
+                    elif j < len(items) - 1 and items[j + 1][0] == items[j][0]:
+                        end = max(end, j + 1)
+                j += 1
+            if end == k:
+                out.append(items[k])
+                under.append(below[k])
             else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
+                i, u = group(items[k : end + 1], below[k : end + 1])
+                out.append(i)
+                under.append(u)
+            k = end + 1
+        items, below = out, under
+        if len(items) > ITEMS:
+            i, u = group(items, below)
+            items, below = [i], [u]
+    for k, (s, o, r) in enumerate(items):
+        if len(s) > SYMBOLS:
+            under = {}
+            for x in s:
+                if x in below[k]:
+                    under = _united(under, {_bare(x): below[k][x]})
+            items[k], below[k] = (tuple(sorted({_bare(x) for x in s})), o, r), under
+    return Node(items, below)
+
+
+def inferred(children: list) -> Node:
+    """The expression of the children of one element of a page."""
+    items, below = [], []
+    for c in children:
+        symbol = SLOT if isinstance(c, int) else c[0]
+        node = {} if isinstance(c, int) else {symbol: inferred(c[1])}
+        if items and items[-1][0] == (symbol,):
+            items[-1] = ((symbol,), False, True)
+            below[-1] = _united(below[-1], node)
+        else:
+            items.append(((symbol,), False, False))
+            below.append(node)
+    return _normal(items, below)
 
 
-def merge(a: list[Node], b: list[Node]) -> list[Node]:
+def merge(a: Node, b: Node) -> Node:
     """An expression that accepts what either accepts: what they share in order stays, the rest is optional."""
-    if a == b:
-        return a
-    bodies = _groups(a) | _groups(b)
-    a, b = _absorb(a, bodies), _absorb(b, bodies)
-    bare = lambda n: n[1] if isinstance(n, tuple) and n[0] == "?" else (n,)
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if bare(a[i]) == bare(b[j]) else 0)
-    out: list[Node] = []
+    x, y = a.items, b.items
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+    items, below = [], []
     i = j = 0
-    option = lambda n: n if isinstance(n, tuple) and n[0] == "?" else ("?", (n,))
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and bare(a[i]) == bare(b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(a[i] if a[i] == b[j] else option(a[i]))
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
+            items.append((x[i][0], x[i][1] or y[j][1], x[i][2] or y[j][2]))
+            below.append(_united(a.below[i], b.below[j]))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(option(a[i]))
+        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+            items.append((x[i][0], True, x[i][2]))
+            below.append(a.below[i])
             i += 1
         else:
-            out.append(option(b[j]))
+            items.append((y[j][0], True, y[j][2]))
+            below.append(b.below[j])
             j += 1
-    return out
-
-
-def _words(symbol: str) -> tuple[str, frozenset]:
-    name, _, words = symbol.partition("|")
-    return name, frozenset(words.split())
-
-
-class Wrapper:
-    """A wrapper made ready for pages with a main part, or for those without one."""
+    return _normal(items, below)
 
-    def __init__(self, nodes: list[Node], has_main: bool) -> None:
-        self.codes: dict[str, str] = {}
-        self.stack: list[str] = []
-        self.has_main = has_main
-        self.nodes = self._prepare(nodes)
-        self.symbols = {c: s for s, c in self.codes.items()}
-        self.cache: dict[int, re.Pattern] = {}
 
-    @staticmethod
-    def is_main(symbol: str) -> bool:
-        name, words = _words(symbol)
-        return name in MAIN or bool(words & MAIN_WORDS) and not words & OUTSIDE_WORDS
-
-    def _wanted(self) -> bool:
-        """Whether a slot in the open elements is main text: in a main part, and not in an outside part within it, or of the page."""
-        inside = not self.has_main
-        for symbol in self.stack:
-            name, words = _words(symbol)
-            if name == "header" and inside and self.has_main:
-                continue  # the heading of an article
-            if name in OUTSIDE or words & OUTSIDE_WORDS:
-                return False
-            inside = inside or self.is_main(symbol)
-        return inside
-
-    def _prepare(self, nodes) -> list:
-        out = []
-        for n in nodes:
-            if isinstance(n, tuple):
-                out.append((n[0], self._prepare(n[1])))
-            elif n == SLOT:
-                out.append((SLOT, None))
-            else:
-                out.append(("=", self.codes.setdefault(n, chr(0x4E00 + len(self.codes)))))
-        return out
-
-    def _enter(self, symbol: str) -> None:
-        """An element opens or closes; optional elements that a page doesn't have never do."""
-        if symbol[0] == "/":
-            if any(_words(s)[0] == symbol[1:] for s in self.stack):
-                while _words(self.stack.pop())[0] != symbol[1:]:
-                    pass
-            return
-        name = _words(symbol)[0]
-        if name in _OPEN_ENDED and self.stack and _words(self.stack[-1])[0] == name:
-            self.stack.pop()
-        self.stack.append(symbol)
-
-    def _pattern(self, nodes: list) -> str:
-        return "".join(SLOT if k == SLOT else x if k == "=" else f"(?:{self._pattern(x)}){k}" for k, x in nodes)
-
-    def _take(self, nodes: list, code: str, at: int, wanted: list[bool]) -> bool:
-        key = id(nodes)
-        if key not in self.cache:
-            self.cache[key] = re.compile("".join(f"({self._pattern([n])})" for n in nodes) + r"\Z")
-        m = self.cache[key].match(code)
-        if not m:
-            return False
-        for i, (kind, x) in enumerate(nodes, 1):
-            a, b = m.span(i)
-            if kind == SLOT:
-                wanted[code_index(code, a) + at] = self._wanted()
-            elif kind == "=":
-                self._enter(self.symbols[x])
-            elif kind in "?+" and b > a:
-                one = re.compile(self._pattern(x)) if (id(x), 1) not in self.cache else self.cache[id(x), 1]
-                self.cache[id(x), 1] = one
-                while a < b:
-                    # The last piece may need fewer symbols than the first match takes.
-                    e = one.match(code, a, b).end() if kind == "+" else b
-                    self._take(x, code[a:e], at + code_index(code, a), wanted)
-                    a = e
+def _outside_value(value: str) -> bool:
+    if value in OUTSIDE_WORDS:
         return True
-
-    def slots(self, symbols: list[str]) -> list[bool] | None:
-        """For each slot of a page whether it is main text; None if the wrapper doesn't accept the page."""
-        try:
-            code = "".join(SLOT if s == SLOT else self.codes[s] for s in symbols)
-        except KeyError:
-            return None
-        wanted = [False] * symbols.count(SLOT)
-        self.stack = []
-        return wanted if self._take(self.nodes, code, 0, wanted) else None
+    parts = re.split("[-_]+", value)
+    return len(parts) > 1 and (parts[0] in _PART_WORDS or parts[-1] in _PART_WORDS) and not _STATES & set(parts)
+
+
+def _main_value(value: str) -> bool:
+    parts = re.split("[-_]+", value)
+    return value in MAIN_WORDS or len(parts) == 2 and parts[0] in MAIN_WORDS and parts[1] in _MAIN_PARTS
+
+
+def _holds_main(children: list) -> bool:
+    todo = list(children)
+    while todo:
+        c = todo.pop()
+        if not isinstance(c, int):
+            if _is_main(c[0]):
+                return True
+            todo += c[1]
+    return False
+
+
+def _is_main(symbol: str) -> bool:
+    return symbol in MAIN or symbol.partition("|")[0] in ("div", "section") and "main" in symbol.partition("|")[2].split()
+
+
+class Slot:
+    """A slot's place in the wrapper, and what the elements around it say: whether it is outside, in a main element, in one so named."""
+
+    __slots__ = ("key", "outside", "main", "named")
+
+    def __init__(self, key: str, outside: bool, main: bool, named: bool) -> None:
+        self.key, self.outside, self.main, self.named = key, outside, main, named
+
+
+def slots(page: Page, wrapper: Node) -> list[Slot]:
+    """The slots of a page by a wrapper. Where one element may be either of two of the wrapper, the first that
+    fits by its symbol counts; if its content doesn't fit, that is placed by its own expression, marked ``?``."""
+    out: list[Slot] = [None] * len(page.texts)  # type: ignore[list-item]
+
+    def walk(children: list, node: Node, place: str, outside: bool, main: bool, named: bool) -> None:
+        symbols = [SLOT if isinstance(c, int) else c[0] for c in children]
+        found = node.match(symbols)
+        if found is None:
+            symbols = [x if node.at.get(x) else _bare(x) for x in symbols]
+            found = node.match(symbols)
+        if found is None:
+            node = inferred(children)
+            place += "?"
+            symbols = [SLOT if isinstance(c, int) else c[0] for c in children]
+            found = node.match(symbols)
+            if found is None:
+                symbols = [_bare(x) for x in symbols]
+                found = node.match(symbols)
+        for c, k, x in zip(children, found, symbols, strict=True):
+            if isinstance(c, int):
+                out[c] = Slot(f"{place}/{k}#", outside, main, named)
+                continue
+            name, _, values = c[0].partition("|")
+            apart = outside
+            if not apart and not _is_main(c[0]):
+                apart = name in OUTSIDE and not (name == "header" and main) or any(map(_outside_value, values.split()))
+                apart = apart and not _holds_main(c[1])
+            walk(c[1], node.below[k][x], f"{place}/{k}{x}", apart, main or _is_main(c[0]), named or any(map(_main_value, values.split())))
+
+    walk(page.root[1], wrapper, "", False, False, False)
+    return out
 
 
-def code_index(code: str, at: int) -> int:
-    return code.count(SLOT, 0, at)
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _tuples(x):
-    return x if isinstance(x, str) else (x[0], tuple(_tuples(y) for y in x[1]))
+def main_blocks(page: Page, found: list[Slot], template: frozenset[int] = frozenset(), linked: frozenset[int] = frozenset()) -> list[str]:
+    """The blocks of main text. ``template``: hashes of slots and texts of the template; ``linked``: hashes of slots that are lists of links."""
+    kept = [i for i, s in enumerate(found) if not s.outside and (s.main or not page.has_main)]
+    if not page.has_main:
+        named = [i for i in kept if found[i].named]
+        if 3 * sum(len(page.texts[i]) for i in named) >= sum(len(page.texts[i]) for i in kept):
+            kept = named
+    if template or linked:
+        kept = [i for i in kept if _hash(f"{found[i].key}\0{page.texts[i]}") not in template and (found[i].main or _hash(found[i].key) not in linked)]
+    return [page.texts[i] for i in kept]
 
 
-def dump(nodes: list[Node]) -> str:
-    return json.dumps(nodes, ensure_ascii=False, separators=(",", ":"))
+@lru_cache(maxsize=512)
+def _wrapper(text: str) -> Node:
+    return Node.load(json.loads(text))
 
 
-def parse(text: str) -> list[Node]:
-    return [_tuples(x) for x in json.loads(text)]
+def _placed(html_text: str, wrapper: str | None) -> tuple[Page, list[Slot]]:
+    """A page and its slots by its host's wrapper, or its own."""
+    page = Page(html_text)
+    return page, slots(page, _wrapper(wrapper) if wrapper else inferred(page.root[1]))
 
 
-@lru_cache(maxsize=512)
-def _wrapper(text: str, has_main: bool) -> Wrapper:
-    return Wrapper(parse(text), has_main)
+def main_text(page: str, wrapper: str | None = None, template: list[int] | None = None, linked: list[int] | None = None) -> str:
+    """The main text of a page, by its host's wrapper and its evidence; without a wrapper by the page alone."""
+    return "\n".join(main_blocks(*_placed(page, wrapper), frozenset(template or ()), frozenset(linked or ())))
 
 
-def main_text(page: str, wrapper: str | None) -> str:
-    """The blocks of main text of a page, by its host's wrapper, or by the page's own if that doesn't accept it."""
-    symbols, texts = stream(page)
-    has_main = any(s != SLOT and s[0] != "/" and Wrapper.is_main(s) for s in symbols)
-    wanted = _wrapper(wrapper, has_main).slots(symbols) if wrapper else None
-    if wanted is None:
-        wanted = Wrapper(fold(list(symbols)), has_main).slots(symbols)
-    return "\n".join(t for t, w in zip(texts, wanted or [], strict=False) if w)
+def dump(node: Node) -> str:
+    return json.dumps(node.dump(), ensure_ascii=False, separators=(",", ":"))
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shapes = [dump(fold(list(stream(p or "")[0]))) for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shapes, pa.string())], ["host", "shape"])
+        shapes = Counter((h, dump(inferred(Page(p or "").root[1]))) for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True))
+        rows = list(shapes.items())
+        yield pa.RecordBatch.from_arrays([pa.array([h for (h, _), _ in rows], pa.string()), pa.array([x for (_, x), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["host", "shape", "n"])
 
 
-def _inferred(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-    nodes: list[Node] | None = None
+def _aligned(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    node: Node | None = None
     for shape in f.sort_values(["n", "shape"], ascending=[False, True])["shape"]:
-        nodes = parse(shape) if nodes is None else fold(merge(nodes, parse(shape)))
-    return pd.DataFrame({"host": [key[0]], "shape": [dump(nodes or [])], "n": [int(f["n"].sum())]})
+        one = Node.load(json.loads(shape))
+        node = one if node is None else merge(node, one)
+    return pd.DataFrame({"host": [key[0]], "shape": [dump(node)], "n": [int(f["n"].sum())]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """``pages(host, html)`` -> ``(host, shape, n)``: the wrapper of each host, inferred from all its pages."""
-    shapes = pages.select("host", "html").mapInArrow(_shapes, "host string, shape string").groupBy("host", "shape").agg(F.count("*").alias("n"))
     out = "host string, shape string, n long"
-    parts = shapes.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(32)).alias("part")).applyInPandas(_inferred, out)
-    return parts.groupBy("host").applyInPandas(_inferred, out)
+    shapes = pages.select("host", "html").mapInArrow(_shapes, out)
+    shapes = materialize(shapes.groupBy("host", "shape").agg(F.sum("n").alias("n")), "html-shapes")
+    while True:
+        sizes = materialize(shapes.groupBy("host").agg(F.ceil(F.count("*") / ALIGNED).cast("int").alias("parts")), "html-parts")
+        most = sizes.agg(F.max("parts")).first()[0] or 1
+        part = F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int")
+        shapes = materialize(shapes.join(sizes, "host").groupBy("host", part.alias("part")).applyInPandas(_aligned, out), "html-aligned")
+        if most == 1:
+            return shapes
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["of", "slot", "text", "n", "chars", "links"]
+    for batch in batches:
+        total: dict[tuple[int, int, int | None], list[int]] = {}
+        for of, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("of", "html", "shape")), strict=True):
+            parsed, found = _placed(page or "", wrapper)
+            seen = set()
+            for i, s in enumerate(found):
+                if s.outside or parsed.has_main and not s.main:
+                    continue
+                slot = _hash(s.key)
+                for text in (_hash(f"{s.key}\0{parsed.texts[i]}"), None):
+                    x = total.setdefault((of, slot, text), [0, 0, 0])
+                    x[0] += (slot, text) not in seen
+                    if text is None:
+                        x[1] += len(parsed.texts[i])
+                        x[2] += parsed.links[i]
+                    seen.add((slot, text))
+        rows = [(*k, *v) for k, v in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], names)
+
+
+def evidence(placed: DataFrame) -> DataFrame:
+    """``placed(of, html, shape)`` -> ``(of, template, linked)``: for each host the hashes of texts of the template and of lists of links.
+
+    A text is the template's if it is in one slot on nearly all pages that have the slot, while most
+    texts of the host are found once; on a host of copies nothing can be told apart.
+    """
+    e = placed.mapInArrow(_evidence, "of long, slot long, text long, n long, chars long, links long")
+    e = materialize(e.groupBy("of", "slot", "text").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")]), "html-evidence")
+    at = e.where("text is null")
+    varied = e.where("text is not null").groupBy("of").agg((2 * F.count("*") >= F.sum("n")).alias("varied")).where("varied").select("of")
+    pages = at.where(F.col("n") >= LEAST).select("of", "slot", F.col("n").alias("pages"))
+    same = e.where(F.col("text").isNotNull() & (F.col("n") >= LEAST)).join(pages, ["of", "slot"]).where(F.col("n") >= SAME * F.col("pages")).join(varied, "of", "left_semi")
+    template = same.groupBy("of").agg(F.collect_list("text").alias("template"))
+    linked = at.where((F.col("n") >= LEAST) & (F.col("links") >= LINKED * F.col("chars"))).groupBy("of").agg(F.collect_list("slot").alias("linked"))
+    return template.join(linked, "of", "full")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(p or "", w) for p, w in zip(batch.column("html").to_pylist(), batch.column("shape").to_pylist(), strict=True)]
+        columns = (batch.column(c).to_pylist() for c in ("html", "shape", "template", "linked"))
+        texts = [main_text(p or "", w, t, k) for p, w, t, k in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+#: Characters of wrappers that are broadcast, at most.
+_BROADCAST_CHARS = 4_000_000
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html, ...)`` -> ``(page_id, url, text, n_chars)``, one row for each row.
 
@@ -346,7 +526,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    w = materialize(wrappers(p), "html-wrappers").select(F.col("host").alias("of"), "shape")
-    small = (w.agg(F.sum(F.length("shape") + F.length("of"))).first()[0] or 0) <= 4_000_000
-    both = p.join(F.broadcast(w) if small else w, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "shape")
+    p = p.withColumn("of", F.xxhash64("host"))
+    w = materialize(wrappers(p).select(F.xxhash64("host").alias("of"), "shape"), "html-wrappers")
+    beside = lambda w: F.broadcast(w) if (w.agg(F.sum(F.length("shape"))).first()[0] or 0) <= _BROADCAST_CHARS else w
+    seen = evidence(p.select("of", "html").join(beside(w), "of", "left"))
+    w = materialize(w.join(seen, "of", "left"), "html-evidence")
+    both = p.join(beside(w), "of", "left").select("page_id", "url", "html", "shape", "template", "linked")
     return both.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
