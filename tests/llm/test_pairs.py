@@ -168,8 +168,10 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     d = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, rep string")
     edges = list(zip(*map(np.ndarray.tolist, np.nonzero(s)), strict=True))
     root = roots(range(len(x)), edges)
-    for shard in (2400, 200):
+    for region, shard, centroids in ((12_000, 600, 512), (12_000, 100, 512), (200, 60, 512), (200, 60, 3)):
+        monkeypatch.setattr(vector_join, "REGION", region)
         monkeypatch.setattr(vector_join, "SHARD", shard)
+        monkeypatch.setattr(vector_join, "CENTROIDS", centroids)
         links = vector_links(d)
         got = links.collect()
         assert len(got) == len(rows) + len(odd)
@@ -182,11 +184,32 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vector_links(d.limit(0)).count() == 0
 
 
+def test_vectors_that_cannot_be_divided(spark, monkeypatch):
+    from weftwork.llm import vector_join
+
+    monkeypatch.setattr(vector_join, "REGION", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1, 16)) + 0.02 * rng.normal(size=(350, 16))
+    x[:50] = 10 * rng.normal(size=(50, 16))
+    x[50] *= 1e200  # a direction like any other
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    got = vector_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    n = {r.vec_id: r.n_links for r in got}
+    assert all(n[i] <= s[i].sum() - 1 for i in n) and sum(n.values()) >= 0.97 * (s.sum() - len(x)) and s.sum() > 80_000
+    assert {r.component_id for r in got if r.vec_id >= 50} == {50}
+
+
+@pytest.mark.parametrize("centroids", [512, 8])
 @pytest.mark.parametrize("clusters", [10, 0])
-def test_vectors_in_hundreds_of_shards(spark, monkeypatch, clusters):
+def test_vectors_in_hundreds_of_regions(spark, monkeypatch, clusters, centroids):
     from weftwork.llm import vector_join
 
-    monkeypatch.setattr(vector_join, "AIM", 20)
+    monkeypatch.setattr(vector_join, "REGION", 100)
+    monkeypatch.setattr(vector_join, "AIM", 0.2)
+    monkeypatch.setattr(vector_join, "CENTROIDS", centroids)
+    monkeypatch.setattr(vector_join, "SHARD", 40)
     rng = np.random.default_rng(5)
     n, dim = 4000, 32
     x = rng.normal(size=(n, dim))

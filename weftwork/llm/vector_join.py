@@ -1,24 +1,28 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Shards. Centroids are fitted on a bounded sample; each vector joins the shards of its two nearest
-centroids and of all others whose border to the nearest is within a margin of it. A margin of the
-sine of half the angle of the threshold leaves no pair without a common shard, as both reach the
-shard of the point between them. Below it the margin grows until the shards hold a share ``HELD``
-of the true pairs of a sample of vectors, which is held against all vectors. A shard that is too large for a task is cut into blocks, and
-each pair of its blocks is a shard of its own: nothing of it is left out.
-
-Graph. In each shard every vector gets its nearest neighbours, robust-pruned: a neighbour is left
-out if it is nearer, by the factor ``alpha``, to one that is kept. The adjacency lists that a vector
-has from its shards are united.
-
-Search. Every vector is a query. A greedy search with a beam enters a shard at its medoid and
-at the query's own list, and follows the united lists; from where it ends the range is expanded: the lists of all vectors found
-within the range, and a margin, are followed until nothing new is in range. Distances of a shard
-are evaluated as one product in double precision, which verifies each pair. A pair that two shards
-share counts in the first one.
-
-Equal vectors are one node with a multiplicity, and only a spanning forest of a shard's links
-leaves the shard, so that large groups of copies cost no more rows than they have members.
+Regions. Centroids are fitted on a bounded sample; each vector is a query in the region of its
+nearest centroid, and a member of that and of all others whose border to the nearest is within a
+margin of it. A margin of the sine of half the angle of the threshold leaves no pair without a
+region that has the one as a query and the other as a member, as the point between them is on this
+side of the border for one. Below it the margin grows until that holds for a share ``HELD`` of the
+true pairs of a sample of vectors, which is held against all vectors. A region too large for a task
+is divided again by centroids of its own, level by level. One that cannot be divided, as its vectors
+are all within the margin of one another, is cut into blocks: queries of a block meet the members
+of every block. Nothing is left out.
+
+Graph. A region is divided into overlapping shards, each vector being in those of its two nearest
+centroids. In each shard every vector gets its nearest neighbours, robust-pruned: a neighbour is
+left out if it is nearer, by the factor ``alpha``, to one that is kept. The adjacency lists that a
+vector has from its shards, and the lists that it is in, are united.
+
+Search. Greedy searches with a beam begin at the medoids of the shards and at the query's own list;
+distances are evaluated along the lists only. From where a search ends the range is expanded: the
+lists of all vectors found within the range, and a margin, are followed until nothing new is in
+range. A distance is a product in double precision, which verifies the pair. ``audit`` measures
+recall against brute force.
+
+Equal vectors are one node with a multiplicity, and only counts and a spanning forest of a region's
+links leave the region, so that large groups of copies cost no more rows than they have members.
 """
 
 from __future__ import annotations
@@ -29,19 +33,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.components import components
-from weftwork.session import materialize
+from weftwork.session import discard, materialize
 
-#: Vectors of the sample for centroids, at most; centroids, at most; vectors per centroid that are aimed at.
-SAMPLE, CENTROIDS, AIM = 20_000, 2048, 1000
-#: Vectors of a shard, at most.
-SHARD = 2400
-_NEAR, _DEGREE, _BEAM = 48, 24, 32
-#: The share of true pairs that shards hold, at least; vectors sampled for them, pairs of these at most, steps of the margin.
-HELD, QUERIES, PAIRS, STEPS = 0.99, 2000, 5000, 16
+#: Vectors of the sample for centroids, at most; centroids of one level, at most.
+SAMPLE, CENTROIDS = 20_000, 512
+#: Members of a region, at most, and bytes of their vectors; members per centroid that are aimed at, as a share of that.
+REGION, REGION_BYTES, AIM = 12_000, 48 << 20, 0.3
+#: Bytes of centroids that one pass sends to its tasks.
+CENTROID_BYTES = 32 << 20
+#: Levels of regions; members of a shard that are aimed at.
+LEVELS, SHARD = 8, 600
+_NEAR, _DEGREE, _BEAM, _OPEN, _CHUNK = 48, 24, 32, 4, 512
+#: The share of true pairs that regions of one level hold, at least; vectors sampled for them, pairs of these at most, steps of the margin.
+HELD, QUERIES, PAIRS, STEPS = 0.995, 2000, 5000, 16
 
 
 def _unit(column: pd.Series) -> np.ndarray:
     x = np.array(column.tolist(), np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of large values would be infinite, those of small ones zero
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -57,33 +66,17 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _joined(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
-    """Which centroids' shards each vector joins."""
+def _joined(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest centroid of each vector, which centroids' regions it is a member of)."""
     s = x @ c.T
     row, first = np.arange(len(x)), np.argmax(s, axis=1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * (c[first] @ c.T)))
     joined = s[row, first][:, None] - s <= margin * apart + 1e-9
-    s[row, first] = -np.inf
-    joined[row, first] = joined[row, np.argmax(s, axis=1)] = True
-    return joined
+    return first, joined
 
 
-def _deal(c: np.ndarray, margin: float):
-    def run(frames):
-        for f in frames:
-            x = _unit(f["v"])
-            shards = [np.flatnonzero(j).astype(np.int32) for a in range(0, len(x), 1024) for j in _joined(x[a : a + 1024], c, margin)]
-            yield f.assign(shards=pd.Series(shards, index=f.index, dtype=object))
-
-    return run
-
-
-def _margin(some: DataFrame, sample: pd.DataFrame, c: np.ndarray, threshold: float) -> float:
-    """The smallest margin at which shards hold enough of the true pairs of a sample."""
-    if len(c) < 2:
-        return 0.0
-    dim = c.shape[1]
-    whole = float(np.sqrt(max(0.0, (1 - threshold) / 2)))
+def _pairs(some: DataFrame, sample: pd.DataFrame, dim: int, threshold: float) -> list[np.ndarray]:
+    """The true pairs of a sample, each from either end: [vectors, others, the cell of each vector]."""
     sample = sample.iloc[np.linspace(0, len(sample) - 1, min(len(sample), QUERIES, max(200, 2_000_000 // dim))).astype(int)]
     q, ids = _unit(sample["v"]), sample["rep"].to_numpy()
 
@@ -107,132 +100,280 @@ def _margin(some: DataFrame, sample: pd.DataFrame, c: np.ndarray, threshold: flo
             a, b = np.concatenate([a, q[pairs["k"]]]), np.concatenate([b, _unit(pairs["v"])])
     else:
         a, b = q[pairs["k"]], _unit(pairs["v"])
-    for step in range(STEPS):
-        margin = whole * step / STEPS
-        held = [(_joined(a[i : i + 1024], c, margin) & _joined(b[i : i + 1024], c, margin)).any(1) for i in range(0, len(a), 1024)]
-        if held and np.concatenate(held).mean() >= HELD:
-            return margin
-    return whole
+    return [np.concatenate([a, b]), np.concatenate([b, a]), np.zeros(2 * len(a), np.int64)]
 
 
-def _prune(s: np.ndarray, alpha: float) -> list[np.ndarray]:
-    """The robust-pruned neighbours of each row of a similarity matrix of unit vectors."""
-    n = len(s)
-    m = min(_NEAR, n - 1)
-    if m < 1:
-        return [np.zeros(0, np.int64)] * n
-    near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n - 1 else np.argsort(-s, axis=1)[:, :m]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-    far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, near, 1)))
-    alive, chosen, count = np.ones((n, m), bool), np.zeros((n, m), bool), np.zeros(n, int)
-    row = np.arange(n)
-    for _ in range(_DEGREE):
-        ok = alive.any(1)
-        if not ok.any():
+def _margin(cells: dict[int, np.ndarray], base: dict[int, int], pairs: list[np.ndarray], least: float, threshold: float) -> float:
+    """The smallest margin from ``least`` on at which the parts of cells hold enough of the pairs in them, which go to their parts."""
+    whole = float(np.sqrt(max(0.0, (1 - threshold) / 2)))
+    inside = {c: np.flatnonzero(pairs[2] == c) for c in cells}
+    total = sum(map(len, inside.values()))
+    steps = [x for x in whole * np.arange(STEPS + 1) / STEPS if x >= least] or [whole]
+    for margin in steps:
+        held = {}
+        for cell, at in inside.items():
+            kept = [np.zeros(0, bool)]
+            for i in range(0, len(at), 1024):
+                part = at[i : i + 1024]
+                first = _joined(pairs[0][part], cells[cell], 0.0)[0]
+                kept.append(_joined(pairs[1][part], cells[cell], margin)[1][np.arange(len(part)), first])
+            held[cell] = np.concatenate(kept)
+        if sum(x.sum() for x in held.values()) >= HELD * total or margin == steps[-1]:
             break
-        p = np.argmax(alive, axis=1)
-        chosen[row[ok], p[ok]] = True
-        count += ok
-        between = np.sqrt(np.maximum(0, 2 - 2 * s[near[row, p][:, None], near]))
-        alive &= alpha * between > far
-        alive[row, p] = False
-    return [near[i][chosen[i]] for i in range(n)]
+    for cell, at in inside.items():
+        if len(at):
+            pairs[2][at] = np.where(held[cell], base[cell] + np.argmax(pairs[0][at] @ cells[cell].T, axis=1), -1)
+    return float(margin)
+
+
+def _pruned(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, neighbour) of the robust-pruned neighbours of each row of a shard."""
+    n = len(x)
+    m = min(_NEAR, n - 1)
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n if m else 0, _CHUNK):
+        s = x[a : a + _CHUNK] @ x.T
+        k = len(s)
+        row = np.arange(k)
+        s[row, a + row] = -2
+        near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, near, 1)))
+        y = x[near]
+        between = np.sqrt(np.maximum(0, 2 - 2 * (y @ y.transpose(0, 2, 1))))
+        alive, chosen = np.ones((k, m), bool), np.zeros((k, m), bool)
+        for _ in range(_DEGREE):
+            ok = alive.any(1)
+            if not ok.any():
+                break
+            p = np.argmax(alive, axis=1)
+            chosen[row[ok], p[ok]] = True
+            alive &= alpha * between[row, p] > far
+            alive[row, p] = False
+        i, j = np.nonzero(chosen)
+        rows.append(i + a)
+        cols.append(near[i, j])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _graph(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each vector's list, the lists, a medoid of each shard)."""
+    n = len(x)
+    k = max(1, -(-n // SHARD))
+    c = _centroids(x[np.linspace(0, n - 1, min(n, 20 * k + 200)).astype(int)], k, 4) if k > 1 else x.mean(0, keepdims=True)
+    s = x @ c.T
+    in_shard = np.zeros((n, k), bool)
+    for _ in range(min(2, k)):
+        best = np.argmax(s, axis=1)
+        in_shard[np.arange(n), best] = True
+        s[np.arange(n), best] = -np.inf
+    codes, medoids = [], []
+    for j in range(k):
+        members = np.flatnonzero(in_shard[:, j])
+        if not len(members):
+            continue
+        y = x[members]
+        medoids.append(members[int(np.argmax(y @ y.sum(0)))])
+        a, b = _pruned(y, alpha)
+        codes += [members[a] * n + members[b], members[b] * n + members[a]]
+    code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    return np.searchsorted(code, np.arange(n + 1) * n), code % n, np.unique(medoids)
+
+
+def _lists(at: np.ndarray, to: np.ndarray, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, neighbour) for all neighbours of ``node``."""
+    size = at[node + 1] - at[node]
+    place = np.repeat(at[node] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return np.repeat(query, size), to[place]
+
+
+def _search(x: np.ndarray, queries: np.ndarray, graph: tuple, threshold: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, other) of all pairs that the searches find within the range."""
+    at, to, medoids = graph
+    n = len(x)
+    out = []
+    for begin in range(0, len(queries), _CHUNK):
+        who = queries[begin : begin + _CHUNK]
+        k = len(who)
+        seen, opened = np.zeros((k, n), bool), np.zeros((k, n), bool)
+        inside: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def look(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pairs not seen before, and their distances."""
+            new = ~seen[q, node]
+            code = np.unique(q[new] * n + node[new])
+            q, node = code // n, code % n
+            seen[q, node] = True
+            s = np.einsum("ij,ij->i", x[who[q]], x[node])
+            near = s >= threshold - margin
+            inside.append((q[near], node[near], s[near]))
+            return q, node, s
+
+        row = np.arange(k)
+        seen[row, who] = True
+        beam = np.full((k, _BEAM), -1)
+        score = np.full((k, _BEAM), -np.inf)
+        beam[:, 0], score[:, 0] = who, 1.0
+        fresh = look(np.repeat(row, len(medoids)), np.tile(medoids, k))
+        while True:
+            q, node, s = fresh
+            if len(q):
+                # The new ones beside the beam: the best of both are the beam.
+                order = np.lexsort((-s, q))
+                q, node, s = q[order], node[order], s[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                top = rank < _BEAM
+                more, more_score = np.full((k, _BEAM), -1), np.full((k, _BEAM), -np.inf)
+                more[q[top], rank[top]], more_score[q[top], rank[top]] = node[top], s[top]
+                beam, score = np.concatenate([beam, more], 1), np.concatenate([score, more_score], 1)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :_BEAM]
+                beam, score = np.take_along_axis(beam, best, 1), np.take_along_axis(score, best, 1)
+            shut = (beam < 0) | opened[row[:, None], np.maximum(beam, 0)]
+            first = np.cumsum(~shut, axis=1)
+            q, place = np.nonzero(~shut & (first <= _OPEN))
+            if not len(q):
+                break
+            node = beam[q, place]
+            opened[q, node] = True
+            fresh = look(*_lists(at, to, q, node))
+        done = 0
+        while done < len(inside):
+            some = inside[done:]
+            done = len(inside)
+            q, node = np.concatenate([p[0] for p in some]), np.concatenate([p[1] for p in some])
+            new = ~opened[q, node]
+            q, node = q[new], node[new]
+            opened[q, node] = True
+            if len(q):
+                look(*_lists(at, to, q, node))
+        q, node, s = (np.concatenate([p[i] for p in inside]) for i in range(3))
+        hit = s >= threshold
+        out.append((who[q[hit]], node[hit]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n reaches by links."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
-def _graph(alpha: float):
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+def _links(threshold: float, margin: float, alpha: float):
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(key[2]), int(key[3])
         f = f.sort_values("rep", ignore_index=True)
+        ids, copies, block = f["rep"].to_numpy(), f["copies"].to_numpy(), f["block"].to_numpy()
+        n = len(ids)
         x = _unit(f["v"])
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
-        ids = f["rep"].to_numpy()
-        return pd.DataFrame({"rep": ids, "adjacent": [ids[a].tolist() for a in _prune(s, alpha)]})
+        asks = f["query"].to_numpy(bool)
+        a, b = _search(x, np.flatnonzero(asks), _graph(x, alpha), threshold, margin)
+        # A link that only one of two queries has found is both's.
+        code = np.concatenate([a * n + b, (b * n + a)[asks[b]]])
+        code = np.unique(code)
+        a, b = code // n, code % n
+        if i != j:
+            a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+        count = np.bincount(a, weights=copies[b], minlength=n).astype(np.int64)
+        root = _roots(n, a, b)
+        some = asks | (root != np.arange(n))
+        return pd.DataFrame({"rep": ids[some], "n": count[some], "root": ids[root[some]]})
 
     return run
 
 
-def _found(x: np.ndarray, adjacent: list[np.ndarray], threshold: float, margin: float) -> np.ndarray:
-    """Pairs that the search of every row finds within the range."""
-    n = len(x)
-    s = x @ x.T
-    width = max(1, max(map(len, adjacent)))
-    lists = np.full((n, width), -1)
-    for i, a in enumerate(adjacent):
-        lists[i, : len(a)] = a
-    step = np.zeros((n, n), np.float32)
-    step[np.repeat(np.arange(n), [len(a) for a in adjacent]), np.concatenate(adjacent)] = 1
-    step = np.maximum(step, step.T)
-    medoid = int(np.argmax(s.sum(1)))
-    row = np.arange(n)
-    beam = np.full((n, _BEAM), -1)
-    beam[:, 0], beam[:, 1] = medoid, row
-    score = np.full((n, _BEAM), -np.inf)
-    score[:, 0], score[:, 1] = s[:, medoid], 1
-    opened = np.zeros((n, n), bool)
-    seen = np.zeros((n, n), bool)
-    seen[:, medoid] = seen[row, row] = True
-    active = row
-    while len(active):
-        b, sc = beam[active], score[active]
-        shut = (b < 0) | opened[active[:, None], np.maximum(b, 0)]
-        sc_open = np.where(shut, -np.inf, sc)
-        best = np.argmax(sc_open, axis=1)
-        go = sc_open[np.arange(len(active)), best] > -np.inf
-        active = active[go]
-        if not len(active):
-            break
-        node = b[go, best[go]]
-        opened[active, node] = True
-        new = lists[node]
-        fresh = (new >= 0) & ~seen[active[:, None], np.maximum(new, 0)]
-        seen[np.repeat(active, fresh.sum(1)), new[fresh]] = True
-        new_score = np.where(fresh, s[active[:, None], np.maximum(new, 0)], -np.inf)
-        both, both_score = np.concatenate([b[go], np.where(fresh, new, -1)], 1), np.concatenate([sc[go], new_score], 1)
-        top = np.argsort(-both_score, axis=1, kind="stable")[:, :_BEAM]
-        beam[active], score[active] = np.take_along_axis(both, top, 1), np.take_along_axis(both_score, top, 1)
-    wide = s >= threshold - margin
-    edge = seen & wide
-    while True:
-        more = ((edge.astype(np.float32) @ step) > 0) & ~seen & wide
-        if not more.any():
-            break
-        seen |= more
-        edge = more
-    found = seen & (s >= threshold)
-    found |= found.T
-    np.fill_diagonal(found, False)
-    return found
+def _deal(centroids: dict[int, np.ndarray], base: dict[int, int], margin: float):
+    """Rows of the cells in ``centroids`` -> rows of their parts, which are numbered from ``base``."""
 
+    def run(frames):
+        for f in frames:
+            for cell, some in f.groupby("cell", sort=True):
+                c = centroids[int(cell)]
+                for at in range(0, len(some), 1024):
+                    part = some.iloc[at : at + 1024]
+                    near, joined = _joined(_unit(part["v"]), c, margin)
+                    row, k = np.nonzero(joined)
+                    new = part.iloc[row]
+                    yield new.assign(parent=np.int64(cell), cell=base[int(cell)] + k.astype(np.int64), query=new["query"].to_numpy(bool) & (near[row] == k))[list(_COLUMNS)]
+
+    return run
 
-def _links(threshold: float, margin: float):
+
+_COLUMNS = {"cell": "long", "parent": "long", "rep": "long", "copies": "long", "query": "boolean", "v": "array<double>"}
+_SCHEMA = ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
+
+
+def _fit(aim: float):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        shard, i, j = (int(k) for k in key[1:])
-        f = f.sort_values("rep", ignore_index=True)
-        ids = f["rep"].to_numpy()
-        at = pd.Series(np.arange(len(ids)), index=ids)
-        adjacent = [at.reindex(a).dropna().to_numpy(np.int64) for a in f["adjacent"]]
-        found = _found(_unit(f["v"]), adjacent, threshold, margin)
-        block = f["block"].to_numpy()
-        # The pair counts here if no earlier shard holds both, and in one pair of blocks only.
-        before = [np.asarray(x)[np.asarray(x) < shard] for x in f["shards"]]
-        names, column = np.unique(np.concatenate(before), return_inverse=True)
-        inside = np.zeros((len(f), len(names)), np.float32)
-        inside[np.repeat(np.arange(len(f)), [len(x) for x in before]), column] = 1
-        mine = inside @ inside.T == 0
-        mine &= (block[:, None] != block[None, :]) if i != j else True
-        count = (found & mine) @ f["copies"].to_numpy()
-        root = np.arange(len(ids))
-        while True:
-            low = np.minimum(root, np.where(found, root[None, :], len(ids)).min(1, initial=len(ids)))
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        return pd.DataFrame({"rep": ids, "n": count.astype(np.int64), "root": ids[root]})
+        f = f.sort_values("rep")
+        k = int(min(CENTROIDS, len(f), max(2, -(-int(f["m"].iloc[0]) // aim))))
+        return pd.DataFrame({"cell": [int(key[0])], "c": [_centroids(_unit(f["v"]), k).reshape(-1).tolist()]})
 
     return run
 
 
+def _regions(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """``nodes(rep, copies, v)`` -> ``(cell, rep, copies, query, v, blocks)``, cells being regions; those that
+    can't be divided are to be cut into ``blocks``."""
+    most = max(100, min(REGION, REGION_BYTES // (8 * dim)))
+    aim = max(1.0, AIM * most)
+    cap = max(1000, min(SAMPLE, 2_000_000 // dim))
+    rows = nodes.select(F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("parent"), "rep", "copies", F.lit(True).alias("query"), "v")
+    done: list[DataFrame] = []
+    margin, first, parents, pairs = 0.0, 1, {}, None
+    for level in range(LEVELS + 1):
+        sizes = {r["cell"]: (r["m"], r["parent"]) for r in rows.groupBy("cell", "parent").agg(F.count("*").alias("m")).where(F.col("m") > most).collect()}
+        # A part nearly as large as the whole it comes from is not divided further.
+        stuck = [c for c, (m, p) in sizes.items() if level == LEVELS or parents.get(p) and m > 0.7 * parents[p]]
+        large = [c for c in sizes if c not in set(stuck)]
+        blocks = F.lit(1)
+        for c in stuck:
+            blocks = F.when(F.col("cell") == c, int(-(-2 * sizes[c][0] // most))).otherwise(blocks)
+        done.append((rows.where(~F.col("cell").isin(large)) if large else rows).withColumn("blocks", blocks))
+        if not large:
+            break
+        parents = {c: sizes[c][0] for c in large}
+        step = F.lit(1)
+        for c in large:
+            step = F.when(F.col("cell") == c, int(-(-sizes[c][0] // cap))).otherwise(step)
+        size_of = F.lit(0)
+        for c in large:
+            size_of = F.when(F.col("cell") == c, int(sizes[c][0])).otherwise(size_of)
+        some = rows.where(F.col("cell").isin(large) & (F.pmod(F.xxhash64("rep"), step) == 0)).withColumn("m", size_of)
+        fitted = materialize(some.select("cell", "rep", "m", "v").groupBy("cell").applyInPandas(_fit(aim), "cell long, c array<double>"), "vector-centroids")
+        dealt: list[DataFrame] = []
+        batch = max(1, CENTROID_BYTES // (8 * dim * CENTROIDS))
+        for at in range(0, len(large), batch):
+            part = sorted(large)[at : at + batch]
+            c = {r["cell"]: np.array(r["c"]).reshape(-1, dim) for r in fitted.where(F.col("cell").isin(part)).orderBy("cell").collect()}
+            if pairs is None:
+                sample = some.select("rep", "v").orderBy(F.xxhash64("rep")).limit(cap).toPandas().sort_values("rep")
+                pairs = _pairs(nodes, sample, dim, threshold)
+            base = {}
+            for cell, x in c.items():
+                base[cell] = first
+                first += len(x)
+            margin = _margin(c, base, pairs, margin, threshold)
+            dealt.append(rows.where(F.col("cell").isin(part)).mapInPandas(_deal(c, base, margin), _SCHEMA))
+        rows = dealt[0]
+        for x in dealt[1:]:
+            rows = rows.unionByName(x)
+        rows = materialize(rows, "vector-cells")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def vector_links(vectors: DataFrame, threshold: float = 0.95, alpha: float = 1.2, margin: float = 0.05) -> DataFrame:
     """``vectors(vec_id, embedding, ...)`` -> ``(vec_id, n_links, component_id, kept)``, one row for each row.
 
@@ -240,7 +381,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, alpha: float = 1.2
     the other vec_ids linked directly, ``component_id`` is the smallest vec_id that links reach, and
     ``kept`` tells whether it is the row's own. A vector that is null, empty, zero, or holds a null
     or a value that isn't finite is linked with nothing, and so is one without vec_id, whose
-    component is null. Vectors of different lengths aren't linked. Rows repeated under one vec_id
+    component is null. Large and small finite values count like any other. Vectors of different lengths aren't linked. Rows repeated under one vec_id
     are one vector. An empty table gives an empty result; extra columns don't matter.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -249,34 +390,20 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, alpha: float = 1.2
     good = materialize(v.where("vec_id is not null and v is not null").where(fine).distinct(), "vectors")
     nodes = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     nodes = materialize(nodes.withColumn("dim", F.size("v")), "vector-nodes")
-    parts = []
+    regions = []
     for r in nodes.groupBy("dim").count().collect():  # usually one length
-        some = nodes.where(F.col("dim") == r["dim"])
-        sample = some.orderBy(F.xxhash64("rep")).limit(min(SAMPLE, max(1000, 2_000_000 // r["dim"]))).select("rep", "v").toPandas().sort_values("rep")
-        c = _centroids(_unit(sample["v"]), min(CENTROIDS, len(sample), -(-r["count"] // AIM)))
-        margin = _margin(some, sample, c, threshold)
-        parts.append(some.mapInPandas(_deal(c, margin), "v array<double>, rep long, copies long, dim int, shards array<int>"))
-    if not parts:
+        some = _regions(nodes.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], threshold)
+        regions.append(some.withColumn("dim", F.lit(r["dim"])))
+    if not regions:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    dealt = parts[0]
-    for p in parts[1:]:
+    dealt = regions[0]
+    for p in regions[1:]:
         dealt = dealt.unionByName(p)
-    dealt = dealt.withColumn("shard", F.explode("shards"))
-    dealt = materialize(dealt, "vector-shards")
-    # A row for each shard; larger ones are cut into blocks of at most half a shard.
-    sizes = dealt.groupBy("dim", "shard").agg(F.count("*").alias("m"))
-    sizes = sizes.withColumn("blocks", F.when(F.col("m") <= SHARD, 1).otherwise(F.ceil(F.col("m") * 2.5 / SHARD)).cast("int"))
-    dealt = dealt.join(sizes.select("dim", "shard", "blocks"), ["dim", "shard"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    by = ["dim", "shard", "i", "j"]
-    edges = dealt.select(*by, "rep", "v").groupBy(*by).applyInPandas(_graph(alpha), "rep long, adjacent array<long>")
-    united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
-    # A vector in a shard of many blocks has as many lists.
-    united = materialize(united, "vector-graph")
-    full = dealt.select(*by, "rep", "v", "copies", "shards", "block").join(united, "rep")
-    found = materialize(full.groupBy(*by).applyInPandas(_links(threshold, margin), "rep long, n long, root long"), "vector-links")
+    found = dealt.select("dim", "cell", "i", "j", "rep", "copies", "query", "block", "v").groupBy("dim", "cell", "i", "j")
+    found = materialize(found.applyInPandas(_links(threshold, margin, alpha), "rep long, n long, root long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = nodes.join(counts, "rep").join(whole, nodes["rep"] == whole["node"], "left").select(nodes["v"].alias("is"), (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
