@@ -115,15 +115,41 @@ def test_decontamination(spark):
     assert contaminated(d.limit(0), t).count() == 0 and contaminated(d, t.limit(0)).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_by_a_join_gives_the_same(spark, monkeypatch):
     from weftwork.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     rng = random.Random(6)
-    items = [" ".join(f"u{rng.randrange(5000)}" for _ in range(20)) for _ in range(6)]
-    d = spark.createDataFrame([(i, f"x y z {t} z y x") for i, t in enumerate(items)], "doc_id long, text string")
-    t = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in contaminated(d, t).collect()} == {(i, i) for i in range(6)}
+    noise = lambda n: [f"n{rng.randrange(300)}" for _ in range(n)]
+    items = [[f"u{rng.randrange(60)}" for _ in range(rng.choice([3, 7, 9, 12, 13, 20, 60]))] for _ in range(60)]
+    docs = []
+    for w in items + items[:20]:
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "x"
+        docs.append(" ".join(noise(rng.randint(0, 9)) + w + noise(rng.randint(0, 9))))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*docs, "", None, docs[0]])] + [(None, docs[30]), (5, docs[5])], "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(None, " ".join(items[3])), (4, " ".join(items[4])), (4, " ".join(items[9])), (70, None)], "item_id long, text string")
+    one = sorted(map(str, contaminated(d, t).collect()))
+    monkeypatch.setattr(decontaminate, "PROBE_WORDS", 0)
+    assert sorted(map(str, contaminated(d, t).collect())) == one and len(one) > 40
+    assert contaminated(d.limit(0), t).count() == 0
+
+    # Against every diagonal of every pair, for items long enough for the masks.
+    want = set()
+    for i, text in enumerate(docs):
+        h = text.split()
+        for k, w in enumerate(items):
+            if len(w) < 7:
+                continue
+            for shift in range(-len(w), len(h)):
+                same = [h[shift + j] == w[j] for j in range(len(w)) if 0 <= shift + j < len(h)]
+                if len(w) < 13:
+                    hit = len(same) == len(w) and all(same)
+                else:
+                    hit = any(5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + 13, len(same) + 1))
+                if hit:
+                    want.add((i, k))
+    assert {(r.doc_id, r.item_id) for r in contaminated(d.where(f"doc_id < {len(docs)}"), t.where("item_id is not null and item_id < 60").dropDuplicates(["item_id"]).where("item_id <> 4")).collect()} == {x for x in want if x[1] != 4}
 
 
 def test_decontamination_wherever_words_are_replaced(spark):
