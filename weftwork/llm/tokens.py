@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Pieces kept by a worker in each of two generations: those not met again in one of them are forgotten.
-KEEP = 400_000
+KEEP = 600_000
 
 #: The value of pieces whose texts go to the library whole; others have four bytes for each token.
 _ODD = b"odd"
@@ -94,6 +95,9 @@ class Encoder:
                 if v is not None:
                     known[p] = v
                     continue
+                if p.isascii() and p.isalpha():
+                    todo[k].add(p)
+                    continue
                 if not p or p[0].isspace() or p[-1].isspace():
                     known[p] = _ODD
                     continue
@@ -137,36 +141,15 @@ class Encoder:
             self.old = self.inner, self.leading
             self.inner, self.leading = {}, {}
         cut = [t.split(" ") for t in texts]
-        inner, leading = self.inner.get, self.leading.get
-        found = [list(map(inner, c)) for c in cut]
-        new: set[str] = set()
-        first: set[str] = set()
-        for c, f in zip(cut, found, strict=True):
-            f[0] = leading(c[0]) if len(c) > 1 or c[0] else b""
-            if f[0] is None:
-                first.add(c[0])
-            if None in f:
-                i = 0
-                while True:
-                    try:
-                        i = f.index(None, i + 1)
-                    except ValueError:
-                        break
-                    new.add(c[i])
+        new = set(chain.from_iterable(cut)).difference(self.inner)
+        first = {c[0] for c in cut if len(c) > 1 or c[0]}.difference(self.leading)
         if new or first:
             self._learn(new, first)
+        inner, leading = self.inner.__getitem__, self.leading.__getitem__
         out: list[tuple[list[str], list[bytes] | None]] = []
-        for c, f in zip(cut, found, strict=True):
-            if f[0] is None:
-                f[0] = leading(c[0])
-            if None in f:
-                i = 0
-                while True:
-                    try:
-                        i = f.index(None, i + 1)
-                    except ValueError:
-                        break
-                    f[i] = inner(c[i])
+        for c in cut:
+            f = list(map(inner, c))
+            f[0] = leading(c[0]) if len(c) > 1 or c[0] else b""
             out.append((c, None if _ODD in f else f))
         for k, t in enumerate(texts):
             if any(x in t for x in self.added):
