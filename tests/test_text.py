@@ -1,5 +1,7 @@
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import text as T
 from weftwork.functions.html import flat_text, page_text
 from weftwork.functions.rules import PLATFORMS
-from weftwork.operators.mentions import Matcher
+from weftwork.operators.mentions import Sweep, _Pattern, _Text, needs
 
 
 def one(spark, column, **values):
@@ -77,11 +79,49 @@ def test_html():
     ],
 )
 def test_mentions(text, found):
-    assert {e for e, *_ in Matcher(PLATFORMS).find(text, None)[0]} == found
+    assert {e for e, *_ in Sweep(PLATFORMS).find(text, None)[0]} == found
 
 
 def test_rejections_and_titles():
-    m = Matcher(PLATFORMS)
-    assert [(e, t, r) for e, t, r, _ in m.find("snowflake schema and the redshift of galaxies", None)[1]] == [("aws", "redshift", "no_context"), ("snowflake", "snowflake schema", "excluded")]
+    m = Sweep(PLATFORMS)
+    assert [(e, t, r) for e, t, r, _ in m.find("snowflake schema and the redshift of galaxies", None)[1]] == [("aws", r"\bredshift\b", "no_context"), ("snowflake", PLATFORMS.excluded[0][1], "excluded")]
     assert m.find("nothing", "Leaving Databricks")[0] == [("databricks", 1, None)]
     assert m.find("aws redshift serverless", None)[0] == [("aws", 2, 0)]
+
+
+def test_plain_words_are_found_as_by_the_pattern():
+    rng = random.Random(3)
+    alphabet = ["the", "The", "THE", " ", "of", "_", "-", "é", "ı", "ſ", "0", "\n", "to", "x", "İ", "日", "'"]
+    for _ in range(400):
+        t = "".join(rng.choice(alphabet[: rng.choice([9, len(alphabet)])]) for _ in range(40))
+        for p in (r"\bthe\b", r"\bof the\b", r"to", r"\bto", r"the\b", r"\bto the\b", r"\bs3\b"):
+            assert _Pattern(p).spans(_Text(t)).tolist() == [list(m.span()) for m in re.finditer(p, t, re.I)]
+
+
+def test_mentions_of_a_batch_are_those_of_each_row():
+    rng = random.Random(5)
+    words = ["snowflake", "Snowflake", "schema", "warehouse", "redshift", "aws", "amazon redshift", "a", "special", "synapse", "azure", "glue", "fabric", "delta", "lake", "\n", "databricks", "spark", "sql", "x" * 150]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) or None, rng.choice([None, "", "redshift", "Snowflake", "spark news"])) for _ in range(300)]
+    s = Sweep(PLATFORMS)
+    both = s.batch([b for b, _ in rows], [t for _, t in rows])
+    for (b, t), r in zip(rows, both.to_pylist(), strict=True):
+        assert s.find(b, t) == ([tuple(m.values()) for m in r["mentions"]], [tuple(x.values()) for x in r["rejections"]])
+    assert s.batch([], []).to_pylist() == [] and s.find("the redshift", "redshift on aws")[0] == [("aws", 1, None)]
+    # Context is read within the row only, and an exclusion vouches for nothing.
+    assert [x["mentions"] for x in s.batch(["redshift", "aws"], [None, None]).to_pylist()] == [[], []]
+    assert s.find("snowflake schema redshift")[0] == [] and s.find("redshift", "redshift")[1][1:] == []
+
+
+def test_rules_of_some_entities():
+    of = PLATFORMS.of(["databricks"])
+    assert list(of.aliases) == ["databricks"] and not of.ambiguous and not of.excluded and PLATFORMS.of(["aws"]).excluded
+
+
+def test_strings_that_a_match_needs():
+    assert needs(r"\b(?:amazon|aws) redshift\b") == {" redshift"} and needs(r"(?:ab|cde)x?") == {"ab", "cde"} and needs(r"\w+") is None and needs(r"a?") is None and needs(r"(?:Foo)+") == {"foo"}
+    rng = random.Random(1)
+    words = "a special Snowflake snowflakes schema its own snowflake koch snowflake proxy snowflake (slang) twitter's".split(" ")
+    for _ in range(500):
+        t = " ".join(rng.choice(words) for _ in range(6))
+        for _, p in PLATFORMS.excluded:
+            assert not re.search(p, t, re.I) or any(w in t.lower() for w in needs(p))

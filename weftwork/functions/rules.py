@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from weftwork.functions.text import any_of
 
@@ -40,12 +40,18 @@ class Rules:
     def reason(self) -> str:
         return any_of([c for group in self.cues.values() for c in group], whole_words=True)
 
+    def of(self, entities: list[str]) -> Rules:
+        """The rules that the mentions of some entities depend on: their aliases, and all that ambiguous words of theirs ask about."""
+        words = tuple(a for a in self.ambiguous if a.entity in entities)
+        aliases = self.aliases if words else {e: p for e, p in self.aliases.items() if e in entities}
+        return replace(self, aliases=aliases, ambiguous=words, excluded=self.excluded if words else ())
+
     def entities(self) -> list[str]:
         """Entities that count in statistics; technologies (``tech:``) don't."""
         return [e for e in self.aliases if not e.startswith("tech:")]
 
 
-# The phrases, terms and cues of the detectors that results depend on.
+# Phrases, terms and cues of the detectors, and below them aliases, ambiguous words and exclusions, on which results depend.
 SWITCHING_PHRASES = ("migrated from", "moved off", "switched to", "moving from", "instead of", "evaluated", "bake-off", "bakeoff", "POC", "proof of concept", "ripped out", "replaced with", "consolidated onto")
 PLATFORM_TERMS = (
     r"snowflake", r"databricks", r"cloudera", r"hortonworks", r"redshift", r"synapse", r"fabric", r"onelake", r"bigquery",

@@ -1,99 +1,279 @@
-"""Entity mentions in three tiers, with an audit of what was rejected."""
+"""Entity mentions in three tiers, with an audit of what was rejected.
+
+Aliases always count. An ambiguous word counts in the right context, unless it begins in an alias or
+in an exclusion of its entity. Exclusions vouch for nothing, so they are blank where context is read.
+
+All texts of an Arrow batch are one text with marks between them. Each pattern runs over it once,
+and what is left is arithmetic on arrays of spans: what begins in an alias or an exclusion is found
+by a binary search in spans sorted by start with the running maximum of their ends. Texts without
+anything that a pattern could match don't leave the JVM.
+"""
 
 from __future__ import annotations
 
+import pickle
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+from re import _parser as parser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.rules import Rules
+from weftwork.session import spread
 
-_MENTIONS = "array<struct<entity:string,mention_count:int,first_char_offset:int>>"
-_REJECTED = "array<struct<entity:string,term:string,reason:string,snippet:string>>"
+_FOUND = "mentions array<struct<entity:string,mention_count:int,first_char_offset:int>>, rejections array<struct<entity:string,term:string,reason:string,snippet:string>>"
+#: Stands between two texts; a pattern must not match NUL.
+_MARK = "\n\x00\n"
+_AROUND = 60
 
 
-class Matcher:
-    """Finds mentions by a rule set.
+class _Spans:
+    """Spans by start, and whether a place is in one of them."""
 
-    Aliases always count. An ambiguous word counts in the right context, unless it lies in an alias
-    or in an exclusion of its entity. Context is read from the text with exclusions blanked, so that
-    they vouch for nothing. Offsets of an entity are distinct starts.
-    """
+    def __init__(self, start: np.ndarray, end: np.ndarray) -> None:
+        order = np.argsort(start, kind="stable")
+        self.start = start[order]
+        self.reach = np.maximum.accumulate(end[order]) if len(end) else end
+
+    def hold(self, place: np.ndarray) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(len(place), bool)
+        k = np.searchsorted(self.start, place, "right") - 1
+        return (k >= 0) & (self.reach[k] > place)
+
+
+#: Letters whose lower case isn't the whole of what they are taken for without regard to case.
+_OTHER_CASE = re.compile("[ſıİKÅẞϑϕϖϰϱϴϵ]")
+_LITERAL = re.compile(r"(\\b)?([a-z0-9][a-z0-9 ]*[a-z0-9]|[a-z0-9])(\\b)?")
+
+
+class _Text:
+    """A text and its lower case, if that tells the same as matching without regard to case."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        lower = text.lower()
+        self.lower = lower if text.isascii() or len(lower) == len(text) and not _OTHER_CASE.search(text) else None
+
+
+class _Pattern:
+    """A pattern without regard to case. Plain words, which most patterns are, are looked for as such."""
+
+    def __init__(self, pattern: str) -> None:
+        self.regex = re.compile(pattern, re.I)
+        m = _LITERAL.fullmatch(pattern)
+        self.word, self.edges = (m[2], (bool(m[1]), bool(m[3]))) if m else (None, (False, False))
+
+    def spans(self, t: _Text) -> np.ndarray:
+        if self.word is None or t.lower is None:
+            return np.array([m.span() for m in self.regex.finditer(t.text)], np.int64).reshape(-1, 2)
+        at, end = [], 0
+        word, n, text, (before, after) = self.word, len(self.word), t.lower, self.edges
+        find = text.find
+        i = find(word)
+        while i >= 0:
+            end = i + n
+            x, y = text[i - 1 : i], text[end : end + 1]
+            if before and (x.isalnum() or x == "_") or after and (y.isalnum() or y == "_"):
+                end = i + 1
+            else:
+                at.append(i)
+            i = find(word, end)
+        start = np.array(at, np.int64)
+        return np.stack([start, start + n], axis=1)
+
+
+class Sweep:
+    """A rule set made ready for batches of texts."""
 
     def __init__(self, rules: Rules) -> None:
-        c = lambda p: re.compile(p, re.I)
-        self.aliases = {e: [c(p) for p in ps] for e, ps in rules.aliases.items()}
-        self.ambiguous = [(a.entity, c(a.term), a.window, [c(p) for p in a.context], a.cased and re.compile(a.cased)) for a in rules.ambiguous]
-        self.excluded = [(e, c(p)) for e, p in rules.excluded]
-        self.quick = re.compile("|".join(f"(?:{p})" for p in [*(p for ps in rules.aliases.values() for p in ps), *(a.term for a in rules.ambiguous), *(p for _, p in rules.excluded)]) or r"(?!)", re.I)
-
-    def scan(self, text: str, beside: str | None = None) -> tuple[dict[str, set[int]], list[tuple]]:
-        """(offsets by entity, rejections) of one text; ``beside`` is more text that context may be in."""
-        hits: dict[str, set[int]] = {}
+        names = dict.fromkeys([*rules.aliases, *(a.entity for a in rules.ambiguous), *(e for e, _ in rules.excluded)])
+        self.names = list(names)
+        of = {e: k for k, e in enumerate(names)}
+        self.aliases = [(of[e], _Pattern(p)) for e, ps in rules.aliases.items() for p in ps]
+        self.words = [(of[a.entity], a, _Pattern(a.term), re.compile("|".join(f"(?:{c})" for c in a.context) or "(?!)", re.I), re.compile(a.cased or "(?!)")) for a in rules.ambiguous]
+        self.excluded = [(of[e], p, _Pattern(p)) for e, p in rules.excluded]
+
+    def _blanked(self, t: _Text, aliased: _Spans) -> str:
+        """The text with exclusions outside of aliases blank, one pattern after another."""
+        text = t.text
+        for _, _, pattern in self.excluded:
+            t = t if text is t.text else _Text(text)
+            cut = pattern.spans(t)
+            cut = cut[~aliased.hold(cut[:, 0])]
+            if len(cut):
+                edges = [0, *cut.reshape(-1).tolist(), len(text)]
+                text = "".join(" " * (b - a) if k % 2 else text[a:b] for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
+        return text
+
+    def __call__(self, texts: list[str], beside: list[str | None]) -> tuple[np.ndarray, list[tuple]]:
+        """(rows (text, entity, offset) of mentions, sorted and distinct; (text, order, entity, term, reason, snippet) of rejections).
+
+        ``beside``: more text that the context of a text may be in.
+        """
+        whole = _Text(_MARK.join(texts))
+        blob = whole.text
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(size + len(_MARK)) - size - len(_MARK)
+        text_of = lambda place: np.searchsorted(begin, place, "right") - 1
+        hits: list[tuple[int, np.ndarray]] = []
         rejected: list[tuple] = []
-        if not self.quick.search(text):
-            return hits, rejected
-        spans = []
-        for entity, patterns in self.aliases.items():
-            for p in patterns:
-                for m in p.finditer(text):
-                    hits.setdefault(entity, set()).add(m.start())
-                    spans.append(m.span())
-        named = lambda at: any(a <= at < b for a, b in spans)
-        around = text
-        shut: dict[str, list[tuple[int, int]]] = {}
-        for entity, p in self.excluded:
-            around = p.sub(lambda m: m[0] if named(m.start()) else " " * len(m[0]), around)
-            shut.setdefault(entity, []).extend(m.span() for m in p.finditer(text))
-        snippet = lambda m: " ".join(text[max(0, m.start() - 60) : m.end() + 60].split())
-        for entity, term, window, context, cased in self.ambiguous:
-            for m in term.finditer(text):
-                at = m.start()
-                if named(at) or any(a <= at < b for a, b in shut.get(entity, ())):
+
+        def reject(order: int, entity: int, term: str, reason: str, spans: np.ndarray) -> None:
+            for k, (s, e) in zip(text_of(spans[:, 0]).tolist(), spans.tolist(), strict=True):
+                lo, hi = int(begin[k]), int(begin[k] + size[k])
+                rejected.append((k, order, s, self.names[entity], term, reason, " ".join(blob[max(lo, s - _AROUND) : min(hi, e + _AROUND)].split())))
+
+        spans = [p.spans(whole) for _, p in self.aliases]
+        hits += [(e, x[:, 0]) for (e, _), x in zip(self.aliases, spans, strict=True)]
+        every = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+        aliased = _Spans(every[:, 0], every[:, 1])
+        outside = [p.spans(whole) for _, _, p in self.excluded]
+        shut: dict[int, _Spans] = {}
+        for e in {e for e, _, _ in self.excluded}:
+            own = np.concatenate([x for (k, _, _), x in zip(self.excluded, outside, strict=True) if k == e])
+            shut[e] = _Spans(own[:, 0], own[:, 1])
+        blank: str | None = None
+        vouched: dict[tuple[int, int], bool] = {}
+        for order, (entity, rule, term, context, cased) in enumerate(self.words):
+            open_ = term.spans(whole)
+            open_ = open_[~aliased.hold(open_[:, 0])]
+            if entity in shut:
+                open_ = open_[~shut[entity].hold(open_[:, 0])]
+            if not len(open_):
+                continue
+            counts = np.zeros(len(open_), bool)
+            for i, (k, (s, e)) in enumerate(zip(text_of(open_[:, 0]).tolist(), open_.tolist(), strict=True)):
+                if rule.cased and cased.match(blob, s):
+                    counts[i] = True
                     continue
-                near = around[max(0, at - window) : m.end() + window]
-                if cased and cased.match(text, at) or any(p.search(near) or beside and p.search(beside) for p in context):
-                    hits.setdefault(entity, set()).add(at)
-                else:
-                    rejected.append((entity, m[0].lower(), "no_context", snippet(m)))
-        for entity, p in self.excluded:
-            rejected += [(entity, m[0].lower(), "excluded", snippet(m)) for m in p.finditer(text) if not named(m.start())]
-        return hits, rejected
-
-    def find(self, body: str | None, title: str | None) -> tuple[list[tuple], list[tuple]]:
-        """Mentions as (entity, count, first offset in the body or None), in the order of the rules, and rejections."""
-        body = body or ""
-        hits, rejected = self.scan(body)
-        in_title, more = self.scan(title, body) if title and title != body else ({}, [])
-        order = [*self.aliases, *(a[0] for a in self.ambiguous)]
-        found = [(e, len(hits.get(e, ())) + len(in_title.get(e, ())), min(hits[e]) if hits.get(e) else None) for e in dict.fromkeys(order) if e in hits or e in in_title]
-        return found, rejected + more
+                if blank is None:
+                    blank = self._blanked(whole, aliased)
+                lo, hi = int(begin[k]), int(begin[k] + size[k])
+                counts[i] = context.search(blank[max(lo, s - rule.window) : min(hi, e + rule.window)]) is not None
+                if not counts[i] and beside[k]:
+                    if (order, k) not in vouched:
+                        vouched[order, k] = context.search(beside[k]) is not None
+                    counts[i] = vouched[order, k]
+            hits.append((entity, open_[counts, 0]))
+            reject(order, entity, rule.term, "no_context", open_[~counts])
+        for order, ((entity, pattern, _), x) in enumerate(zip(self.excluded, outside, strict=True), len(self.words)):
+            reject(order, entity, pattern, "excluded", x[~aliased.hold(x[:, 0])])
+        place = np.concatenate([x for _, x in hits]) if hits else np.zeros(0, np.int64)
+        entity = np.repeat([e for e, _ in hits], [len(x) for _, x in hits]).astype(np.int64)
+        where = text_of(place)
+        found = np.unique(np.stack([where, entity, place - begin[where]], axis=1), axis=0) if len(place) else np.zeros((0, 3), np.int64)
+        return found, [(k, *rest) for k, _, _, *rest in sorted(rejected, key=lambda r: r[:3])]
+
+    def batch(self, bodies: list[str | None], titles: list[str | None]) -> pa.StructArray:
+        """Mentions and rejections of each row. A title counts besides the body if it is another text."""
+        n = len(bodies)
+        texts = [b or "" for b in bodies]
+        also = [k for k in range(n) if titles[k] and titles[k] != texts[k]]
+        found, rejected = self([*texts, *(titles[k] or "" for k in also)], [*([None] * n), *(texts[k] for k in also)])
+        row = np.concatenate([np.arange(n), np.array(also, np.int64)])[found[:, 0]].astype(np.int64)
+        # One mention for each row and entity, with the number of its places and the first one in the body.
+        key, which, count = np.unique(row * len(self.names) + found[:, 1], return_inverse=True, return_counts=True) if len(row) else (row, row, row)
+        far = np.iinfo(np.int32).max
+        first = np.full(len(key), far, np.int64)
+        np.minimum.at(first, which, np.where(found[:, 0] < n, found[:, 2], far))
+        entity = pa.array(self.names, pa.string()).take(pa.array(key % max(1, len(self.names))))
+        mention = pa.StructArray.from_arrays([entity, pa.array(count.astype(np.int32)), pa.array(first.astype(np.int32), mask=first == far)], ["entity", "mention_count", "first_char_offset"])
+        mentions = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // max(1, len(self.names)), np.arange(n + 1)).astype(np.int32)), mention)
+        of = [r[0] if r[0] < n else also[r[0] - n] for r in rejected]
+        order = np.argsort(np.array(of, np.int64), kind="stable")
+        columns = [pa.array([rejected[k][i] for k in order], pa.string()) for i in range(1, 5)]
+        at = np.searchsorted(np.array(of, np.int64)[order], np.arange(n + 1)).astype(np.int32)
+        rejections = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(columns, ["entity", "term", "reason", "snippet"]))
+        return pa.StructArray.from_arrays([mentions, rejections], ["mentions", "rejections"])
+
+    def find(self, body: str | None, title: str | None = None) -> tuple[list[tuple], list[tuple]]:
+        """Mentions as (entity, count, first offset in the body or None), in the order of the rules, and rejections of one row."""
+        r = self.batch([body], [title])[0].as_py()
+        return [tuple(m.values()) for m in r["mentions"]], [tuple(x.values()) for x in r["rejections"]]
 
 
 @lru_cache(maxsize=8)
-def _matcher(key: str, *_: object) -> Matcher:
-    import pickle
+def _sweep(key: bytes) -> Sweep:
+    return Sweep(pickle.loads(key))
+
+
+#: Characters of texts that are one text at a time.
+_AT_ONCE = 4_000_000
 
-    return Matcher(pickle.loads(bytes.fromhex(key)))
+
+def _parts(sizes: list[int]) -> Iterator[slice]:
+    a = total = 0
+    for b, n in enumerate(sizes):
+        if total and total + n > _AT_ONCE:
+            yield slice(a, b)
+            a, total = b, 0
+        total += n
+    yield slice(a, len(sizes))
+
+
+def needs(pattern: str) -> set[str] | None:
+    """Lower-case strings one of which is in every match of a pattern; None if there are none."""
+
+    def of(nodes) -> set[str] | None:
+        best: set[str] | None = None
+        run = ""
+        for kind, value in [*nodes, (None, None)]:
+            if kind is parser.LITERAL:
+                run += chr(value)
+                continue
+            found: list[set[str] | None] = [{run.lower()} if run else None]
+            run = ""
+            if kind is parser.SUBPATTERN:
+                found.append(of(value[3]))
+            elif kind is parser.BRANCH:
+                each = [of(x) for x in value[1]]
+                found.append(None if None in each else set().union(*each))
+            elif kind is parser.MAX_REPEAT and value[0] > 0:
+                found.append(of(value[2]))
+            for x in found:
+                if x and (best is None or min(map(len, x)) > min(map(len, best))):
+                    best = x
+        return best
+
+    return of(parser.parse(pattern, re.I))
+
+
+def maybe(text: Column, rules: Rules) -> Column:
+    """Whether anything of the rules could be in a text: whether it holds a string that one of their patterns needs."""
+    patterns = [*(p for ps in rules.aliases.values() for p in ps), *(a.term for a in rules.ambiguous), *(p for _, p in rules.excluded)]
+    found = [needs(p) for p in patterns]
+    if None in found:
+        return text.isNotNull()
+    words = sorted(set().union(*found), key=len)
+    words = [w for i, w in enumerate(words) if not any(x in w for x in words[:i])]
+    # Letters that are taken for i, k and s without regard to case.
+    lower = F.translate(F.lower(text), "ıſ", "is")
+    return reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in words], F.lit(False))
 
 
 def with_mentions(docs: DataFrame, rules: Rules, body: str = "body", title: str | None = "title") -> DataFrame:
-    """``docs`` with ``mentions`` and ``rejections``, arrays of structs, empty where there is nothing."""
-    import pickle
+    """``docs`` with ``mentions`` and ``rejections``, arrays of structs, empty where there is nothing.
 
-    key = pickle.dumps(rules).hex()
+    The term of a rejection is the pattern of its rule. A null body or title is empty.
+    """
+    key = pickle.dumps(rules)
 
-    @F.pandas_udf(f"mentions {_MENTIONS}, rejections {_REJECTED}")
-    def run(b: pd.Series, t: pd.Series) -> pd.DataFrame:
-        m = _matcher(key)
-        rows = [m.find(x, y) for x, y in zip(b, t, strict=True)]
-        fields = ("entity", "mention_count", "first_char_offset"), ("entity", "term", "reason", "snippet")
-        return pd.DataFrame({n: [[dict(zip(f, x, strict=True)) for x in r[i]] for r in rows] for i, (n, f) in enumerate(zip(("mentions", "rejections"), fields, strict=True))})
+    @F.arrow_udf(f"struct<{_FOUND.replace('mentions array', 'mentions:array', 1).replace(' rejections array', 'rejections:array')}>")
+    def run(b: pa.Array, t: pa.Array) -> pa.Array:
+        bodies, titles = b.to_pylist(), t.to_pylist()
+        parts = _parts([len(x or "") + len(y or "") for x, y in zip(bodies, titles, strict=True)])
+        return pa.concat_arrays([_sweep(key).batch(bodies[p], titles[p]) for p in parts])
 
-    found = docs.withColumn("_found", run(F.col(body), F.col(title) if title else F.lit(None).cast("string")))
+    # Spark would otherwise run it once more for a filter that it infers from a later explode.
+    run = run.asNondeterministic()
+    b, t = F.col(body).cast("string"), F.col(title).cast("string") if title else F.lit(None).cast("string")
+    some = F.coalesce(maybe(b, rules), F.lit(False)) | F.coalesce(maybe(t, rules), F.lit(False))
+    found = spread(docs).withColumn("_found", run(F.when(some, b), F.when(some, t)))
     return found.withColumns({"mentions": F.col("_found.mentions"), "rejections": F.col("_found.rejections")}).drop("_found")
 
 

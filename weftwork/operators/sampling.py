@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.session import materialize
+
 
 def priority(seed: int | str, id_col: Column) -> Column:
     """A place in a seeded random order that depends on the id only: 16 hexadecimal digits."""
@@ -18,13 +20,25 @@ def uniform(df: DataFrame, n: int, seed: int | str, id_col: str) -> DataFrame:
     return df.orderBy(priority(seed, F.col(id_col)), id_col).limit(n)
 
 
-def systematic(df: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
-    """About ``n`` rows of each group, every k-th from the first on, k = rows // n and at least 1."""
-    w = Window.partitionBy(*by)
-    k = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n))
-    at = F.row_number().over(w.orderBy(*order)) - 1
-    out = df.withColumns({"_k": k, "_at": at}).where("_at % _k = 0 and _at / _k < " + str(n))
-    return out.drop("_k", "_at")
+def systematic(df: DataFrame, n: int, by: list[str], order: list[str], pieces: int = 64) -> DataFrame:
+    """About ``n`` rows of each group, every k-th from the first on, k = rows // n and at least 1.
+
+    A group's rows are dealt to pieces by range of ``order``, so that a group with very many rows is
+    not one task: the places before a piece are the counts of the pieces before it.
+    """
+    d = df.withColumn("_o", F.struct(*order))
+    # Ranges by all rows: a group's rows of one range stay together, in order.
+    d = d.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id())
+    d = materialize(d, "systematic-pieces")
+    sizes = d.groupBy(*by, "_piece").agg(F.count("*").alias("_m"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_m").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"_before": before, "_k": F.greatest(F.lit(1), F.floor(F.sum("_m").over(whole) / n))})
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "_piece"]]
+    d = d.alias("d").join(F.broadcast(sizes).alias("s") if sizes.count() <= 100_000 else sizes.alias("s"), on).select("d.*", "_before", "_k")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)) - 1
+    out = d.withColumn("_at", at).where("_at % _k = 0 and _at / _k < " + str(n))
+    return out.drop("_k", "_at", "_o", "_piece", "_before")
 
 
 def _greedy(pool: pd.DataFrame, available: dict, in_entity: dict, quotas: dict, total: int, least: int, floors: dict) -> dict[int, str]:
@@ -103,6 +117,8 @@ def draw(
     pool = pool.withColumn("r", priority(seed, F.col("id")))
     if exclude is not None:
         pool = pool.join(exclude.select("id"), "id", "left_anti")
+    # Read several times below, while what comes in may be costly.
+    pool = materialize(pool, "draw-pool")
     order = [F.desc("prio"), F.asc("r"), F.asc("id")]
     reach = 2 * max(total, sum(quotas.values())) + sum(floors.values())
     first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -248,7 +248,8 @@ _SOV_SOURCES = ["src0", "src1", "src2"]
  SELECT entity, count(*) AS documents, CAST(sum(n) AS BIGINT) AS mentions, count(*) FILTER (switching) AS switching_documents, count(*) FILTER (reason_v2) AS reason_v2_documents, count(*) FILTER (source = 'src0') AS docs_src0,
   count(*) FILTER (source = 'src1') AS docs_src1, count(*) FILTER (source = 'src2') AS docs_src2, count(*)::DOUBLE / greatest((SELECT count(DISTINCT doc_id) FROM k), 1) AS share FROM k GROUP BY entity""")
 def share_of_voice(spark, d):
-    f = _found(spark, d).where(F.col("source").isin(_SOV_SOURCES)).withColumns({"switching": F.length("body") > 2000, "reason_v2": F.length("body") > 4000})
+    docs = _t(spark, d, "documents").where(F.col("source").isin(_SOV_SOURCES)).select(F.col("doc_id").alias("id"), F.col("text").alias("body"), "source")
+    f = mentions.with_mentions(docs, RULES.of(["english", "french", "spanish"]), title=None).withColumns({"switching": F.length("body") > 2000, "reason_v2": F.length("body") > 4000})
     return corpus.share_of_voice(f, mentions.mention_rows(f), ["english", "french", "spanish"], _SOV_SOURCES)
 
 

@@ -48,6 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores: rows that come in fewer partitions than there are cores, as from a file of one row
+    group, are dealt out; others stay where they are. It changes nothing but where rows are worked on."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
