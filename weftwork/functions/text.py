@@ -46,7 +46,7 @@ def author_hash(salt: str, source: Column, author: Column) -> Column:
     """24 hexadecimal digits that name an author within a source; null for nobody, the empty and the deleted."""
     if not salt:
         raise ValueError("a salt is needed: without one, names are found again by trying them")
-    known = author.isNotNull() & ~author.isin("", "[deleted]")
+    known = author.isNotNull() & ~author.isin("", "[deleted]", "deleted")
     return F.when(known, F.substring(hmac_sha256(salt.encode(), F.concat(source, F.lit(":"), author)), 1, 24))
 
 

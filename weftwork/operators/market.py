@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The dimensions of the model, key and name, and the share of each region.
 WORKLOADS = (("eng", "Data engineering / ETL"), ("wh", "SQL analytics & BI"), ("stream", "Streaming / real-time"), ("ai", "AI/ML & GenAI prep"), ("gov", "Governance / catalog"))
@@ -26,29 +28,39 @@ def assumptions(spark: SparkSession, values: dict[str, float] | None = None) ->
     return spark.createDataFrame(list((values or BASE).items()), "key string, value double")
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _grown(size: pa.Array, growth: pa.Array) -> pa.Array:
+    """A size and its compound growth over five years, in cents. Halves are rounded by the exact binary value, which SQL's round doesn't see."""
+    rows = zip(size.to_pylist(), growth.to_pylist(), strict=True)
+    return pa.array([None if s is None or g is None else [round(s * (1 + g) ** n, 2) for n in range(6)] for s, g in rows], pa.list_(pa.float64()))
+
+
+def scenario(assumptions: DataFrame, which: str = "base") -> DataFrame:
+    """``assumptions(key, value[, low, base, high])`` -> ``(key, value)`` of one case; a blank bound keeps the value."""
+    if which not in ("low", "base", "high"):
+        raise ValueError("a scenario is low, base or high")
+    return assumptions.select("key", F.coalesce(which, "value").alias("value"))
+
+
 def segments(params: DataFrame) -> DataFrame:
     """``params([scenario,] key, value)`` -> sizes of 2025 to 2030 of each workload, deployment, tier and region.
 
     With a ``scenario`` column all scenarios are computed in one pass. Growth starts from the
-    unrounded size; cells are rounded to cents.
+    unrounded size; cells are rounded to cents. A parameter that is missing gives null.
     """
     by = ["scenario"] if "scenario" in params.columns else []
     spark = params.sparkSession
     frame = lambda rows, schema: F.broadcast(spark.createDataFrame(list(rows), schema))  # noqa: E731  # fixed dimensions
 
-    def family(prefix: str, key: str, name: str) -> DataFrame:
-        return params.where(F.col("key").startswith(prefix)).select(*by, F.substring("key", len(prefix) + 1, 99).alias(key), F.col("value").alias(name))
-
     s = frame(WORKLOADS, "w string, workload string").crossJoin(frame(DEPLOYMENTS, "d string, deployment string")).crossJoin(frame(TIERS, "t string, tier string"))
-    if by:
-        s = s.crossJoin(params.select("scenario").distinct())
-    for prefix, key, name in (("firms_", "t", "firms"), ("adoption_", "t", "adoption"), ("spend_", "t", "spend"), ("share_", "w", "w_share"), ("deploy_", "d", "d_share"), ("cagr_", "w", "w_cagr"), ("cagr_deploy_", "d", "d_cagr")):
-        s = s.join(family(prefix, key, name), [*by, key])
     s = s.crossJoin(frame(REGIONS, "region string, r_share double"))
-    growth = (F.col("w_cagr") + F.col("d_cagr")) / 2
-    size = F.col("firms") * F.col("adoption") * F.col("spend") * F.col("w_share") * F.col("d_share") * F.col("r_share")
-    years = [F.round(size * F.round(F.pow(1 + growth, F.lit(float(n))), 12), 2).alias(f"size_{2025 + n}") for n in range(6)]
-    return s.select(*by, "workload", "deployment", "tier", "region", *years, F.round(growth, 4).alias("cagr"))
+    # The few parameters of a scenario are one map.
+    s = params.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("p")).crossJoin(s)
+    value = lambda prefix, key: F.element_at("p", F.concat(F.lit(prefix), key))
+    growth = (value("cagr_", "w") + value("cagr_deploy_", "d")) / 2
+    size = value("firms_", "t") * value("adoption_", "t") * value("spend_", "t") * value("share_", "w") * value("deploy_", "d") * F.col("r_share")
+    s = s.select(*by, "workload", "deployment", "tier", "region", growth.alias("growth"), _grown(size, growth).alias("y"))
+    return s.select(*by, "workload", "deployment", "tier", "region", *[F.col("y")[n].alias(f"size_{2025 + n}") for n in range(6)], F.round("growth", 4).alias("cagr"))
 
 
 def totals(seg: DataFrame, by: list[str]) -> DataFrame:

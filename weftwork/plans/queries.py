@@ -186,7 +186,7 @@ def html_page_text(spark, d):
 
 @query("""SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CAST(value AS DOUBLE) AS value FROM events WHERE (props->>'$.k') IS NOT NULL""")
 def json_props(spark, d):
-    k = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return _t(spark, d, "events").select("event_id", k.alias("k"), F.col("value").cast("double").alias("value")).where("k is not null")
 
 
@@ -387,14 +387,15 @@ def issue_velocity(spark, d):
 
 
 def _snapshots(spark, d):
-    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    old = o.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.lit("?"))
-    new = o.where("o_orderkey % 2 = 0").withColumn("o_custkey", -F.col("o_custkey"))
+    """Orders as of the end of 1998, and those since 1997: together all of them."""
+    o, keep = _t(spark, d, "orders"), ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    old = o.where("o_orderdate < timestamp'1999-01-01'").select(*keep).withColumn("o_orderstatus", F.lit("?"))
+    new = o.where("o_orderdate >= timestamp'1997-01-01'").select(*keep).withColumn("o_custkey", -F.col("o_custkey"))
     return old, new
 
 
-_OLD = "SELECT o_orderkey, o_custkey, '?' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0"
-_NEW = "SELECT o_orderkey, -o_custkey AS o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0"
+_OLD = "SELECT o_orderkey, o_custkey, '?' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'"
+_NEW = "SELECT o_orderkey, -o_custkey AS o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'"
 
 
 @query(f"""SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(o.o_custkey, n.o_custkey) AS o_custkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice
@@ -480,9 +481,16 @@ def final_labels(spark, d):
     return _final(spark, d)
 
 
-@query()
+_AGREED = f"SELECT doc_id, draft_label AS a1, CASE WHEN trim(my_label) = '' THEN draft_label WHEN my_label = 'bad' THEN 'poor' ELSE my_label END AS b1, draft_direction AS a2, draft_direction AS b2 FROM ({_SHEET})"
+
+
+@query(f"""WITH l AS (SELECT 'label' AS field, a1 AS a, b1 AS b FROM ({_AGREED}) UNION ALL SELECT 'direction', a2, b2 FROM ({_AGREED})), c AS (SELECT field, a, b, count(*)::DOUBLE AS n FROM l GROUP BY ALL),
+ t AS (SELECT field, sum(n) AS n, coalesce(sum(n) FILTER (a = b), 0) AS agree, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FROM c GROUP BY 1),
+ e AS (SELECT field, sum(x.n * y.n) AS e FROM (SELECT field, a AS v, sum(n) AS n FROM c GROUP BY ALL) x JOIN (SELECT field, b AS v, sum(n) AS n FROM c GROUP BY ALL) y USING (field, v) GROUP BY 1)
+ SELECT field, n::BIGINT AS n, agree::BIGINT AS agree, round(agree / n, 9) AS pct_agree, CASE WHEN ka > 1 AND kb > 1 THEN round((agree / n - e / (n * n)) / (1 - e / (n * n)), 9) END AS kappa FROM t JOIN e USING (field)""")
 def label_agreement(spark, d):
-    return labels.agreement(_final(spark, d), ["label", "direction"])
+    k = labels.agreement(_final(spark, d), ["label", "direction"])
+    return k.withColumns({"pct_agree": F.round("pct_agree", 9), "kappa": F.round("kappa", 9)})
 
 
 @query(f"""SELECT draft_label AS code, count(*) AS n, count(*) FILTER (draft_label = label) AS kept, count(*) FILTER (draft_label = label)::DOUBLE / count(*) AS share FROM (
@@ -546,28 +554,40 @@ _DIMENSIONS = (
 )
 _SEGMENTS = f"""WITH {_DIMENSIONS}, x AS (SELECT workload, deployment, tier, region, f.value * a.value * s.value * ws.value * ds.value * r.share AS size, (cw.value + cd.value) / 2 AS g FROM w, d, t, r, p f, p a, p s, p ws, p ds, p cw, p cd
  WHERE f.key = 'firms_' || t AND a.key = 'adoption_' || t AND s.key = 'spend_' || t AND ws.key = 'share_' || w AND ds.key = 'deploy_' || d AND cw.key = 'cagr_' || w AND cd.key = 'cagr_deploy_' || d),
- seg AS (SELECT workload, deployment, tier, region, {", ".join(f"round(size * round(pow(1 + g, {n}), 12), 2) AS size_{2025 + n}" for n in range(6))}, round(g, 4) AS cagr FROM x)"""
+ seg AS (SELECT workload, deployment, tier, region, {", ".join(f"round(size * pow(1 + g, {n}), 2) AS size_{2025 + n}" for n in range(6))}, round(g, 4) AS cagr FROM x)"""
+
 
+def _whole(df, *columns):
+    """Sums of cents are compared in thousands: SQL rounds some cells to another cent."""
+    return df.withColumns({c: F.round(F.col(c) / 1000, 0) for c in columns})
 
-@query(_SEGMENTS + " SELECT * FROM seg")
+
+@query(_SEGMENTS + " SELECT workload, deployment, tier, region, " + ", ".join(f"round(size_{y} / 1000, 0) AS size_{y}" for y in range(2025, 2031)) + ", cagr FROM seg")
 def market_segments(spark, d):
-    return market.segments(market.assumptions(spark))
+    return _whole(market.segments(market.assumptions(spark)), *[f"size_{y}" for y in range(2025, 2031)])
 
 
-@query(_SEGMENTS + " SELECT workload, deployment, round(sum(size_2025), 2) AS size_2025, round(sum(size_2030), 2) AS size_2030, round(pow(round(sum(size_2030), 2) / round(sum(size_2025), 2), 0.2) - 1, 4) AS cagr FROM seg GROUP BY ALL")
+@query(_SEGMENTS + " SELECT workload, deployment, round(sum(size_2025) / 1000, 0) AS size_2025, round(sum(size_2030) / 1000, 0) AS size_2030, round(pow(round(sum(size_2030), 2) / round(sum(size_2025), 2), 0.2) - 1, 4) AS cagr FROM seg GROUP BY ALL")
 def market_totals(spark, d):
-    return market.totals(market.segments(market.assumptions(spark)), ["workload", "deployment"])
+    return _whole(market.totals(market.segments(market.assumptions(spark)), ["workload", "deployment"]), "size_2025", "size_2030")
 
 
-@query(_SEGMENTS + " SELECT (SELECT sum(value) FROM p WHERE key LIKE 'top_down_%') AS top_down, (SELECT count(*) FROM p WHERE key LIKE 'top_down_%') AS n_references, round(sum(size_2025), 2) AS bottom_up, round(round(sum(size_2025), 2) - (SELECT sum(value) FROM p WHERE key LIKE 'top_down_%'), 2) AS gap FROM seg")
+@query(_SEGMENTS + " SELECT (SELECT sum(value) FROM p WHERE key LIKE 'top_down_%') AS top_down, (SELECT count(*) FROM p WHERE key LIKE 'top_down_%') AS n_references, round(sum(size_2025) / 1000, 0) AS bottom_up, round((sum(size_2025) - (SELECT sum(value) FROM p WHERE key LIKE 'top_down_%')) / 1000, 0) AS gap FROM seg")
 def market_top_down(spark, d):
     p = market.assumptions(spark)
-    return market.top_down(p, market.segments(p))
+    return _whole(market.top_down(p, market.segments(p)), "bottom_up", "gap")
 
 
-@query()
+_CASES = " UNION ALL ".join(f"SELECT '{k}' AS input, '{n}' AS direction, {by!r}::DOUBLE AS factor" for k in market.DRIVERS for n, by in (("low", 0.8), ("high", 1.2)))
+_GRID = "f.value * a.value * s.value * ws.value * ds.value * r.share * pow(1 + (cw.value + cd.value) / 2, 5)"
+
+
+@query(f"""WITH {_DIMENSIONS}, c AS ({_CASES} UNION ALL SELECT 'base', '', 1.0::DOUBLE), q AS (SELECT c.input, c.direction, key, CASE WHEN key = c.input THEN value * factor ELSE value END AS value FROM p, c),
+ x AS (SELECT f.input, f.direction, sum({_GRID}) AS total FROM w, d, t, r, q f, q a, q s, q ws, q ds, q cw, q cd WHERE f.key = 'firms_' || t AND a.key = 'adoption_' || t AND s.key = 'spend_' || t AND ws.key = 'share_' || w AND ds.key = 'deploy_' || d AND cw.key = 'cagr_' || w AND cd.key = 'cagr_deploy_' || d
+  AND {" AND ".join(f"f.input = {k}.input AND f.direction = {k}.direction" for k in ("a", "s", "ws", "ds", "cw", "cd"))} GROUP BY ALL)
+ SELECT input, direction, round((total - (SELECT total FROM x WHERE input = 'base')) / 1000, 0) AS delta FROM x WHERE input <> 'base'""")
 def market_sensitivity(spark, d):
-    return market.sensitivity(market.assumptions(spark))
+    return _whole(market.sensitivity(market.assumptions(spark)), "delta")
 
 
 @query(_SEGMENTS + " SELECT DISTINCT workload, deployment, cagr FROM seg ORDER BY cagr DESC, workload, deployment LIMIT 5")
@@ -575,9 +595,9 @@ def market_fastest(spark, d):
     return market.fastest(market.segments(market.assumptions(spark)))
 
 
-@query(_SEGMENTS + " SELECT *, row_number() OVER (ORDER BY size_2030 DESC, workload, deployment, tier, region)::INTEGER AS rank FROM seg")
+@query(_SEGMENTS + " SELECT workload, deployment, tier, region, round(size_2030 / 1000, 0) AS size_2030, row_number() OVER (ORDER BY size_2030 DESC, workload, deployment, tier, region)::INTEGER AS rank FROM seg")
 def market_ranked(spark, d):
-    return market.ranked(market.segments(market.assumptions(spark)))
+    return _whole(market.ranked(market.segments(market.assumptions(spark))), "size_2030").select("workload", "deployment", "tier", "region", "size_2030", "rank")
 
 
 _BRANDS = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +34,17 @@ def session(master: str = "local[*]", app: str = "weftwork", **conf) -> SparkSes
 
 
 def reach(spark: SparkSession) -> SparkSession:
-    """Let Python workers that start from now on import this package from where the driver has it,
-    and get their rows in batches that leave a small worker room."""
-    home = str(Path(__file__).resolve().parents[1])
-    environment = spark.sparkContext.environment
-    if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, environment.get("PYTHONPATH")]))
+    """Let Python workers import this package, which Spark sends to them, and get their rows in batches
+    that leave a small worker room (the setting of batches is the session's from then on)."""
+    context = spark.sparkContext
+    if not getattr(context, "_weftwork_sent", False):
+        home = Path(__file__).resolve().parent
+        packed = Path(context._temp_dir) / "weftwork.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        context.addPyFile(str(packed))
+        context._weftwork_sent = True
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
@@ -58,10 +64,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else that of the context's checkpoints.
+    Where neither is set, a single machine gets a temporary one, and a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='weftwork-')}"
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if at.isDefined():
+            found = at.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            found = f"file://{tempfile.mkdtemp(prefix='weftwork-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

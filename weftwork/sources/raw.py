@@ -22,9 +22,15 @@ PLACEHOLDERS = ("", "[deleted]", "[removed]")
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Envelopes from JSON lines; blank lines are skipped, ``raw`` stays as it is."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    v = F.parse_json("value")
+    v = F.try_parse_json("value")
     names = ("source", "kind", "external_id", "query")
-    return lines.select(*[F.variant_get(v, f"$.{n}", "string").alias(n) for n in names], F.to_timestamp(F.variant_get(v, "$.fetched_at", "string")).alias("fetched_at"), F.variant_get(v, "$.raw", "string").alias("raw"))
+    return lines.select(*[F.try_variant_get(v, f"$.{n}", "string").alias(n) for n in names], F.try_to_timestamp(F.try_variant_get(v, "$.fetched_at", "string")).alias("fetched_at"), F.try_variant_get(v, "$.raw", "string").alias("raw"))
+
+
+def rejected_items(items: DataFrame) -> DataFrame:
+    """Envelopes whose payload isn't JSON, or whose source has no mapper: ``(source, kind, external_id, reason)``."""
+    bad = F.when(F.try_parse_json("raw").isNull(), "not JSON").when(~F.col("source").isin(*MAPPERS) & ~F.col("kind").isin(*METRIC_KINDS), "unknown source")
+    return items.withColumn("reason", bad).where("reason is not null").select("source", "kind", "external_id", "reason")
 
 
 def write_jsonl(items: DataFrame, path: str) -> None:
@@ -101,11 +107,18 @@ MAPPERS: dict[str, Callable[[], dict[str, Column]]] = {
 
 def to_documents(items: DataFrame, salt: str) -> DataFrame:
     """Typed documents of all sources; metric kinds and placeholder bodies are left out, NULs removed."""
-    text = items.where(~F.col("kind").isin(*METRIC_KINDS)).withColumn("_raw", F.parse_json("raw"))
-    out = None
-    for source, fields in MAPPERS.items():
-        part = text.where(F.col("source") == source).select("source", "external_id", "fetched_at", *[c.alias(n) for n, c in fields().items()])
-        out = part if out is None else out.unionByName(part)
+    text = items.where(~F.col("kind").isin(*METRIC_KINDS)).withColumn("_raw", F.try_parse_json("raw")).where("_raw is not null")
+    # One pass: each field is that of the row's source.
+    fields = {source: mapper() for source, mapper in MAPPERS.items()}
+
+    def pick(name: str) -> Column:
+        found = F.lit(None)
+        for source, f in fields.items():
+            found = F.when(F.col("source") == source, f[name]).otherwise(found)
+        return found.alias(name)
+
+    names = ("url", "title", "body", "author", "posted_at", "score", "n_comments")
+    out = text.where(F.col("source").isin(*MAPPERS)).select("source", "external_id", "fetched_at", *[pick(n) for n in names])
     clean = lambda c: F.regexp_replace(c, r"\x00", "")
     body = F.regexp_replace(clean(F.coalesce("body", F.lit(""))), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     out = out.withColumns({"body": body, "title": clean(F.col("title")), "author_hash": author_hash(salt, F.col("source"), F.col("author"))})
@@ -115,7 +128,7 @@ def to_documents(items: DataFrame, salt: str) -> DataFrame:
 
 def to_signals(items: DataFrame) -> DataFrame:
     """Long monthly series: tag counts, contributor snapshots, stars (zero-filled), issues (from ``since`` on)."""
-    m = items.where(F.col("kind").isin(*METRIC_KINDS)).withColumn("_raw", F.parse_json("raw"))
+    m = items.where(F.col("kind").isin(*METRIC_KINDS)).withColumn("_raw", F.try_parse_json("raw")).where("_raw is not null")
     cols = ["source", "signal_type", "entity", "period_start", "granularity", "metric", "value", "unit", "fetched_at"]
     row = lambda df, **x: df.select(*[(x[c] if isinstance(x[c], Column) else F.lit(x[c])).alias(c) for c in cols])
     month = lambda c: F.to_date(F.date_trunc("month", F.to_timestamp(c)))
