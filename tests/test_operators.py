@@ -2,10 +2,13 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftwork.operators import corpus, crm, labels, market, merge, sampling, signals
+from weftwork.operators import corpus, crm, export, labels, market, merge, ordering, sampling, signals
 from weftwork.operators.dedupe import dedupe, exact_dedupe, near_dedupe, survivors, with_content_hash
+from weftwork.plans import findings
+from weftwork.sources import raw
 
 LONG = " ".join(f"word{i} stays in place" for i in range(11))
 
@@ -137,3 +140,57 @@ def test_simulation(spark):
     assert t["opportunities"].where("(outcome = 'Won') <> (loss_reason is null)").count() == 0
     assert t["opportunities"].agg(F.avg((F.col("outcome") == "Won").cast("int"))).first()[0] == pytest.approx(0.35, abs=0.04)
     assert t["stage_history"].where("exited_at <= entered_at").count() == 0
+
+
+def test_numbers_and_tiles(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.randrange(50), i) for i in range(400)]
+    d = spark.createDataFrame(rows, "g string, x int, id int")
+    got = {r.id: (r.n, r.of) for r in ordering.numbered(d, ["x", "id"], ["g"], total="of", pieces=5).collect()}
+    for g in ("a", "b", None):
+        own = sorted((x, i) for h, x, i in rows if h == g)
+        assert [got[i] for _, i in own] == [(k, len(own)) for k in range(len(own))]
+    for n in (3, 10, 403):
+        t = spark.range(n).select("id", ordering.tile(F.col("id"), F.lit(n), 10).alias("tile"), F.ntile(10).over(Window.orderBy("id")).alias("want"))
+        assert t.where("tile <> want").isEmpty()
+    assert [r.x for r in ordering.tiered(d.where("id < 30"), [F.col("x") > 40, F.col("x") < 10], "x").select("x").collect()] == sorted((x for _, x, i in rows if i < 30), key=lambda x: (0 if x > 40 else 1 if x < 10 else 2, x))
+    assert [(r.g, r.x) for r in ordering.listed(d.where("id = 0").withColumn("g", F.lit("q")), "g", ["z", "q"]).collect()] == [("z", None), ("q", rows[0][1])]
+
+
+def test_exports(spark, tmp_path):
+    d = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "id int, t string")
+    export.write_csv(d, str(tmp_path / "c"))
+    assert [(r.id, r.t) for r in raw.read_csv(spark, str(tmp_path / "c"), "id int, t string").orderBy("id").collect()] == [(1, 'a "b", c'), (2, "")]
+    export.write_json(d, str(tmp_path / "j"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "j")).collect()) == ['{"id":1,"t":"a \\"b\\", c"}', '{"id":2,"t":null}']
+    export.replace_tables({"x": d}, str(tmp_path / "t"))
+    export.replace_tables({"x": d.limit(1)}, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t/x")).count() == 1
+    text = export.report("R", {"part": d.orderBy("id")})
+    assert text.startswith("# R\n\n## part\n\n| id | t |") and '| 2 |  |' in text and "first 1 rows" in export.to_markdown(d, 1)
+
+
+def test_sources_are_touched(spark):
+    old = spark.createDataFrame([("a", "x", "2024-01-01"), ("b", "y", "2024-01-01")], "name string, note string, last_run string")
+    got = merge.touch_sources(old, spark.createDataFrame([("b", "z"), ("c", "w")], "name string, note string"), F.lit("2024-02-02"))
+    assert sorted(map(tuple, got.collect())) == [("a", "x", "2024-01-01"), ("b", "z", "2024-02-02"), ("c", "w", "2024-02-02")]
+
+
+def test_agreement_of_subsets_and_gates(spark):
+    f = spark.createDataFrame([(1, "a", "a"), (2, "a", "b"), (3, "b", "b"), (4, "b", "b")], "doc_id int, draft_x string, x string")
+    got = {(r.subset, r.field): (r.n, r.agree) for r in labels.agreement(f, ["x"], {"all": F.lit(True), "late": F.col("doc_id") > 2}).collect()}
+    assert got == {("all", "x"): (4, 3), ("late", "x"): (2, 2)}
+    one = spark.createDataFrame([(1, "c")], "document_id int, code string")
+    assert findings.checked(one, findings.gates(one, one, ["document_id", "code"])) is one
+    with pytest.raises(ValueError, match="stored"):
+        findings.checked(one, findings.gates(one, one.limit(0), ["document_id", "code"]))
+    assert {r.value for r in market.scenario(spark.createDataFrame([("k", 1.0, 0.5, None)], "key string, value double, low double, high double"), "low").collect()} == {0.5}
+
+
+def test_market_cells_are_those_of_plain_arithmetic(spark):
+    b = market.BASE
+    for r in market.segments(market.assumptions(spark)).collect():
+        w, d, t = (next(k for k, n in table if n == x) for table, x in ((market.WORKLOADS, r.workload), (market.DEPLOYMENTS, r.deployment), (market.TIERS, r.tier)))
+        size = b[f"firms_{t}"] * b[f"adoption_{t}"] * b[f"spend_{t}"] * b[f"share_{w}"] * b[f"deploy_{d}"] * dict(market.REGIONS)[r.region]
+        growth = (b[f"cagr_{w}"] + b[f"cagr_deploy_{d}"]) / 2
+        assert [r[f"size_{2025 + n}"] for n in range(6)] == [round(size * (1 + growth) ** n, 2) for n in range(6)]

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftwork.operators.ordering import numbered, tile
+
 # The parameters of the simulation.
 PARAMS = {
     "seed": 42, "accounts": 1500, "opportunities": 4000, "win_rate": 0.35, "churn_rate": 0.08, "expansion_rate": 0.30, "contraction_rate": 0.12,
@@ -114,7 +116,8 @@ def adoption(rows: DataFrame, by: list[str], key: str, measures: dict[str, str],
 def churn_by_decile(usage: DataFrame, key: str, amount: str, outcome: DataFrame, churn: Column, contraction: Column, tiles: int = 10) -> DataFrame:
     """Churn and contraction by deciles of total usage. Usage is summed before it is joined; ties go by key."""
     total = usage.groupBy(key).agg(F.sum(amount).alias("total")).join(outcome, key)
-    total = total.withColumn("decile", F.ntile(tiles).over(Window.orderBy("total", key)).cast("long"))
+    total = numbered(total, ["total", key], name="_at", total="_rows")
+    total = total.withColumn("decile", tile(F.col("_at"), F.col("_rows"), tiles))
     out = total.groupBy("decile").agg(F.count("*").alias("accounts"), F.count_if(churn).alias("churned"), F.round(F.avg(contraction), 6).alias("avg_contraction"))
     return out.withColumn("churn_rate", F.round(F.col("churned").cast("double") / F.col("accounts"), 3))
 

@@ -36,11 +36,14 @@ def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFra
     return t.select(*by, F.col("n").cast("long").alias("n"), F.col("agree").cast("long").alias("agree"), po.alias("pct_agree"), k.alias("kappa"))
 
 
-def agreement(final: DataFrame, fields: list[str]) -> DataFrame:
-    """Agreement of draft and final labels for each field."""
+def agreement(final: DataFrame, fields: list[str], subsets: dict[str, Column] | None = None) -> DataFrame:
+    """Agreement of draft and final labels for each field, and for each of ``subsets``, conditions by name, if they are given."""
     pairs = ", ".join(f"'{f}', draft_{f}, {f}" for f in fields)
-    long = final.selectExpr("doc_id", f"stack({len(fields)}, {pairs}) as (field, a, b)")
-    return kappa(long, "a", "b", ["field"])
+    if not subsets:
+        return kappa(final.selectExpr(f"stack({len(fields)}, {pairs}) as (field, a, b)"), "a", "b", ["field"])
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in subsets.items()]))
+    each = final.withColumn("subset", F.explode(inside))
+    return kappa(each.selectExpr("subset", f"stack({len(fields)}, {pairs}) as (field, a, b)"), "a", "b", ["subset", "field"])
 
 
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -36,6 +36,12 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
     return old.join(new.select(*scope).distinct(), scope, "left_anti").unionByName(new)
 
 
+def touch_sources(old: DataFrame, new: DataFrame, run_at: Column) -> DataFrame:
+    """``(name, ..., last_run)``: sources that aren't known are added, known ones get the new metadata, and all of ``new`` the time of the run."""
+    new = new.withColumn("last_run", run_at)
+    return merge(old, new, ["name"], [c for c in new.columns if c != "name"])
+
+
 def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that are in one snapshot only, with ``change`` ``removed`` or ``added``."""
     a, b = before.select(*keys).distinct(), after.select(*keys).distinct()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.functions.text import word_count
+from weftwork.operators.ordering import numbered
 from weftwork.session import materialize
 
 
@@ -20,25 +22,17 @@ def uniform(df: DataFrame, n: int, seed: int | str, id_col: str) -> DataFrame:
     return df.orderBy(priority(seed, F.col(id_col)), id_col).limit(n)
 
 
-def systematic(df: DataFrame, n: int, by: list[str], order: list[str], pieces: int = 64) -> DataFrame:
-    """About ``n`` rows of each group, every k-th from the first on, k = rows // n and at least 1.
+def systematic(df: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
+    """About ``n`` rows of each group, every k-th from the first on, k = rows // n and at least 1."""
+    d = numbered(df, order, by, "_at", "_total").withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_total") / n)))
+    return d.where("_at % _k = 0 and _at / _k < " + str(n)).drop("_at", "_total", "_k")
 
-    A group's rows are dealt to pieces by range of ``order``, so that a group with very many rows is
-    not one task: the places before a piece are the counts of the pieces before it.
-    """
-    d = df.withColumn("_o", F.struct(*order))
-    # Ranges by all rows: a group's rows of one range stay together, in order.
-    d = d.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id())
-    d = materialize(d, "systematic-pieces")
-    sizes = d.groupBy(*by, "_piece").agg(F.count("*").alias("_m"))
-    whole = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("_m").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumns({"_before": before, "_k": F.greatest(F.lit(1), F.floor(F.sum("_m").over(whole) / n))})
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "_piece"]]
-    d = d.alias("d").join(F.broadcast(sizes).alias("s") if sizes.count() <= 100_000 else sizes.alias("s"), on).select("d.*", "_before", "_k")
-    at = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)) - 1
-    out = d.withColumn("_at", at).where("_at % _k = 0 and _at / _k < " + str(n))
-    return out.drop("_k", "_at", "_o", "_piece", "_before")
+
+def prepared(docs: DataFrame, mentions: DataFrame, flag: Column, prio: Column, text: str = "body") -> DataFrame:
+    """``docs(id, source, <text>)``, ``mentions(document_id, entity)`` -> what ``draw`` takes: ``(id, source, words, entities, flag, prio)``."""
+    sets = mentions.groupBy(F.col("document_id").alias("_id")).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+    d = docs.select("id", "source", word_count(F.col(text)).alias("words"), flag.alias("flag"), prio.alias("prio"))
+    return d.join(sets, d["id"] == sets["_id"], "left").select("id", "source", "words", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), "flag", "prio")
 
 
 def _greedy(pool: pd.DataFrame, available: dict, in_entity: dict, quotas: dict, total: int, least: int, floors: dict) -> dict[int, str]:

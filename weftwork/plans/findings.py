@@ -33,8 +33,29 @@ def findings(docs: DataFrame, mentions: DataFrame, labels: DataFrame, entities:
     return head
 
 
-def to_json(row: DataFrame) -> DataFrame:
-    return row.select(F.to_json(F.struct(*row.columns)).alias("json"))
+def lens_documents(docs: DataFrame, mentions: DataFrame, labels: DataFrame, entity: str, entities: list[str]) -> DataFrame:
+    """The documents that mention an entity, oldest first: ``(id, source, posted_at, others, taxonomy_code)``, the time
+    in ISO form, null where it is missing, and ``others`` the other entities that they mention."""
+    m = mentions.where(F.col("entity").isin([*entities, entity])).groupBy("document_id").agg(F.array_sort(F.collect_set("entity")).alias("all"))
+    m = m.where(F.array_contains("all", entity)).select(F.col("document_id").alias("id"), F.array_except("all", F.array(F.lit(entity))).alias("others"))
+    code = labels.groupBy(F.col("document_id").alias("id")).agg(F.min("taxonomy_code").alias("taxonomy_code"))
+    d = docs.join(m, "id").join(code, "id", "left").orderBy(F.col("posted_at").asc_nulls_last(), "id")
+    return d.select("id", "source", F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("posted_at"), "others", "taxonomy_code")
+
+
+def lens(found: DataFrame) -> DataFrame:
+    """Counts of ``lens_documents`` by source and year: ``(source, year, documents, labelled, with_others)``."""
+    year = F.substring("posted_at", 1, 4).cast("int")
+    return found.groupBy("source", year.alias("year")).agg(F.count("*").alias("documents"), F.count("taxonomy_code").alias("labelled"), F.count_if(F.size("others") > 0).alias("with_others"))
+
+
+def checked(findings: DataFrame, *problems: DataFrame) -> DataFrame:
+    """The findings, if no gate has a row: stored labels that aren't the committed ones, or evidence that isn't in the text."""
+    for p in problems:
+        bad = p.limit(5).collect()
+        if bad:
+            raise ValueError(f"findings don't hold: {[r.asDict() for r in bad]}")
+    return findings
 
 
 def gates(labels: DataFrame, committed: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from weftwork.functions import text as T
 from weftwork.functions.html import extract_text, html_to_text
 from weftwork.functions.rules import Ambiguous, Rules
-from weftwork.operators import corpus, crm, dedupe, labels, market, matrix, mentions, merge, sampling, signals
+from weftwork.operators import corpus, crm, dedupe, labels, market, matrix, mentions, merge, ordering, sampling, signals
+from weftwork.operators.export import to_json
+from weftwork.plans import findings as findings_
 from weftwork.session import table
+from weftwork.sources import raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,10 +229,16 @@ def alias_counts(spark, d):
     return mentions.mention_rows(mentions.with_mentions(docs, one, title=None)).select("document_id", "entity", "mention_count")
 
 
-@query()
+@query(rf"""SELECT doc_id AS id, 'substring_only' AS reason, CAST(NULL AS VARCHAR) AS snippet FROM (SELECT *, {_LOWER_WORDS} AS w FROM documents) WHERE contains(lower(text), 'die') AND NOT list_contains(w, 'die') AND NOT list_contains(w, 'der')""")
 def mention_audit(spark, d):
     f = _found(spark, d)
-    return mentions.not_counted(f, mentions.mention_rows(f), mentions.rejection_rows(f), "secret", "token")
+    return mentions.not_counted(f, mentions.mention_rows(f), mentions.rejection_rows(f), "german", "die")
+
+
+@query()
+def mention_audit_rejected(spark, d):
+    f = _found(spark, d)
+    return mentions.not_counted(f, mentions.mention_rows(f), mentions.rejection_rows(f), "article", "to")
 
 
 @query(r"""WITH m AS (SELECT DISTINCT o_custkey AS id, p_brand AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
@@ -640,3 +649,97 @@ def crm_simulated_usage_deciles(spark, d):
 def crm_simulated_delivery(spark, d):
     r = crm.generate(spark)["releases"]
     return crm.delivery(r, "pm_team", F.col("planned_points"), F.col("delivered_points"), F.col("on_time"), F.datediff("actual_release_date", "planned_release_date"))
+
+
+# --- ingestion, label sets, findings -------------------------------------------------
+
+
+def _envelopes(spark, d):
+    """Documents as the raw comments of a source."""
+    raw_ = F.to_json(F.struct(F.col("text").alias("body"), F.col("source").alias("author"), F.concat(F.lit("/d/"), "doc_id").alias("permalink"), F.lit(1700000000.0).alias("created_utc"), F.col("n_chars").alias("score")))
+    return _t(spark, d, "documents").select(F.lit("reddit").alias("source"), F.lit("comment").alias("kind"), F.col("doc_id").cast("string").alias("external_id"), F.lit("2024-05-01").cast("timestamp").alias("fetched_at"), F.lit("q").alias("query"), raw_.alias("raw"))
+
+
+@query(rf"""WITH t AS (SELECT *, regexp_replace(regexp_replace(text, '^[\s\x0b\x1c-\x1f]+', ''), '[\s\x0b\x1c-\x1f]+$', '') AS body FROM documents)
+ SELECT doc_id::VARCHAR AS external_id, '/d/' || doc_id AS url, n_chars::INTEGER AS score, length(body)::INTEGER AS chars, epoch(TIMESTAMP '2023-11-14 22:13:20')::BIGINT AS posted FROM t WHERE body NOT IN ('', '[deleted]', '[removed]')""")
+def ingested_documents(spark, d):
+    docs = raw.to_documents(_envelopes(spark, d), "salt")
+    return docs.select("external_id", "url", "score", F.length("body").alias("chars"), F.unix_timestamp("posted_at").alias("posted"))
+
+
+@query("""WITH e AS (SELECT event_type AS entity, date_trunc('month', ts)::DATE AS period_start, count(*) AS n FROM events GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY entity ORDER BY period_start) AS total FROM e)
+ SELECT entity, period_start, 'new_stars' AS metric, n::DOUBLE AS value, 'stars' AS unit FROM c UNION ALL SELECT entity, period_start, 'cumulative_stars', total::DOUBLE, 'stars' FROM c""")
+def ingested_signals(spark, d):
+    raw_ = F.to_json(F.struct(F.col("event_type").alias("repo"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("starred_at")))
+    items = _t(spark, d, "events").select(F.lit("github").alias("source"), F.lit("repo_stars").alias("kind"), F.col("event_id").cast("string").alias("external_id"), F.lit("2024-05-01").cast("timestamp").alias("fetched_at"), F.lit("q").alias("query"), raw_.alias("raw"))
+    return raw.to_signals(items).select("entity", "period_start", "metric", "value", "unit")
+
+
+@query("SELECT event_type AS signal_type, count(*) AS n_rows, count(DISTINCT user_id) AS entities, min(ts)::DATE AS first, max(ts)::DATE AS last FROM events GROUP BY 1")
+def signal_summary(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_type").alias("signal_type"), F.col("user_id").alias("entity"), F.to_date("ts").alias("period_start"))
+    return signals.summary(e)
+
+
+_SETS = "SELECT doc_id AS document_id, source AS sample, CASE WHEN toxic = 1 THEN 'review' ELSE 'draft' END AS labeled_by FROM labels JOIN documents USING (doc_id)"
+
+
+@query(f"SELECT s.* FROM ({_SETS}) s JOIN (SELECT sample, max(labeled_by) AS best FROM ({_SETS}) GROUP BY 1) b ON s.sample = b.sample AND s.labeled_by = b.best")
+def preferred_labels(spark, d):
+    lb, docs = _t(spark, d, "labels", "documents")
+    rows = lb.join(docs.select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("document_id"), F.col("source").alias("sample"), F.when(F.col("toxic") == 1, "review").otherwise("draft").alias("labeled_by"))
+    return labels.preferred(rows, ["review", "draft"])
+
+
+def _lens(spark, d):
+    """Documents with a made time of posting, mentions of aliases, labels as codes."""
+    docs, lb = _t(spark, d, "documents", "labels")
+    docs = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), "source", F.timestamp_seconds(F.when(F.col("doc_id") % 7 > 0, 1600000000 + (F.col("doc_id") % 1000) * 86400)).alias("posted_at"))
+    found = mentions.mention_rows(mentions.with_mentions(docs.select("id", "body"), RULES.of(_VOICES), title=None))
+    codes = lb.select(F.col("doc_id").alias("document_id"), F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "none").otherwise("poor").alias("taxonomy_code"))
+    return docs, found, codes
+
+
+_VOICES = ["english", "french", "spanish"]
+_LENS = rf"""WITH t AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 7 > 0 THEN TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * (1600000000 + (doc_id % 1000) * 86400) END AS posted, {_LOWER_WORDS} AS w FROM documents),
+ f AS (SELECT *, list_concat(CASE WHEN list_contains(w, 'le') THEN ['french'] ELSE []::VARCHAR[] END, CASE WHEN list_contains(w, 'el') THEN ['spanish'] ELSE []::VARCHAR[] END) AS others FROM t WHERE list_contains(w, 'the')),
+ l AS (SELECT f.*, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'none' WHEN quality IS NOT NULL THEN 'poor' END AS code FROM f LEFT JOIN labels ON doc_id = id)"""
+
+
+@query(_LENS + " SELECT id, source, strftime(posted, '%Y-%m-%dT%H:%M:%S') AS posted_at, array_to_string(others, ' ') AS others, code AS taxonomy_code FROM l")
+def entity_lens_documents(spark, d):
+    docs, found, codes = _lens(spark, d)
+    return findings_.lens_documents(docs, found, codes, "english", _VOICES).withColumn("others", F.array_join("others", " "))
+
+
+@query(_LENS + " SELECT source, coalesce(year(posted), 0)::INTEGER AS year, count(*) AS documents, count(code) AS labelled, count(*) FILTER (len(others) > 0) AS with_others FROM l GROUP BY ALL")
+def entity_lens(spark, d):
+    docs, found, codes = _lens(spark, d)
+    return findings_.lens(findings_.lens_documents(docs, found, codes, "english", _VOICES)).na.fill(0, ["year"])
+
+
+@query()
+def findings(spark, d):
+    docs, found, codes = _lens(spark, d)
+    docs = docs.withColumns({"switching": F.length("body") > 2000, "reason_v2": F.length("body") > 4000})
+    sets = codes.withColumn("labeled_by", F.lit("review")).unionByName(codes.withColumn("labeled_by", F.lit("model_draft")))
+    return to_json(findings_.findings(docs, found, sets, _VOICES, _SOV_SOURCES, [1, 2, 3]))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels ORDER BY CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END, doc_id")
+def review_order(spark, d):
+    return ordering.tiered(_t(spark, d, "labels"), [F.col("toxic") == 1, F.col("quality") == 0], "doc_id").select("doc_id", "quality", "toxic")
+
+
+@query("SELECT r_name, coalesce(r_regionkey, -1) AS r_regionkey FROM (VALUES (0, 'ASIA'), (1, 'ATLANTIS'), (2, 'AFRICA')) v(k, r_name) LEFT JOIN region USING (r_name) ORDER BY k")
+def listed_regions(spark, d):
+    return ordering.listed(_t(spark, d, "region").select("r_name", "r_regionkey"), "r_name", ["ASIA", "ATLANTIS", "AFRICA"]).na.fill(-1)
+
+
+@query(_SEGMENTS.replace("seg AS", "unused AS") + f" SELECT input || '' AS scenario, total FROM (SELECT 'low' AS input, round(sum(size * pow(1 + g, 5)) * 0.8 / 1000, 0) AS total FROM x UNION ALL SELECT 'high', round(sum(size * pow(1 + g, 5)) * 1.2 / 1000, 0) FROM x UNION ALL SELECT 'base', round(sum(size * pow(1 + g, 5)) / 1000, 0) FROM x)")
+def market_scenarios(spark, d):
+    a = market.assumptions(spark)
+    spend = F.col("key").startswith("spend_")
+    a = a.select("key", "value", *[F.when(spend, F.col("value") * by).alias(n) for n, by in (("low", 0.8), ("base", 1.0), ("high", 1.2))])
+    total = lambda n: market.segments(market.scenario(a, n)).agg(F.round(F.sum("size_2030") / 1000, 0).alias("total")).select(F.lit(n).alias("scenario"), "total")
+    return total("low").union(total("base")).union(total("high"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftwork.functions.html import html_to_text, unescape
 from weftwork.functions.text import author_hash, content_hash
 from weftwork.operators.signals import filled_series, velocity
+from weftwork.sources.recorded import open_text
 
 METRIC_KINDS = ("tag_count", "repo_stars", "repo_issue", "repo_contributors")
 PLACEHOLDERS = ("", "[deleted]", "[removed]")
@@ -43,6 +44,24 @@ def read_csv(spark: SparkSession, path: str, schema: str, tag: str | None = None
     return df if tag is None else df.withColumn(tag, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An export of documents: a file with one JSON array, or one object for each line."""
+    return spark.read.json(path, schema=schema, multiLine=True)
+
+
+def read_parameters(path: str) -> dict:
+    """A small YAML or JSON file of parameters, read by the driver."""
+    import json
+
+    with open_text(path) as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text)
+
+
 def search_queries(spark: SparkSession, base: dict[str, list[str]], phrases: list[str]) -> DataFrame:
     """Each base query of an entity by itself and with each phrase in quotes."""
     rows = spark.createDataFrame([(e, q) for e, qs in base.items() for q in qs], "entity string, base string")

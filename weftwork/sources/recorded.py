@@ -7,10 +7,12 @@ set, and the others go on.
 
 from __future__ import annotations
 
+import io
 import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from typing import TextIO
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -30,6 +32,16 @@ def with_retries(call: Callable[[], object], tries: int = 6, base: float = 2.0,
     raise RuntimeError("no tries")
 
 
+def open_text(path: str) -> TextIO:
+    """A text file by a local path, or by an address that Arrow's file systems know."""
+    if "://" not in path:
+        return open(path, encoding="utf-8")
+    from pyarrow import fs
+
+    found, at = fs.FileSystem.from_uri(path)
+    return io.TextIOWrapper(found.open_input_stream(at), encoding="utf-8")
+
+
 class _Query(InputPartition):
     def __init__(self, query: str, path: str) -> None:
         self.query, self.path = query, path
@@ -46,7 +58,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Query) -> Iterator[tuple]:
         seen: set[str] = set()
         try:
-            with open(partition.path, encoding="utf-8") as f:
+            with open_text(partition.path) as f:
                 for line in f:
                     if not line.strip():
                         continue
