@@ -144,6 +144,15 @@ def test_pseudonyms(spark):
     assert pseudonymize(d.limit(0), b"key").count() == 0
 
 
+def test_one_number_has_one_pseudonym_however_it_is_grouped():
+    p = Pseudonyms(b"key")
+    for ways in (["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (20) 7946 0958"], ["+1 212 555 0187", "+1.212.555.0187", "+12125550187"], ["+353 86 555 0187", "+353865550187"]):
+        new = {re.sub(r"\D", "", p.replace(x)[0]) for x in ways}
+        assert len(new) == 1 and new != {re.sub(r"\D", "", ways[0])}
+        assert all(Pseudonyms(b"key", back=True).replace(p.replace(x)[0])[0] == x for x in ways)
+    assert p.replace("version 4.12.10.3 and v4.12.10.3")[1] == {} and p.replace("at 4.12.10.3")[1] != {}
+
+
 def test_pseudonyms_beside_other_numbers():
     card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
     plain, short = card.replace(" ", ""), iban.replace(" ", "")

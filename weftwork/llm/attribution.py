@@ -112,6 +112,7 @@ def _run(path: str, sections: Callable[[str], list[tuple[str, int, int]]], rule:
                 number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 cols = [part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), kind, *map(pa.array, (first, width, n, tokens[row]))]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        encoder.forget()
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.components import components
-from weftwork.llm.textbatch import chunks, mix, set_id, shingle_sets
+from weftwork.llm.textbatch import chunks, mix, relieve, set_id, shingle_sets
 from weftwork.session import discard, materialize
 
 #: Shingles held by a task before it counts them.
@@ -67,6 +67,8 @@ def _names(width: int):
                     yield count()
                     held, size = [], 0
         yield count()
+        held = []
+        relieve()
 
     return run
 
@@ -118,6 +120,7 @@ def _keys(width: int, num: int, den: int, extend: int, combine_below: int, frequ
                 if keys:
                     each = lambda x, t: pa.array(np.repeat(np.array(x, t), rows))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), each(nodes, np.int64), each(sizes, np.int32), each(many, np.int32), pa.array(np.concatenate(rare))], ["key", "node", "n", "f", "rare"])
+        relieve()
 
     return run
 
@@ -129,6 +132,7 @@ def _compare(width: int):
                 left, right = shingle_sets(part.column("text_a"), width), shingle_sets(part.column("text_b"), width)
                 both = [len(x) + len(y) - len(np.union1d(x, y)) for x, y in zip(left, right, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both, pa.int64()), pa.array([len(x) + len(y) - z for x, y, z in zip(left, right, both, strict=True)], pa.int64())], ["a", "b", "shared", "united"])
+        relieve()
 
     return run
 

@@ -40,13 +40,15 @@ _FIND = re.compile(
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<iso>(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-]))"
     r"|(?P<day>(?<![0-9./-])[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)(?:19|20)[0-9]{2}(?![0-9]|[./-][0-9]))"
-    r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
+    r"|(?P<ip>(?<![0-9.])(?<![vV])(?<!ersion )(?<!elease )(?<!uild )(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
     r"|(?P<phone>(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]))"
     r"|(?P<card>(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 )
 _GROUP = re.compile(r"[0-9]+")
 #: Groups of digits that cards are usually written in.
 _USUAL = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+#: Calling codes of one and of two digits; all others have three.
+_COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: The lengths of IBANs by country.
 _LENGTHS = {
     country: int(size)
@@ -175,7 +177,10 @@ class Pseudonyms:
     def phone(self, x: str) -> str | None:
         if len(re.sub(r"\D", "", x)) > 15:
             return None
-        start = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|", x)[0]
+        # The country's code, however the number is grouped, so that one number has one pseudonym.
+        start = x[: 1 + next(n for n in (1, 2, 3) if n == 3 or x[1 : n + 1] in _COUNTRIES)] if x[0] == "+" else ""
+        if not start[1:].isdigit() and start:
+            return None
         rest = re.sub(r"\D", "", x[len(start) :])
         # Without a country code the first digit tells a number from others, and stays in its range.
         new = self._valid(rest, f"phone{start}", lambda v: len(v) >= 6 and (bool(start) or v[0] not in "01" and v[3] not in "01"), lambda v: self.characters(v, f"phone{start}"))

@@ -6,6 +6,7 @@ handled as 64-bit hashes; that two of them are confused by chance is not conside
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["pow"], _tables["inv"]
 
 
+def relieve() -> None:
+    """Give memory that isn't used any more back to the system, at the end of a task: a waiting worker shares its executor's room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that scatters them."""
     with np.errstate(over="ignore"):

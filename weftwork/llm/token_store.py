@@ -50,6 +50,7 @@ def _pack(path: str, end_id: int, block: int):
                     if size >= SEGMENT_IDS:
                         yield close()
                         ids, held, size, seq = [], [], 0, seq + 1
+        encoder.forget()
         if ids:
             yield close()
 

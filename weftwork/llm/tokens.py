@@ -4,7 +4,7 @@ For a byte-level BPE whose pre-tokenizer is the usual pattern of such vocabulari
 between two characters that aren't white space always starts a new pre-token. Texts are therefore
 cut there, the library encodes each distinct piece, and the ids of a text are those of its pieces
 in a row: the same ids as the library gives for the whole text. Texts with other uses of spaces, or
-with the string of an added token such as ``<|endoftext|>``, go to the library whole. A worker keeps a bounded number of pieces between tasks.
+with the string of an added token such as ``<|endoftext|>``, go to the library whole. A task keeps a bounded number of pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces kept by a worker in each of two generations: those not met again in one of them are forgotten.
+from weftwork.llm.textbatch import relieve
+
+#: Pieces kept by a task in each of two generations: those not met again in one of them are forgotten.
 KEEP = 600_000
 
 #: The value of pieces whose texts go to the library whole; others have four bytes for each token.
@@ -62,6 +64,11 @@ class Encoder:
         self.line = self.library.encode(_BETWEEN, add_special_tokens=False).ids
         self.mark = self._direct([_BETWEEN])[0]
 
+    def forget(self) -> None:
+        """Let go of all pieces: a worker that waits for its next task, maybe of another kind, holds none."""
+        self.inner, self.leading, self.old = {}, {}, ({}, {})
+        relieve()
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         if self.offsets:
             return [np.array([a for a, _ in e.offsets], "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
