@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of a batch of rows for a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def session(master: str = "local[*]", app: str = "weftwork", **conf) -> SparkSession:
