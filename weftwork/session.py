@@ -97,3 +97,6 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        # Spark deletes the shuffle files of a finished plan once the driver's collector finds it unused.
+        tables[0].sparkSession._jvm.System.gc()
