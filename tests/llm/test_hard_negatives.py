@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from weftwork.llm.hard_negatives import _Best, bounds, encode, fit_codebook, hard_negatives, index, scores, window
+from weftwork.llm.hard_negatives import Tables, _Best, encode, fit_codebook, hard_negatives, index, scores, window
 
 SCHEMA = "vec_id long, embedding array<double>, label int, score string, dim string"
 
@@ -49,6 +49,7 @@ def test_equals_brute_force(spark):
 def test_several_passes_give_the_same(spark, monkeypatch):
     rows = table(1, 700)
     monkeypatch.setattr("weftwork.llm.hard_negatives.ANCHOR_BYTES", 600)
+    monkeypatch.setattr("weftwork.llm.hard_negatives.ROWS", 64)
     assert sorted(map(tuple, hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
 
 
@@ -62,13 +63,16 @@ def test_bounds_hold_and_filter():
     x = np.floor(256 * (rng.normal(size=(8, 32))[rng.integers(0, 8, 3000)] + rng.normal(size=(3000, 32)) * 0.15)).astype(np.int64)
     for book in (fit_codebook(x[:500].astype(float)), fit_codebook(np.zeros((0, 32)))):
         codes, left = encode(x.astype(float), book)
-        total, error = bounds(x[:60].astype(float), codes, left, book)
-        exact = x[:60] @ x.T
-        assert (np.abs(total - exact) <= error).all()
-    codes, left = encode(x.astype(float), fit_codebook(x.astype(float)))
-    total, error = bounds(x[:60].astype(float), codes, left, fit_codebook(x.astype(float)))
-    fifth = np.sort(total - error, axis=1)[:, -5]
-    assert (total + error >= fifth[:, None]).mean() < 0.3
+        total, error = Tables(x[:60].astype(float), book).bounds(codes, left)
+        exact = x @ x[:60].T
+        assert (np.abs(total.astype(float) - exact) <= error).all()
+        huge = Tables(x[:60] * 1e12, [(a, b, c * 1e12) for a, b, c in book])
+        total, error = huge.bounds(codes, left * np.float32(1e12))
+        assert (np.abs(total - exact * 1e24) <= error).all()
+    book = fit_codebook(x.astype(float))
+    total, error = Tables(x[:60].astype(float), book).bounds(*encode(x.astype(float), book))
+    fifth = np.sort(total - error, axis=0)[-5]
+    assert (total + error >= fifth).mean() < 0.3
 
 
 def test_index_has_every_fine_row(spark):

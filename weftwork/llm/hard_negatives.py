@@ -29,8 +29,8 @@ from weftwork.session import materialize
 
 #: Rows, and numbers, of the sample on which codewords are fitted, at most; parts of a vector and codewords of a part.
 SAMPLE, SAMPLE_NUMBERS, PARTS, CODEWORDS = 20_000, 2_000_000, 16, 256
-#: Bytes of the anchors of one pass; rows of the index in one file, about; cells of a table of anchors and rows.
-ANCHOR_BYTES, FILE_ROWS, CELLS = 16 << 20, 50_000, 1 << 20
+#: Bytes of the anchors of one pass; rows of the index in one file, about; anchors and rows of a block.
+ANCHOR_BYTES, FILE_ROWS, ANCHORS, ROWS = 16 << 20, 50_000, 1024, 512
 _LONG = 2**63 - 1
 
 Codebook = list[tuple[int, int, np.ndarray]]
@@ -70,20 +70,27 @@ def encode(x: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.nextafter(left.astype(np.float32), np.float32(np.inf))
 
 
-def bounds(anchors: np.ndarray, codes: np.ndarray, left: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of looked-up products, bounds of their error), a row for each anchor, a column for each indexed row."""
-    total = np.zeros((len(anchors), len(codes)))
-    size = np.zeros((len(anchors), len(book)))
-    most = np.zeros((len(anchors), 1))
-    for m, (a, b, c) in enumerate(book):
-        q = anchors[:, a:b]
-        table = q @ c.T
-        total += table[:, codes[:, m]]
-        size[:, m] = np.linalg.norm(q, axis=1)
-        most += np.abs(table).max(1, keepdims=True)
-    error = size @ left.T.astype(np.float64)
-    # Doubles round: of each product and sum by less than this share of the largest.
-    return total, error * (1 + 1e-9) + (most + error) * 1e-11
+class Tables:
+    """The products of anchors with all codewords; sums of them are looked up for rows."""
+
+    def __init__(self, anchors: np.ndarray, book: Codebook) -> None:
+        # Single precision holds sums of moderate products to a share of 2e-6 of the largest, which is added to the bound.
+        small = max(np.abs(anchors).max(initial=0), max(np.abs(c).max(initial=0) for _, _, c in book)) < 1e9
+        kind, share = (np.float32, 2e-6) if small else (np.float64, 1e-13)
+        self.of = [np.ascontiguousarray((c @ anchors[:, a:b].T).astype(kind)) for a, b, c in book]
+        self.norms = np.stack([np.linalg.norm(anchors[:, a:b], axis=1) for a, b, _ in book]).astype(kind)
+        self.more = share * max(4, len(book)) * sum(np.abs(t).max(0).astype(np.float64) for t in self.of)
+        self.share = 1 + 4 * share * len(book)
+
+    def bounds(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of looked-up products, bounds of their error), a row for each indexed row, a column for each anchor."""
+        total = self.of[0][codes[:, 0]]
+        for m in range(1, len(self.of)):
+            total += self.of[m][codes[:, m]]
+        error = left.astype(self.norms.dtype) @ self.norms
+        error *= self.norms.dtype.type(self.share)
+        error += (self.more * (1 + 1e-6)).astype(self.norms.dtype)
+        return total, error
 
 
 def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -131,40 +138,50 @@ class _Best:
 
 
 def _kth(x: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th largest of each row; minus infinity where there are fewer."""
-    return np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k] if x.shape[1] >= k else np.full(len(x), -np.inf)
+    """The ``k``-th largest of each column; minus infinity where there are fewer."""
+    return np.partition(x, len(x) - k, axis=0)[len(x) - k] if len(x) >= k else np.full(x.shape[1], -np.inf)
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _blocks(frames: Iterator[pd.DataFrame], dims: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(frames: Iterator[pd.DataFrame], anchors: dict, books: dict[int, Codebook]) -> Iterator[tuple[int, int, int, Block]]:
+    """(dim, the first and the end of some anchors, (ids, labels, vectors, sums, errors) of some rows)."""
     for f in frames:
         for dim, part in f.groupby("dim"):
-            if dim not in dims:
+            if dim not in anchors:
                 continue
             n = len(part)
             codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(n, -1)
             left = np.frombuffer(b"".join(part["norms"]), np.float32).reshape(n, -1)
             v = np.frombuffer(b"".join(part["v"]), np.int64).reshape(n, -1)
-            yield int(dim), part["vec_id"].to_numpy(np.int64), part["label"].to_numpy(np.int64), codes, left, v
+            ids, labels = part["vec_id"].to_numpy(np.int64), part["label"].to_numpy(np.int64)
+            a = anchors[dim][2]
+            for at in range(0, len(a), ANCHORS):
+                tables = Tables(a[at : at + ANCHORS].astype(np.float64), books[int(dim)])
+                for i in range(0, n, ROWS):
+                    j = slice(i, i + ROWS)
+                    yield int(dim), at, min(len(a), at + ANCHORS), (ids[j], labels[j], v[j], *tables.bounds(codes[j], left[j]))
 
 
-def _positives(anchors, books: dict[int, Codebook], k: int) -> Callable:
-    """``anchors``: a broadcast of {dim: (ids, labels, vectors)}."""
+def _positives(sent, books: dict[int, Codebook], k: int) -> Callable:
+    """``sent``: a broadcast of {dim: (ids, labels, vectors)}."""
 
     def run(frames):
-        known = anchors.value
-        best = {d: _Best(len(a[0]), k) for d, a in known.items()}
-        for d, ids, labels, codes, left, v in _blocks(frames, set(known)):
-            a_ids, a_labels, a = known[d]
-            step = max(1, CELLS // len(ids))
-            for at in range(0, len(a_ids), step):
-                q = a[at : at + step]
-                total, error = bounds(q.astype(np.float64), codes, left, books[d])
-                same = (a_labels[at : at + step, None] == labels) & (a_ids[at : at + step, None] != ids)
-                least = np.maximum(best[d].last[at : at + step], _kth(np.where(same, total - error, -np.inf), k))
-                i, j = np.nonzero(same & (total + error >= least[:, None]))
-                best[d].add(at + i, scores(q[i], v[j]), ids[j])
+        anchors = sent.value
+        best = {d: _Best(len(a[0]), k) for d, a in anchors.items()}
+        for d, at, to, (ids, labels, v, total, error) in _blocks(frames, anchors, books):
+            a_ids, a_labels, a = (x[at:to] for x in anchors[d])
+            same = (labels[:, None] == a_labels) & (ids[:, None] != a_ids)
+            least = best[d].last[at:to].copy()
+            new = np.flatnonzero(np.isinf(least))
+            if len(new):
+                least[new] = _kth(np.where(same[:, new], total[:, new] - error[:, new], -np.inf), k)
+            total += error
+            j, i = np.nonzero(same & (total >= least))
+            best[d].add(at + i, scores(a[i], v[j]), ids[j])
         for d, b in best.items():
-            yield pd.DataFrame({"anchor_id": known[d][0][b.group], "positive_id": b.id, "positive_score": b.score})
+            yield pd.DataFrame({"anchor_id": anchors[d][0][b.group], "positive_id": b.id, "positive_score": b.score})
 
     return run
 
@@ -174,45 +191,35 @@ def window(score: int, low: int, high: int) -> tuple[int, int]:
     return -((-low * score) // 100), (high * score) // 100
 
 
-def _negatives(anchors, windows, books: dict[int, Codebook], k: int) -> Callable:
-    """``windows``: a broadcast of {dim: (anchor's place, window's place, positive, its score, first, last)}."""
+def _negatives(sent, sent_windows, books: dict[int, Codebook], k: int) -> Callable:
+    """``sent_windows``: a broadcast of {dim: (anchor's place, number of its window, positive, its score, first, last)}."""
 
     def run(frames):
-        known, all_windows = anchors.value, windows.value
-        best = {d: _Best(len(w[0]), k) for d, w in all_windows.items()}
-        for d, ids, labels, codes, left, v in _blocks(frames, set(all_windows)):
-            a_ids, a_labels, a = known[d]
-            of, nth, _, _, low, high = all_windows[d]
-            step = max(1, CELLS // len(ids))
-            for at in range(0, len(a_ids), step):
-                inside = np.flatnonzero((of >= at) & (of < at + step))
-                if not len(inside):
-                    continue
-                q = a[at : at + step]
-                total, error = bounds(q.astype(np.float64), codes, left, books[d])
-                differ = a_labels[at : at + step, None] != labels
-                least, most = total - error, total + error
-                wanted = np.zeros(differ.shape, bool)
-                for slot in range(int(nth[inside].max()) + 1):
-                    w = inside[nth[inside] == slot]
-                    r = of[w] - at
-                    lo, hi = low[w].astype(np.float64)[:, None] * (1 - 1e-15) - 1, high[w].astype(np.float64)[:, None] * (1 + 1e-15) + 1
-                    surely = differ[r] & (least[r] >= lo + 2) & (most[r] <= hi - 2)
-                    reach = np.maximum(best[d].last[w], _kth(np.where(surely, least[r], -np.inf), k))[:, None]
-                    wanted[r] |= differ[r] & (most[r] >= np.maximum(lo, reach)) & (least[r] <= hi)
-                i, j = np.nonzero(wanted)
-                s = scores(q[i], v[j])
-                for slot in range(int(nth[inside].max()) + 1):
-                    w = inside[nth[inside] == slot]
-                    place = np.full(len(q), -1)
-                    place[of[w] - at] = w
-                    g = place[i]
-                    fits = g >= 0
-                    fits[fits] = (s[fits] >= low[g[fits]]) & (s[fits] <= high[g[fits]])
-                    best[d].add(g[fits], s[fits], ids[j[fits]])
+        windows = sent_windows.value
+        anchors = {d: a for d, a in sent.value.items() if d in windows}
+        best = {d: _Best(len(w[0]), k) for d, w in windows.items()}
+        for d, at, to, (ids, labels, v, total, error) in _blocks(frames, anchors, books):
+            _, a_labels, a = (x[at:to] for x in anchors[d])
+            of, nth, _, _, low, high = windows[d]
+            inside = np.flatnonzero((of >= at) & (of < to))
+            # Of each anchor, what the least demanding of its windows asks for; doubles of integers lie within a share of 1e-15.
+            reach = np.maximum(low.astype(np.float64) - np.abs(low) * 1e-15 - 1, best[d].last)
+            least, most = np.full(to - at, np.inf), np.full(to - at, -np.inf)
+            np.minimum.at(least, of[inside] - at, reach[inside])
+            np.maximum.at(most, of[inside] - at, high[inside] + np.abs(high[inside]) * 1e-15 + 1)
+            j, i = np.nonzero((labels[:, None] != a_labels) & (total + error >= least) & (total - error <= most))
+            s = scores(a[i], v[j])
+            for slot in range(int(nth[inside].max(initial=-1)) + 1):
+                w = inside[nth[inside] == slot]
+                place = np.full(to - at, -1)
+                place[of[w] - at] = w
+                g = place[i]
+                fits = g >= 0
+                fits[fits] = (s[fits] >= low[g[fits]]) & (s[fits] <= high[g[fits]]) & (s[fits] >= best[d].last[g[fits]])
+                best[d].add(g[fits], s[fits], ids[j[fits]])
         for d, b in best.items():
-            of, _, positive, score, _, _ = all_windows[d]
-            yield pd.DataFrame({"anchor_id": known[d][0][of[b.group]], "positive_id": positive[b.group], "positive_score": score[b.group], "negative_id": b.id, "negative_score": b.score})
+            of, _, positive, score, _, _ = windows[d]
+            yield pd.DataFrame({"anchor_id": anchors[d][0][of[b.group]], "positive_id": positive[b.group], "positive_score": score[b.group], "negative_id": b.id, "negative_score": b.score})
 
     return run
 
