@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.llm.chat_log import digest, format_conversations, read
+from weftwork.llm.collocations import collocations
 from weftwork.llm.decontaminate import contaminated
 from weftwork.llm import token_store
 from weftwork.llm.attribution import section_tokens
@@ -189,3 +191,62 @@ n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score,
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language of all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+#: Every phrase of every piece, counted.
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, w[i : i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 5) AS r(m))),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, g, f AS a, m, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (
+  SELECT c.lang, c.g, c.m, c.a, c.k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1 : c.m]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, c.k) = 1),
+inside AS (
+  SELECT lang, g[i : i + k - 1] AS g, max(f) AS longer
+  FROM (SELECT lang, g, f, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2)) GROUP BY ALL),
+o AS (
+  SELECT s.lang, array_to_string(s.g, ' ') AS phrase, a, l, r, score FROM s LEFT JOIN inside ON inside.lang = s.lang AND inside.g = s.g
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000
+"""
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted by the log of their making and read back."""
+    said = "</s>[INST] ok [/INST]"
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [F.struct(F.lit(-7).cast("long"), F.lit(n).cast("long"), F.lit(role), F.lit(said)) for n, role in enumerate(("user", "assistant"))]
+    planted = spark.range(1).select(F.inline(F.array(*rows))).toDF(*talks.columns)
+    return digest(read(format_conversations(talks.unionByName(planted))))
+
+
+#: The turns themselves; the length of the template's marks and of escapes.
+ORACLES["op11_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
+e AS (
+  SELECT *, len(role) + len(text) + len('<s>[INST] ') + len(' [/INST]') + len('</s>')
+            + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>')) AS chars
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -82,13 +82,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int | None = None
         at = to
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, start byte, end byte, first word of each text as n + 1 offsets)."""
+def words(texts: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, start byte, end byte, first word of each text as n + 1 offsets). ``space`` tells
+    for each byte whether it separates words."""
     data, offs = buffers(texts)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     first = inside.copy()
