@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from weftwork.plans import incremental  # noqa: F401 - adds to the queries
 from weftwork.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
