@@ -26,7 +26,8 @@ def refreshed_events(spark, d):
     """The last event of each user, as a stream of all events leaves it."""
     events = _t(spark, d, "events")
     at = _place(spark, "refresh")
-    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    # As a pattern, as a stream takes a plain path for a folder.
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
     table = Buckets(f"{at}/table", ("user_id",), 64)
     refresh(stream, table, ["ts", "event_id"], f"{at}/checkpoint").awaitTermination()
     return table.read(spark).select("user_id", "event_id", F.unix_micros("ts").alias("at"), "event_type", F.col("value").cast("double").alias("value"))

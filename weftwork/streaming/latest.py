@@ -17,8 +17,11 @@ from pyspark.sql.types import StructType
 
 from weftwork.operators.buckets import Buckets
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Of the query only. State that expires by the clock would ask for empty micro-batches without end.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def _rank(values: tuple) -> tuple:
@@ -76,10 +79,12 @@ def refresh(stream: DataFrame, into: Buckets, order: list[str], checkpoint: str,
         else:
             into.create(batch)
 
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKSDB)
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         changed = latest_rows(stream, list(into.keys), order, ttl_seconds)
         return changed.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
