@@ -30,7 +30,7 @@ def refreshed_events(spark, d):
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
     table = Buckets(f"{at}/table", ("user_id",), 64)
     refresh(stream, table, ["ts", "event_id"], f"{at}/checkpoint").awaitTermination()
-    return table.read(spark).select("user_id", "event_id", F.unix_micros("ts").alias("at"), "event_type", F.col("value").cast("double").alias("value"))
+    return table.read(spark).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", F.col("value").cast("double").alias("value"))
 
 
 @query(ORACLES["keyed_merge"])
