@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftwork.llm import vector_join
 from weftwork.llm.components import components
 from weftwork.llm.decontaminate import contaminated
 from weftwork.llm.ngram_join import jaccard_components
@@ -252,3 +253,26 @@ def test_vectors_in_hundreds_of_regions(spark, monkeypatch, clusters, centroids)
     np.fill_diagonal(s, False)
     got = {r.vec_id: r.n_links for r in vector_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     assert all(got[i] <= s[i].sum() for i in range(n)) and sum(got.values()) >= 0.985 * s.sum()
+
+
+def test_two_thousand_regions_plan(spark, monkeypatch):
+    """Cells too large, by the thousand, are one join: expressions over them would not plan."""
+    monkeypatch.setattr(vector_join, "REGION", 100)
+    monkeypatch.setattr(vector_join, "AIM", 0.01)
+    n, dim, cells = 4000, 3, {}
+    rng = np.random.default_rng(0)
+    nodes = spark.createDataFrame([(int(i), 1, x.tolist()) for i, x in enumerate(rng.normal(size=(n, dim)))], "rep long, copies long, v array<double>")
+
+    def no_cells(*_):  # every vector is in its nearest cell, and each of 2,000 cells is as large as its parent: all are cut into blocks
+        def run(frames):
+            for f in frames:
+                yield f.loc[f.index.repeat(110)].assign(parent=0, cell=1 + f["rep"].repeat(110) % 2000, query=True)[list(vector_join._COLUMNS)]
+
+        return run
+
+    monkeypatch.setattr(vector_join, "_deal", no_cells)
+    monkeypatch.setattr(vector_join, "_margin", lambda *_: 0.0)
+    monkeypatch.setattr(vector_join, "LEVELS", 1)
+    for r in vector_join._regions(nodes, dim, 0.95).groupBy("cell", "blocks").count().collect():
+        cells[r["cell"]] = (r["blocks"], r["count"])
+    assert len(cells) == 2000 and set(cells.values()) == {(5, 220)}

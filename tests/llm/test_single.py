@@ -351,3 +351,48 @@ def test_shape_features_keep_their_values():
     names = [(k, n) for k in ("capitals", "distinct", "length", "digits", "marked") for n in range(61)]
     # Names share the features' space with words; few meet by chance.
     assert len({quality._name(x) for x in names}) >= len(names) - 3
+
+
+BROKEN = ["<script ", "<a ", "<!--", '<a ">" ', '<a "', "<a '\">", "<a", "<div>", "</x", "<![CDATA[", "<style>", "<", "</", "<!", '<a "x" ', "</script ", "<script>x</script  ", "&", "<p \"'>"]
+
+
+@pytest.mark.parametrize("unit", BROKEN)
+def test_a_megabyte_of_broken_markup_takes_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    html_wrappers.main_text(page + ">")
+    html_wrappers.Page("<p>" + page + "</div>" * 1000)
+    assert time.process_time() - began < 20  # a second or two each; quadratic forms took hours
+
+
+def test_tags_end_where_quotes_say():
+    seen = lambda page: [(page[a:b], name, ends) for a, b, name, ends, _ in html_wrappers._Tags(page)]
+    assert seen('x<a b=">" c>y</a >') == [('<a b=">" c>', "a", False), ("</a >", "a", True)]
+    assert seen('<a "x>y<b>') == [('<a "x>', "", False), ("<b>", "b", False)]
+    assert seen("1 < 2 <3> </> <!doctype x> <?y> <a") == [("<!doctype x>", "", False), ("<?y>", "", False)]
+    assert seen("<SCRIPT a='>'>if (a<b) '</p>'</Script ><p>") == [("<SCRIPT a='>'>if (a<b) '</p>'</Script >", "", False), ("<p>", "p", False)]
+    assert seen("<!-- <p> --><![CDATA[<p>]]><i>") == [("<!-- <p> -->", "", False), ("<![CDATA[<p>]]>", "", False), ("<i>", "i", False)]
+    assert seen("<b <!-- open") == [("<!-- open", "", False)]
+
+
+def test_mutated_pages_neither_crash_nor_stall():
+    rng = random.Random(8)
+    bits = ["<", ">", '"', "'", "</", "<!--", "-->", "<script>", "</script>", "<p", '<a href="', "/>", '<div class="x', "&lt;", "<![CDATA[", "</div>", "<section class=c1>"]
+    bases = [_tree(rng) for _ in range(40)]
+    began = time.process_time()
+    wrapper = html_wrappers.inferred(html_wrappers.Page(bases[0]).root[1])
+    for _ in range(10_000):
+        page = rng.choice(bases)
+        for _ in range(rng.randint(1, 6)):
+            i = rng.randrange(len(page) + 1)
+            page = page[:i] + rng.choice(bits) + page[i + rng.choice([0, 0, 1, 30]) :]
+        x = html_wrappers.Page(page)
+        assert None not in html_wrappers.slots(x, wrapper)
+    assert time.process_time() - began < 120
+
+
+def test_a_page_that_misses_the_wrapper_and_mixes_bare_and_full_symbols():
+    page = "<section class=a></section><p>x</p>" + "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26)}>{k}</div>" for k in range(100)) + "<p>y</p><section></section>"
+    other = html_wrappers.inferred(html_wrappers.Page("<article><h1>t</h1></article>").root[1])
+    found = html_wrappers.slots(html_wrappers.Page(page), other)
+    assert len(found) == 102 and None not in found

@@ -74,15 +74,87 @@ ALIGNED = 400
 #: Pages that evidence needs; the share of them that have a text of the template; the share of link text of a list of links.
 LEAST, SAME, LINKED = 5, 0.8, 0.8
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
+_RAW_TAG = re.compile(rf"({_RAW})\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split("|")}
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+class _Tags:
+    """The markup of a page, one piece after another, in time linear in the page whatever is left open in it.
+
+    A comment, a CDATA section or the content of a raw element that isn't closed reaches to the end. A tag ends at the
+    first ``>`` outside of quotes, or, if a quote is never closed, at the first one; without one it is text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.next = page.find(">")
+        # Where attributes go on outside of quotes but never reach a ``>``, and from where on a quote doesn't come again.
+        self.dead: set[int] = set()
+        self.none = {'"': len(page), "'": len(page)}
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name or empty, whether it is an end tag, attributes)."""
+        page, at = self.page, 0
+        while (i := page.find("<", at)) >= 0:
+            x = page[i + 1 : i + 2]
+            if page.startswith("<!--", i):
+                at = self._past("-->", i + 4)
+                yield i, at, "", False, ""
+            elif page.startswith("<![CDATA[", i):
+                at = self._past("]]>", i + 9)
+                yield i, at, "", False, ""
+            elif not (x in ("!", "?", "/") or x.isascii() and x.isalpha()):
+                at = i + 1
+            elif (close := self._next(i)) < 0:
+                # No tag is closed any more; comments and CDATA sections may follow.
+                at = min((k for k in (page.find("<!--", i + 1), page.find("<![CDATA[", i + 1)) if k >= 0), default=len(page))
+            elif m := _RAW_TAG.match(page, i + 1):
+                m = _RAW_END[m[1].lower()].search(page, close + 1)
+                at = m.end() if m else len(page)
+                yield i, at, "", False, ""
+            elif m := _TAG.match(page, i + 1):
+                end = self._end(m.end())
+                at = (end if end >= 0 else close) + 1
+                yield (i, at, m[2], bool(m[1]), page[m.end() : end]) if end >= 0 else (i, at, "", False, "")
+            elif x == "/":
+                at = i + 1
+            else:
+                at = close + 1
+                yield i, at, "", False, ""
+
+    def _past(self, mark: str, at: int) -> int:
+        k = self.page.find(mark, at)
+        return len(self.page) if k < 0 else k + len(mark)
+
+    def _next(self, at: int) -> int:
+        """The first ``>`` from ``at`` on; places come in ascending order."""
+        if 0 <= self.next < at:
+            self.next = self.page.find(">", at)
+        return self.next
+
+    def _end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        begun = []
+        while at not in self.dead:
+            begun.append(at)
+            m = _STOP.search(self.page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            k = -1 if m.end() >= self.none[m[0]] else self.page.find(m[0], m.end())
+            if k < 0:
+                self.none[m[0]] = min(self.none[m[0]], m.end())
+                break
+            at = k + 1
+        self.dead.update(begun)
+        return -1
+
+
 class Page:
     """``root``, a tree of ``(symbol, children)``, the texts of its slots in order, and their characters in links.
 
@@ -96,6 +168,7 @@ class Page:
         self.root: tuple[str, list] = ("", [])
         self.has_main = False
         self.open: list[tuple[str, tuple]] = [("", self.root)]
+        self.of: Counter[str] = Counter()
         self._read(page)
 
     def _read(self, page: str) -> None:
@@ -115,13 +188,12 @@ class Page:
             linked = 0
 
         at = 0
-        for m in _TOKEN.finditer(page):
-            if m.start() > at:
-                run.append(page[at : m.start()])
+        for start, end, name, ends, attributes in _Tags(page):
+            if start > at:
+                run.append(page[at:start])
                 if in_link:
-                    linked += m.start() - at
-            at = m.end()
-            name = m["name"]
+                    linked += start - at
+            at = end
             if not name:
                 continue
             name = name.lower()
@@ -129,29 +201,34 @@ class Page:
                 if name in _GAPS:
                     run.append(" ")
                 elif name == "a":
-                    in_link = not m["end"]
+                    in_link = not ends
                 continue
             close()
             if name in VOID or name in _UNMARKED:
                 continue
-            if m["end"]:
+            if ends:
                 self._end(name)
             else:
-                self._start(name, m["attributes"])
+                self._start(name, attributes)
         run.append(page[at:])
         close()
 
+    def _pop(self) -> str:
+        name = self.open.pop()[0]
+        self.of[name] -= 1
+        return name
+
     def _end(self, name: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == name:
-                del self.open[i:]
-                return
+        if self.of[name]:
+            while self._pop() != name:
+                pass
 
     def _start(self, name: str, attributes: str) -> None:
         top = self.open[-1][0]
         while top in _ENDED_BY and name in _ENDED_BY[top] or top == "p" and name not in _IN_PARAGRAPH:
-            self.open.pop()
+            self._pop()
             top = self.open[-1][0]
+        self.of[name] += 1
         parent = self.open[-1][1]
         if len(self.open) > DEEP:
             self.open.append((name, parent))
@@ -384,8 +461,11 @@ def slots(page: Page, wrapper: Node) -> list[Slot]:
             symbols = [SLOT if isinstance(c, int) else c[0] for c in children]
             found = node.match(symbols)
             if found is None:
-                symbols = [_bare(x) for x in symbols]
+                symbols = [x if node.at.get(x) else _bare(x) for x in symbols]
                 found = node.match(symbols)
+            if found is None:  # children that even this doesn't tell apart are items of their own
+                node = Node([((x,), False, False) for x in symbols], [{x: inferred([] if isinstance(c, int) else c[1])} for c, x in zip(children, symbols, strict=True)])
+                found = list(range(len(children)))
         for c, k, x in zip(children, found, symbols, strict=True):
             if isinstance(c, int):
                 out[c] = Slot(f"{place}/{k}#", outside, main, named)

@@ -41,6 +41,8 @@ SAMPLE, CENTROIDS = 20_000, 512
 REGION, REGION_BYTES, AIM = 12_000, 48 << 20, 0.3
 #: Bytes of centroids that one pass sends to its tasks.
 CENTROID_BYTES = 32 << 20
+#: Cells whose sizes are sent to every task, at most; more are joined by a shuffle.
+SENT = 1_000_000
 #: Levels of regions; members of a shard that are aimed at.
 LEVELS, SHARD = 8, 600
 _NEAR, _DEGREE, _BEAM, _OPEN, _CHUNK = 48, 24, 32, 4, 512
@@ -328,6 +330,7 @@ def _regions(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     aim = max(1.0, AIM * most)
     cap = max(1000, min(SAMPLE, 2_000_000 // dim))
     rows = nodes.select(F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("parent"), "rep", "copies", F.lit(True).alias("query"), "v")
+    spark = nodes.sparkSession
     done: list[DataFrame] = []
     margin, first, parents, pairs = 0.0, 1, {}, None
     for level in range(LEVELS + 1):
@@ -335,20 +338,17 @@ def _regions(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
         # A part nearly as large as the whole it comes from is not divided further.
         stuck = [c for c, (m, p) in sizes.items() if level == LEVELS or parents.get(p) and m > 0.7 * parents[p]]
         large = [c for c in sizes if c not in set(stuck)]
-        blocks = F.lit(1)
-        for c in stuck:
-            blocks = F.when(F.col("cell") == c, int(-(-2 * sizes[c][0] // most))).otherwise(blocks)
-        done.append((rows.where(~F.col("cell").isin(large)) if large else rows).withColumn("blocks", blocks))
+        # One row for each cell that is too large: its size, whether it is divided, by which step it is sampled, into how many blocks it is cut.
+        shut = set(stuck)
+        facts = [(c, m, c not in shut, -(-m // cap), int(-(-2 * m // most)) if c in shut else 1) for c, (m, _) in sizes.items()]
+        facts_ = spark.createDataFrame(facts, "cell long, m long, divided boolean, step long, blocks int")
+        known = rows.join(F.broadcast(facts_) if len(facts) <= SENT else facts_, "cell", "left")
+        known = known.withColumns({"divided": F.coalesce("divided", F.lit(False)), "blocks": F.coalesce("blocks", F.lit(1))})
+        done.append(known.where("not divided").select(*_COLUMNS, "blocks"))
         if not large:
             break
         parents = {c: sizes[c][0] for c in large}
-        step = F.lit(1)
-        for c in large:
-            step = F.when(F.col("cell") == c, int(-(-sizes[c][0] // cap))).otherwise(step)
-        size_of = F.lit(0)
-        for c in large:
-            size_of = F.when(F.col("cell") == c, int(sizes[c][0])).otherwise(size_of)
-        some = rows.where(F.col("cell").isin(large) & (F.pmod(F.xxhash64("rep"), step) == 0)).withColumn("m", size_of)
+        some = known.where("divided and pmod(xxhash64(rep), step) = 0").select(*_COLUMNS, "m")
         fitted = materialize(some.select("cell", "rep", "m", "v").groupBy("cell").applyInPandas(_fit(aim), "cell long, c array<double>"), "vector-centroids")
         dealt: list[DataFrame] = []
         batch = max(1, CENTROID_BYTES // (8 * dim * CENTROIDS))
