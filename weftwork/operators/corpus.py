@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import ratio
+from weftwork.operators.quantiles import with_quantiles
 
 
 def source_report(docs: DataFrame, by: str = "source") -> DataFrame:
     """``docs(<by>, words, chars, switching)`` -> counts, medians and shares of each source."""
-    return docs.groupBy(by).agg(
-        F.count("*").alias("documents"), F.median("words").alias("median_words"), F.median("chars").alias("median_chars"),
-        F.avg((F.col("words") < 20).cast("int")).alias("share_under_20_words"), F.count_if("switching").alias("switching"),
-    )
+    counts = docs.groupBy(by).agg(F.count("*").alias("documents"), F.avg((F.col("words") < 20).cast("int")).alias("share_under_20_words"), F.count_if("switching").alias("switching"))
+    return with_quantiles(counts, docs, [by], {"median_words": ("words", 0.5), "median_chars": ("chars", 0.5)})
 
 
 def duplicate_rates(docs: DataFrame, drops: DataFrame, by: str = "source") -> DataFrame:
@@ -64,14 +63,15 @@ def margins(df: DataFrame, row: str, column: str) -> DataFrame:
 
 def describe(df: DataFrame, x: str, places: int = 6) -> DataFrame:
     """Count, mean, deviation, extremes and five quantiles of a column."""
-    q = F.percentile(x, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = df.agg(F.count(x).alias("n"), F.round(F.avg(x), places).alias("mean"), F.round(F.stddev_samp(x), places).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), q.alias("q"))
-    return out.select("n", "mean", "std", "low", *[F.round(F.col("q")[i], places).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))], "high")
+    out = df.agg(F.count(x).alias("n"), F.round(F.avg(x), places).alias("mean"), F.round(F.stddev_samp(x), places).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
+    names = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    out = with_quantiles(out, df, [], {n: (x, p) for n, p in names.items()})
+    return out.select("n", "mean", "std", "low", *[F.round(n, places).alias(n) for n in names], "high")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 40, clip: float = 0.99) -> DataFrame:
     """Equal-width bins over values clipped at a quantile; the last bin is closed."""
-    cap = df.agg(F.percentile(x, clip).alias("cap"), F.min(x).alias("low"))
+    cap = with_quantiles(df.agg(F.min(x).alias("low")), df, [], {"cap": (x, clip)})
     v = df.select(F.col(x).cast("double").alias("v")).crossJoin(F.broadcast(cap)).withColumn("v", F.least("v", "cap"))
     i = F.when(F.col("cap") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("cap") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0)
     return v.where("v is not null").groupBy(i.cast("int").alias("bin")).agg(F.count("*").alias("n"))

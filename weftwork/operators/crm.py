@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.operators.ordering import numbered, tile
+from weftwork.operators.quantiles import with_quantiles
 
 # The parameters of the simulation.
 PARAMS = {
@@ -106,7 +107,8 @@ def mix_share(rows: DataFrame, within: str, part: str) -> DataFrame:
 def stage_durations(history: DataFrame, stage: str, entered: Column, exited: Column, key: str) -> DataFrame:
     """Entries of each stage, the mean and the median of its days, and how many different keys passed."""
     d = history.withColumn("_d", F.datediff(exited, entered))
-    return d.groupBy(stage).agg(F.count("*").alias("entries"), F.round(F.avg("_d"), 4).alias("avg_days"), F.round(F.median("_d"), 4).alias("median_days"), F.countDistinct(key).alias("unique_keys"))
+    counts = d.groupBy(stage).agg(F.count("*").alias("entries"), F.round(F.avg("_d"), 4).alias("avg_days"), F.countDistinct(key).alias("unique_keys"))
+    return with_quantiles(counts, d.select(stage, "_d"), [stage], {"median_days": ("_d", 0.5)}).withColumn("median_days", F.round("median_days", 4))
 
 
 def adoption(rows: DataFrame, by: list[str], key: str, measures: dict[str, str], places: int = 4) -> DataFrame:
