@@ -112,8 +112,8 @@ def test_windows_go_past_the_cap_of_hits():
     items = [{"objectID": str(i), "created_at_i": 1_800_000_000 - i // 2} for i in range(25)]
 
     def search(url, p):
-        until = [int(x.split("<")[1]) for x in p["numericFilters"].split(",") if "<" in x]
-        return {"hits": [h for h in items if not until or h["created_at_i"] < until[0]][:10]} if p["tags"] == "story" else {"hits": []}
+        until = [int(x.split("<=")[1]) for x in p["numericFilters"].split(",") if "<" in x]
+        return {"hits": [h for h in items if not until or h["created_at_i"] <= until[0]][:10]} if p["tags"] == "story" else {"hits": []}
 
     get, asked = replies(search)
     got = [x["external_id"] for x in adapters.hackernews("q", SINCE, 0, get, cap=10)]

@@ -69,15 +69,24 @@ def pooled(labels: DataFrame, codes: str = "taxonomy_code", group: str = "source
     return c.select(F.when(F.col("gc") == 1, "total").otherwise(F.col(codes)).alias(codes), F.when(F.col("gg") == 1, "total").otherwise(F.col(group)).alias(group), "n")
 
 
-def evaluate(rows: DataFrame, positive: Column, detectors: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
-    """Flagged, true positives, precision, recall and the missed ids of each detector; null where a denominator is 0."""
+def evaluate(rows: DataFrame, positive: Column, detectors: dict[str, Column], id_col: str = "doc_id", listed: bool = True) -> DataFrame:
+    """Flagged, true positives, precision, recall and the missed ids of each detector; null where a denominator is 0.
+
+    Made for samples that people have labelled: the missed ids are one cell. Of more than these, ``listed=False`` leaves
+    them out, and ``missed`` gives them as rows."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), F.coalesce(c, F.lit(False)).alias("flag")) for n, c in detectors.items()]))
     d = rows.select(F.col(id_col).alias("id"), positive.alias("yes"), each.alias("x")).select("id", "yes", "x.*")
-    e = d.groupBy("detector").agg(
-        F.count_if("flag").alias("flagged"), F.count_if(F.col("flag") & F.col("yes")).alias("tp"), F.count_if("yes").alias("positives"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("yes") & ~F.col("flag"), F.col("id")))), lambda i: i.cast("string")), " ").alias("missed"),
-    )
-    return e.select("detector", "flagged", "tp", ratio(F.col("tp"), F.col("flagged")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"), "missed")
+    counts = [F.count_if("flag").alias("flagged"), F.count_if(F.col("flag") & F.col("yes")).alias("tp"), F.count_if("yes").alias("positives")]
+    ids = F.array_sort(F.collect_list(F.when(F.col("yes") & ~F.col("flag"), F.col("id"))))
+    names = F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("missed")
+    e = d.groupBy("detector").agg(*counts, *([names] if listed else []))
+    return e.select("detector", "flagged", "tp", ratio(F.col("tp"), F.col("flagged")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"), *(["missed"] if listed else []))
+
+
+def missed(rows: DataFrame, positive: Column, detectors: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+    """``(detector, id)``: a row for each positive that a detector doesn't flag; of any number, where a cell of ``evaluate`` holds few."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), F.coalesce(c, F.lit(False)).alias("flag")) for n, c in detectors.items()]))
+    return rows.where(positive).select(F.col(id_col).alias("id"), each.alias("x")).where("not x.flag").select("x.detector", "id")
 
 
 def violations(labels: DataFrame, docs: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:

@@ -15,7 +15,6 @@ import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +203,11 @@ def _sweep(key: bytes) -> Sweep:
     return Sweep(pickle.loads(key))
 
 
+try:  # private to the interpreter: without it nothing is known of what a pattern needs
+    from re import _parser as parser
+except ImportError:
+    parser = None
+
 #: Characters of texts that are one text at a time.
 _AT_ONCE = 4_000_000
 
@@ -219,7 +223,9 @@ def _parts(sizes: list[int]) -> Iterator[slice]:
 
 
 def needs(pattern: str) -> set[str] | None:
-    """Lower-case strings one of which is in every match of a pattern; None if there are none."""
+    """Lower-case strings one of which is in every match of a pattern; None if there are none, or none are known."""
+    if parser is None:
+        return None
 
     def of(nodes) -> set[str] | None:
         best: set[str] | None = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import text as T
 from weftwork.functions.html import extract_text, html_to_text
 from weftwork.functions.rules import Ambiguous, Rules
-from weftwork.operators import corpus, crm, dedupe, labels, market, matrix, mentions, merge, ordering, sampling, signals
+from weftwork.operators import corpus, crm, dedupe, labels, market, matrix, mentions, merge, ordering, sampling, signals, spans
 from weftwork.operators.export import to_json
 from weftwork.plans import findings as findings_
 from weftwork.session import table
@@ -151,17 +151,9 @@ def category_probe(spark, d):
     return long.groupBy("cue").agg(F.count("*").alias("sentences"), F.countDistinct("doc_id").alias("documents"))
 
 
-_FIRST = f"SELECT item_id, {_COLLAPSED} AS t, lower(regexp_extract({_COLLAPSED}, '^\\S+ \\S+ \\S+')) AS k FROM benchmark"
-
-
 def _benchmark_pairs(spark, d):
-    """Documents and items whose first three words they hold: candidates for the exact search."""
-    docs, bench = _t(spark, d, "documents", "benchmark")
-    body = docs.select("doc_id", T.collapsed(F.col("text")).alias("text"))
-    item = bench.select("item_id", T.collapsed(F.col("text")).alias("item"))
-    three = F.array_distinct(T.shingles(F.col("text"), 3, r"\S+"))
-    keyed = item.withColumn("k", F.element_at(T.shingles(F.col("item"), 3, r"\S+"), 1))
-    return body.join(body.select("doc_id", F.explode(three).alias("k")).join(keyed, "k").select("doc_id", "item_id", "item"), "doc_id")
+    """Documents and the items that they hold."""
+    return spans.contained(*_t(spark, d, "documents", "benchmark"), "doc_id", "item_id")
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_COLLAPSED} AS t FROM documents), b AS (SELECT item_id, {_COLLAPSED} AS t FROM benchmark)
@@ -171,7 +163,10 @@ def evidence_locate(spark, d):
     return p.where("at is not null").select("doc_id", "item_id", F.col("at").cast("long").alias("at"))
 
 
-@query()
+@query(rf"""WITH d AS (SELECT doc_id, {_COLLAPSED} AS t FROM documents), b AS (SELECT item_id, {_COLLAPSED} AS s FROM benchmark),
+ p AS (SELECT doc_id, item_id, string_split(t, ' ') AS w, len(string_split(t, ' ')) AS n, len(list_filter(string_split(substr(t, 1, strpos(t, s) - 1), ' '), lambda x: x <> '')) + len(string_split(s, ' ')) // 2 - 30 AS mid FROM d JOIN b ON contains(t, s)),
+ q AS (SELECT *, greatest(0, least(mid, n - 60)) AS f FROM p)
+ SELECT doc_id, item_id, CASE WHEN f > 0 THEN '… ' ELSE '' END || array_to_string(w[f + 1 : f + 60], ' ') || CASE WHEN f + 60 < n THEN ' …' ELSE '' END AS excerpt FROM q""")
 def evidence_excerpt(spark, d):
     p = _benchmark_pairs(spark, d).withColumn("excerpt", T.excerpt(F.col("text"), F.col("item")))
     return p.where("excerpt is not null").select("doc_id", "item_id", "excerpt")
@@ -355,19 +350,22 @@ def embedding_radius_pairs(spark, d):
     import pandas as pd
 
     v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    # Vectors that have no direction, or can't be compared, are in no pair; those of one length meet.
+    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
     blocks = max(1, -(-v.count() // 2000))
     v = v.withColumn("k", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = v.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")})
 
     def run(key, f):
-        x = np.array(f["v"].tolist())
+        x = np.array(f["v"].tolist(), np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         s = x @ x.T
         k, ids = f["k"].to_numpy(), f["vec_id"].to_numpy()
-        a, b = np.nonzero((s >= 0.5) & (ids[:, None] < ids[None, :]) & ((k[:, None] != k[None, :]) | (key[0] == key[1])))
+        a, b = np.nonzero((s >= 0.5) & (ids[:, None] < ids[None, :]) & ((k[:, None] != k[None, :]) | (key[1] == key[2])))
         return pd.DataFrame({"a": ids[a], "b": ids[b], "similarity": s[a, b].round(6)})
 
-    return v.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
+    return v.groupBy("dim", "i", "j").applyInPandas(run, "a long, b long, similarity double")
 
 
 # --- signals, merges, samples -------------------------------------------------------
@@ -525,6 +523,14 @@ def detector_eval(spark, d):
     return labels.evaluate(lb.join(docs, "doc_id"), F.col("toxic") == 1, found)
 
 
+@query("""SELECT detector, doc_id AS id FROM (SELECT doc_id, unnest(['long', 'words']) AS detector, unnest([length(text) > 3000, regexp_matches(text, '(?i)\\b(idiot|moron|clown|loser|trash)\\b')]) AS f FROM labels JOIN documents USING (doc_id) WHERE toxic = 1) WHERE f IS NOT TRUE""")
+def detector_missed(spark, d):
+    lb, docs = _t(spark, d, "labels", "documents")
+    t = F.col("text")
+    found = {"long": F.length(t) > 3000, "words": T.has_phrase(t, ["idiot", "moron", "clown", "loser", "trash"])}
+    return labels.missed(lb.join(docs, "doc_id"), F.col("toxic") == 1, found)
+
+
 _REASONS = "SELECT doc_id, source, CASE WHEN quality = 1 AND toxic = 0 THEN 'none' WHEN toxic = 1 THEN 'toxic' ELSE 'poor' END AS taxonomy_code FROM labels JOIN documents USING (doc_id)"
 
 

@@ -56,8 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on all cores: rows that come in fewer partitions than there are cores, as from a file of one row
-    group, are dealt out; others stay where they are. It changes nothing but where rows are worked on."""
-    if df.isStreaming:
+    group, are dealt out; others stay where they are. It changes nothing but where rows are worked on.
+
+    Partitions are counted of plain scans only: behind a shuffle Spark chooses their number itself, and would run the shuffle to tell.
+    """
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -66,21 +66,30 @@ def last_page(link: str | None) -> int | None:
 
 @adapter("hackernews")
 def hackernews(query: str, since: datetime, limit: int, get: Get, cap: int = 1000) -> Iterator[Envelope]:
-    """Stories and comments, newest first. A search shows ``cap`` hits at most: from the oldest of a full one the next begins."""
-    floor, seen = int(since.timestamp()), set()
+    """Stories and comments, newest first, ``limit`` of each. A search shows ``cap`` hits at most: a full one is followed by
+    one up to and with its oldest second, whose hits may not all have been shown; those that come again are left out. Of a second with
+    ``cap`` hits or more a search can't show the rest: older hits still come, and an error at the end names such seconds."""
+    floor, seen, cut = int(since.timestamp()), set(), []
     for kind in ("story", "comment"):
         until: int | None = None
-        while not limit or len(seen) < limit:
-            span = f"created_at_i>{floor}" + (f",created_at_i<{until}" if until else "")
+        left = limit
+        while not limit or left:
+            span = f"created_at_i>{floor}" + (f",created_at_i<={until}" if until else "")
             hits = get("https://hn.algolia.com/api/v1/search_by_date", query=query, tags=kind, hitsPerPage=cap, numericFilters=span).body["hits"]
             for h in hits:
-                if h["objectID"] not in seen and (not limit or len(seen) < limit):
+                if h["objectID"] not in seen and (not limit or left):
                     seen.add(h["objectID"])
+                    left -= 1
                     yield _envelope(kind, h["objectID"], h)
             oldest = min((h["created_at_i"] for h in hits), default=floor)
-            if len(hits) < cap or until is not None and oldest >= until:
+            if len(hits) < cap or limit and not left:
                 break
+            if oldest == until:
+                cut.append(until)
+                oldest -= 1
             until = oldest
+    if cut:
+        raise ValueError(f"seconds with {cap} hits or more: {cut}")
 
 
 class Budget:
