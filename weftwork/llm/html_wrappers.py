@@ -74,6 +74,8 @@ ALIGNED = 400
 #: Pages that evidence needs; the share of them that have a text of the template; the share of link text of a list of links.
 LEAST, SAME, LINKED = 5, 0.8, 0.8
 
+#: A tag as most are, which has no other mark inside, so that a miss is found at the next mark; or a mark by itself.
+_COMMON = re.compile(rf"""<(?:(?!(?:{_RAW})\b)(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>|)""", re.I)
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[\"'>]")
 _RAW_TAG = re.compile(rf"({_RAW})\b", re.I)
@@ -98,33 +100,43 @@ class _Tags:
 
     def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
         """(start, end, name or empty, whether it is an end tag, attributes)."""
-        page, at = self.page, 0
-        while (i := page.find("<", at)) >= 0:
-            x = page[i + 1 : i + 2]
-            if page.startswith("<!--", i):
-                at = self._past("-->", i + 4)
-                yield i, at, "", False, ""
-            elif page.startswith("<![CDATA[", i):
-                at = self._past("]]>", i + 9)
-                yield i, at, "", False, ""
-            elif not (x in ("!", "?", "/") or x.isascii() and x.isalpha()):
-                at = i + 1
-            elif (close := self._next(i)) < 0:
-                # No tag is closed any more; comments and CDATA sections may follow.
-                at = min((k for k in (page.find("<!--", i + 1), page.find("<![CDATA[", i + 1)) if k >= 0), default=len(page))
-            elif m := _RAW_TAG.match(page, i + 1):
-                m = _RAW_END[m[1].lower()].search(page, close + 1)
-                at = m.end() if m else len(page)
-                yield i, at, "", False, ""
-            elif m := _TAG.match(page, i + 1):
-                end = self._end(m.end())
-                at = (end if end >= 0 else close) + 1
-                yield (i, at, m[2], bool(m[1]), page[m.end() : end]) if end >= 0 else (i, at, "", False, "")
-            elif x == "/":
-                at = i + 1
+        at = 0
+        while m := _COMMON.search(self.page, at):
+            ends, name, attributes = m.groups()
+            at = m.end()
+            if name:
+                yield m.start(), at, name, bool(ends), attributes
             else:
-                at = close + 1
-                yield i, at, "", False, ""
+                piece, at = self.odd(m.start())
+                if piece:
+                    yield piece
+
+    def odd(self, i: int) -> tuple[tuple[int, int, str, bool, str] | None, int]:
+        """What begins at a mark that isn't a common tag's, if it isn't text, and where to go on."""
+        page = self.page
+        x = page[i + 1 : i + 2]
+        if page.startswith("<!--", i):
+            at = self._past("-->", i + 4)
+        elif page.startswith("<![CDATA[", i):
+            at = self._past("]]>", i + 9)
+        elif not (x in ("!", "?", "/") or x.isascii() and x.isalpha()):
+            return None, i + 1
+        elif (close := self._next(i)) < 0:
+            # No tag is closed any more; comments and CDATA sections may follow.
+            return None, min((k for k in (page.find("<!--", i + 1), page.find("<![CDATA[", i + 1)) if k >= 0), default=len(page))
+        elif m := _RAW_TAG.match(page, i + 1):
+            m = _RAW_END[m[1].lower()].search(page, close + 1)
+            at = m.end() if m else len(page)
+        elif m := _TAG.match(page, i + 1):
+            end = self._end(m.end())
+            if end >= 0:
+                return (i, end + 1, m[2], bool(m[1]), page[m.end() : end]), end + 1
+            at = close + 1
+        elif x == "/":
+            return None, i + 1
+        else:
+            at = close + 1
+        return (i, at, "", False, ""), at
 
     def _past(self, mark: str, at: int) -> int:
         k = self.page.find(mark, at)
@@ -187,13 +199,22 @@ class Page:
                     self.links.append(min(linked, len(text)))
             linked = 0
 
-        at = 0
-        for start, end, name, ends, attributes in _Tags(page):
+        at = next_ = 0
+        search, tags = _COMMON.search, _Tags(page)
+        while m := search(page, next_):
+            ends, name, attributes = m.groups()
+            if name:
+                start, next_ = m.start(), m.end()
+            else:
+                piece, next_ = tags.odd(m.start())
+                if piece is None:
+                    continue
+                start, next_, name, ends, attributes = piece
             if start > at:
                 run.append(page[at:start])
                 if in_link:
                     linked += start - at
-            at = end
+            at = next_
             if not name:
                 continue
             name = name.lower()
