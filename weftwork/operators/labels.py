@@ -115,6 +115,32 @@ def reason_tables(rows: DataFrame, code: str = "taxonomy_code", by: str = "sourc
     return grid.join(r.groupBy(code, by).agg(F.count("*").alias("n")), [code, by], "left").select(code, by, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def reason_maps(rows: DataFrame, code: str = "taxonomy_code", by: str = "source", sample: str = "sample", none: str = "none") -> DataFrame:
+    """One row with ``reasons``, a map of maps: code -> (n, source -> (n, sample -> n)), zeros included, and ``n`` over all.
+
+    One pass by grouping sets counts all levels. Every code has every source, and every source every sample, that the rows
+    have with any code, ``none`` included; ``none`` itself and null codes are no reasons. A null source or sample is called ``null``,
+    and no real one may be. Without reasons the map is empty.
+    """
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    r = rows.select(F.col(code).alias("code"), name(by).alias("by"), name(sample).alias("sample"))
+    # Of each code all sources and samples, with no rows: they make the zeros. All three are short lists.
+    places = r.select("by", "sample").distinct()
+    grid = r.where(F.col("code") != none).select("code").distinct()
+    grid = grid.join(F.broadcast(places.select("by").distinct())).join(F.broadcast(places.select("sample").distinct()))
+    all_of = r.where(F.col("code") != none).withColumn("one", F.lit(1)).unionByName(grid.withColumn("one", F.lit(0)))
+    sets = [[F.col("code"), F.col("by"), F.col("sample")], [F.col("code"), F.col("by")], [F.col("code")], []]
+    c = all_of.groupingSets(sets, F.col("code"), F.col("by"), F.col("sample")).agg(F.sum("one").alias("n"), F.grouping_id().alias("level"))
+    level = lambda k, *cols: c.where(F.col("level") == k).select(*cols, F.coalesce("n", F.lit(0)).alias("n"))
+    as_map = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k), v))))
+    inner = level(0, "code", "by", "sample").groupBy("code", "by").agg(as_map("sample", F.col("n")).alias("samples"))
+    middle = level(1, "code", "by").join(inner, ["code", "by"])
+    # A map has no order, by which entries could be sorted: its keys come first.
+    middle = middle.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("by", F.struct("n", "samples")))).alias("sources"))
+    outer = level(3, "code").join(middle, "code").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("n", "sources")))).alias("reasons"))
+    return level(7).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).crossJoin(outer)  # one row each
+
+
 def sensitivity(rows: DataFrame, flagged: Column, code: str = "taxonomy_code", none: str = "none") -> DataFrame:
     """Counts and ranks of categories with and without the flagged rows, ties by name."""
     c = rows.where(F.col(code) != none).groupBy(F.col(code).alias("category")).agg(F.count("*").alias("with_all"), F.count_if(~flagged).alias("without"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weftwork.functions.text import locate
 from weftwork.operators.corpus import share_of_voice
 from weftwork.operators.labels import kappa, reason_tables, sensitivity
+from weftwork.operators.merge import fingerprint
+from weftwork.session import materialize
 
 
 def _list(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -62,3 +65,24 @@ def gates(labels: DataFrame, committed: DataFrame, keys: list[str]) -> DataFrame
     """Rows that are in only one of the stored and the committed labels: must be empty."""
     a, b = labels.select(*keys), committed.select(*keys)
     return a.exceptAll(b).withColumn("only_in", F.lit("stored")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("committed")))
+
+
+def passed(labels: DataFrame, committed: DataFrame, docs: DataFrame, keys: list[str], evidence: str = "evidence_span") -> tuple[DataFrame, dict[str, int]]:
+    """``labels``, written once, if their rows are the committed ones in ``keys`` and every piece of evidence is in its document,
+    word for word; and ``{"labels": n, "quotes": n}``. Else an error names some of what is wrong.
+
+    Both gates are metrics observed while the labels are written: they cost no pass of their own, and no shuffle but that
+    of the quoted documents. ``labels(document_id, evidence..., ...)``, ``docs(id, body)``; blank evidence is none.
+    """
+    rows, quotes = Observation(), Observation()
+    stored = materialize(labels.observe(rows, *fingerprint(labels.select(*keys))), "findings-labels")
+    if rows.get != committed.agg(*fingerprint(committed.select(*keys))).first().asDict():
+        checked(labels, gates(stored, committed, keys))
+    said = stored.where(F.trim(F.coalesce(evidence, F.lit(""))) != "").select("document_id", evidence)
+    said = said.join(docs.select(F.col("id").alias("document_id"), "body"), "document_id", "left")
+    wrong = locate(F.col("body"), F.col(evidence)).isNull()
+    said = said.withColumn("wrong", wrong).observe(quotes, F.count(F.lit(1)).alias("quotes"), F.count_if("wrong").alias("wrong"))
+    bad = materialize(said.where("wrong").select("document_id", evidence), "findings-quotes")
+    if quotes.get["wrong"]:
+        checked(labels, bad)
+    return stored, {"labels": rows.get["n"], "quotes": quotes.get["quotes"]}
