@@ -203,12 +203,30 @@ def _found(spark, d):
     return mentions.with_mentions(docs, RULES, title=None)
 
 
-@query()
+#: The tiers of ``RULES`` word by word: words and what is between them with their places, then what follows what.
+_TIERS = rf"""WITH w AS (SELECT doc_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_]+') AS t FROM documents)),
+ p AS (SELECT *, lower(tok) AS x, CAST(coalesce(sum(length(tok)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, lead(tok, 1) OVER o AS g1, lower(lead(tok, 2) OVER o) AS x2, lead(tok, 3) OVER o AS g3, lower(lead(tok, 4) OVER o) AS x4,
+   lead(tok, 5) OVER o AS g5, lead(tok, 7) OVER o AS g7, lower(lead(tok, 8) OVER o) AS x8, lower(lag(tok, 1) OVER o) AS b1, lower(lag(tok, 2) OVER o) AS b2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ -- The text with exclusions blank, where context is read.
+ t AS (SELECT doc_id, string_agg(CASE WHEN x IN ('of', 'to') AND g1 = ' ' AND x2 = 'the' OR x = ' ' AND b1 IN ('of', 'to') AND lower(g1) = 'the' OR x = 'the' AND b1 = ' ' AND b2 IN ('of', 'to') THEN repeat(' ', length(tok)) ELSE tok END, '' ORDER BY i) AS blank FROM p GROUP BY 1),
+ a AS (SELECT doc_id, s, CASE WHEN x = 'the' THEN 'english' WHEN x IN ('der', 'die') THEN 'german' WHEN x = 'le' THEN 'french' WHEN x = 'el' THEN 'spanish' WHEN x = 'all' AND g1 = ' ' AND x2 = 'rights' AND g3 = ' ' AND x4 = 'reserved' THEN 'rights'
+   WHEN x IN ('license', 'licensed') AND g1 = ' ' AND x2 = 'under' OR x = 'released' AND g1 = ' ' AND x2 = 'under' AND g3 = ' ' AND x4 = 'the' AND g5 = ' ' AND g7 = ' ' AND x8 = 'license' THEN 'license' END AS entity FROM p),
+ o AS (SELECT doc_id, s, s + length(tok) AS e, tok, CASE x WHEN 'to' THEN 'article' ELSE 'secret' END AS entity, '\b' || x || '\b' AS term, CASE x WHEN 'token' THEN 60 WHEN 'password' THEN 20 ELSE 12 END AS r FROM p
+   WHERE x IN ('token', 'password') OR x = 'to' AND NOT coalesce(g1 = ' ' AND x2 = 'the', false)),
+ c AS (SELECT o.*, substr(blank, greatest(0, s - r) + 1, e + r - greatest(0, s - r)) AS around FROM o JOIN t USING (doc_id)),
+ k AS (SELECT *, CASE WHEN entity = 'article' THEN tok = 'To' OR regexp_matches(around, '(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}_])of($|[^\p{{L}}\p{{N}}\p{{M}}_])')
+   ELSE contains(around, '=') OR r = 60 AND regexp_matches(around, '(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}_])password($|[^\p{{L}}\p{{N}}\p{{M}}_])') END AS counts FROM c),
+ m AS (SELECT doc_id, entity, s FROM a WHERE entity IS NOT NULL UNION SELECT doc_id, entity, s FROM k WHERE counts),
+ j AS (SELECT doc_id, s, e, entity, term, 'no_context' AS reason FROM k WHERE NOT counts
+   UNION ALL SELECT doc_id, s, s + 6, CASE x WHEN 'of' THEN 'english' ELSE 'article' END, '\b' || x || ' the\b', 'excluded' FROM p WHERE x IN ('of', 'to') AND g1 = ' ' AND x2 = 'the')"""
+
+
+@query(_TIERS + " SELECT doc_id AS document_id, entity, count(*)::INTEGER AS mention_count, min(s)::INTEGER AS first_char_offset FROM m GROUP BY ALL")
 def mention_counts(spark, d):
     return mentions.mention_rows(_found(spark, d))
 
 
-@query()
+@query(_TIERS + " SELECT entity, term, reason, count(*) AS n FROM j GROUP BY ALL")
 def mention_rejections(spark, d):
     return mentions.rejection_counts(mentions.rejection_rows(_found(spark, d)))
 
@@ -230,7 +248,9 @@ def mention_audit(spark, d):
     return mentions.not_counted(f, mentions.mention_rows(f), mentions.rejection_rows(f), "german", "die")
 
 
-@query()
+@query(_TIERS + rf""", z AS (SELECT doc_id, reason, {_COLLAPSED.replace('text', 'cut')} AS snippet FROM (SELECT j.*, substr(text, greatest(0, s - 60) + 1, e + 60 - greatest(0, s - 60)) AS cut FROM j JOIN documents USING (doc_id) WHERE entity = 'article'))
+ SELECT d.doc_id AS id, coalesce(reason, 'substring_only') AS reason, snippet FROM documents d LEFT JOIN (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY reason, snippet) <= 2) z USING (doc_id)
+ WHERE contains(lower(text), 'to') AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id AND entity = 'article')""")
 def mention_audit_rejected(spark, d):
     f = _found(spark, d)
     return mentions.not_counted(f, mentions.mention_rows(f), mentions.rejection_rows(f), "article", "to")
