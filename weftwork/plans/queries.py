@@ -355,7 +355,12 @@ def near_dup_pairs(spark, d):
     return dedupe.near_pairs(docs).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(_TF.replace("WITH w AS", "WITH RECURSIVE w AS", 1) + """, e AS (SELECT a, b, dot / sqrt(na.sq * nb.sq) AS sim FROM p JOIN nm na ON na.doc_id = a JOIN nm nb ON nb.doc_id = b WHERE dot / sqrt(na.sq * nb.sq) >= 0.9 - 1e-12),
+ nd AS (SELECT id, prev, row_number() OVER (ORDER BY id) AS i FROM (SELECT DISTINCT unnest([a, b]) AS id FROM e) LEFT JOIN (SELECT b AS id, list(a) AS prev FROM e GROUP BY 1) USING (id)),
+ -- One document after another: it stays if no earlier one that stays is its pair.
+ k(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nd.i, CASE WHEN prev IS NOT NULL AND list_has_any(kept, prev) THEN kept ELSE list_append(kept, id) END FROM k JOIN nd ON nd.i = k.i + 1),
+ s AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1))
+ SELECT b::VARCHAR AS dropped_id, a::VARCHAR AS kept_key, 'near' AS reason, round(sim, 4) AS similarity FROM e JOIN s ON s.id = a WHERE b NOT IN (SELECT id FROM s) QUALIFY row_number() OVER (PARTITION BY b ORDER BY sim DESC, a) = 1""")
 def near_dup_survivors(spark, d):
     docs = dedupe.with_content_hash(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("external_id"), "doc_id", "source", F.col("text").alias("body")))
     kept, drops = dedupe.near_dedupe(docs, order=[F.col("doc_id")])
