@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from weftwork.plans import incremental, reported  # noqa: F401 - they add to the queries
+from weftwork.plans import incremental, ingested, reported  # noqa: F401 - they add to the queries
 from weftwork.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")

@@ -141,6 +141,15 @@ def reason_maps(rows: DataFrame, code: str = "taxonomy_code", by: str = "source"
     return level(7).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).crossJoin(outer)  # one row each
 
 
+def filtered_categories(rows: DataFrame, shown: Column, promotional: Column, code: str = "taxonomy_code", none: str = "none") -> DataFrame:
+    """``(category, promotional, n, rank)``: categories of the rows that are ``shown``, once with promotional ones and once
+    without, so that a page can switch between the two. Ranks go by ``n``, ties by name."""
+    r = rows.where(shown & (F.col(code) != none)).select(F.col(code).alias("category"), F.coalesce(promotional, F.lit(False)).alias("p"))
+    both = r.withColumn("promotional", F.explode(F.when(F.col("p"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    c = both.groupBy("category", "promotional").agg(F.count("*").alias("n"))
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy("promotional").orderBy(F.desc("n"), "category")))
+
+
 def sensitivity(rows: DataFrame, flagged: Column, code: str = "taxonomy_code", none: str = "none") -> DataFrame:
     """Counts and ranks of categories with and without the flagged rows, ties by name."""
     c = rows.where(F.col(code) != none).groupBy(F.col(code).alias("category")).agg(F.count("*").alias("with_all"), F.count_if(~flagged).alias("without"))

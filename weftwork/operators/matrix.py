@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The capabilities of the two axes.
@@ -24,3 +24,9 @@ def positions(features: DataFrame, x: tuple[str, ...] = DEPLOYMENT, y: tuple[str
     """The mean scores of each vendor over two lists of capabilities."""
     mean = lambda caps: F.round(F.avg(F.when(F.col("capability").isin(*caps), F.col("score"))), places)
     return features.groupBy("vendor").agg(mean(x).alias("deploy_flex"), mean(y).alias("openness"))
+
+
+def position_order(positions: DataFrame) -> DataFrame:
+    """Positions with ``place``: vendors by the sum of both axes, descending, missing ones last, ties by name. One row a vendor."""
+    both = F.desc_nulls_last(F.col("deploy_flex") + F.col("openness"))
+    return positions.withColumn("place", F.row_number().over(Window.orderBy(both, "vendor")))
