@@ -1,4 +1,4 @@
-"""Queries of the findings document: its nested parts as flat rows, its gates, and reasons as maps of maps."""
+"""Queries of the findings document: its nested parts as flat rows, its gates, reasons as maps of maps, and mentions without Python."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.operators import labels
+from weftwork.operators.mention_spans import find_mentions
+from weftwork.operators.mentions import rejection_counts
 from weftwork.plans import findings
-from weftwork.plans.queries import _LOWER_WORDS, _REASONS, _SOV_SOURCES, _VOICES, _lens, _t, query
+from weftwork.plans.queries import _LOWER_WORDS, _REASONS, _SOV_SOURCES, _VOICES, ORACLES, RULES, _lens, _t, query
 
 _CODED = f"SELECT *, 's' || (doc_id % 3) AS sample FROM ({_REASONS})"
 
@@ -76,3 +78,14 @@ def findings_gates(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     stored, seen = findings.passed(rows, rows.orderBy("document_id"), docs, ["document_id", "taxonomy_code"])
     return stored.limit(1).select(F.lit(seen["labels"]).cast("long").alias("labels"), F.lit(seen["quotes"]).cast("long").alias("quotes"))
+
+
+@query(ORACLES["mention_counts"])
+def mention_counts_native(spark, d):
+    """``mention_counts`` with DataFrame operations only."""
+    return find_mentions(_t(spark, d, "documents"), RULES, "doc_id", "text")[0]
+
+
+@query(ORACLES["mention_rejections"])
+def mention_rejections_native(spark, d):
+    return rejection_counts(find_mentions(_t(spark, d, "documents"), RULES, "doc_id", "text")[1])
