@@ -137,3 +137,16 @@ def tags_array(value: Column) -> Column:
     is_list = F.trim(value).startswith("[")
     parts = F.when(is_list, F.from_json(value, "array<string>")).otherwise(F.split(value, ","))
     return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
+
+
+def without_prefix(text: Column, prefix: str) -> Column:
+    return F.when(text.startswith(prefix), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text)
+
+
+def without_suffix(text: Column, suffix: str) -> Column:
+    return F.when(text.endswith(suffix), F.substring(text, F.lit(1), F.length(text) - len(suffix))).otherwise(text)
+
+
+def titled(name: Column) -> Column:
+    """An identifier as a heading: ``self_managed-onprem`` becomes ``Self Managed Onprem``."""
+    return F.initcap(collapsed(F.translate(name, "_-", "  ")))

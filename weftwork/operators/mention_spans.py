@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.rules import Rules
 from weftwork.functions.text import collapsed
+from weftwork.operators.buckets import Buckets
 from weftwork.operators.mentions import maybe
 from weftwork.session import materialize, spread
 
@@ -105,3 +106,11 @@ def find_mentions(docs: DataFrame, rules: Rules, id_col: str = "id", body: str =
     mentions = each.join(names, "row").select("document_id", "entity", "mention_count", "first_char_offset")
     reason = F.when(F.col("cut"), "excluded").otherwise("no_context").alias("reason")
     return mentions, words.where("not counts").join(names, "row").select("document_id", "entity", "term", reason, "snippet")
+
+
+def rebuild_mentions(docs: DataFrame, rules: Rules, into: Buckets, rejected: Buckets | None = None, **columns: str) -> None:
+    """All mentions anew, and all rejections, if they have a table: what was stored is overwritten once the new rows are found."""
+    mentions, rejections = find_mentions(docs, rules, **columns)
+    into.create(mentions)
+    if rejected is not None:
+        rejected.create(rejections)

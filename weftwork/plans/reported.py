@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.functions import text as T
 from weftwork.operators import labels
-from weftwork.operators.mention_spans import find_mentions
+from weftwork.operators.buckets import Buckets
+from weftwork.operators.mention_spans import find_mentions, rebuild_mentions
 from weftwork.operators.mentions import rejection_counts
 from weftwork.plans import findings
+from weftwork.plans.incremental import _place
 from weftwork.plans.queries import _LOWER_WORDS, _REASONS, _SOV_SOURCES, _VOICES, ORACLES, RULES, _lens, _t, query
 
 _CODED = f"SELECT *, 's' || (doc_id % 3) AS sample FROM ({_REASONS})"
@@ -89,3 +92,22 @@ def mention_counts_native(spark, d):
 @query(ORACLES["mention_rejections"])
 def mention_rejections_native(spark, d):
     return rejection_counts(find_mentions(_t(spark, d, "documents"), RULES, "doc_id", "text")[1])
+
+
+@query(ORACLES["mention_counts"])
+def mentions_rebuilt(spark, d):
+    """Mentions written anew over some that were stored, and read back."""
+    docs = _t(spark, d, "documents")
+    table = Buckets(_place(spark, "mentions"), ("document_id",), 16)
+    rebuild_mentions(docs.where("doc_id % 3 = 0"), RULES, table, id_col="doc_id", body="text")
+    rebuild_mentions(docs, RULES, table, id_col="doc_id", body="text")
+    return table.read(spark)
+
+
+@query("""SELECT p_partkey, replace(CASE WHEN p_brand LIKE 'Brand#%' THEN substr(p_brand, 7) ELSE p_brand END, '1', 'I') AS brand, CASE WHEN p_type LIKE '%STEEL' THEN substr(p_type, 1, length(p_type) - 5) ELSE p_type END AS base,
+ array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS heading, lpad(p_size::VARCHAR, 4, '0') || '/' || upper(p_brand) AS code FROM part""")
+def part_names(spark, d):
+    """Names taken apart and put together."""
+    p = _t(spark, d, "part")
+    name = F.col("p_type")
+    return p.select("p_partkey", F.replace(T.without_prefix(F.col("p_brand"), "Brand#"), F.lit("1"), F.lit("I")).alias("brand"), T.without_suffix(name, "STEEL").alias("base"), T.titled(F.translate(F.lower(name), " ", "_")).alias("heading"), F.format_string("%04d/%s", F.col("p_size").cast("int"), F.upper("p_brand")).alias("code"))

@@ -47,7 +47,7 @@ def _envelope(kind: str, key: object, raw: dict) -> Envelope:
 
 
 def pages(get: Get, url: str, most: int = 1000, **parameters) -> Iterator[object]:
-    """The items of a paged list, until a page is empty or missing."""
+    """The items of a paged list, until a page is empty or missing. A list of more than ``most`` pages ends with an error, as it isn't whole."""
     for page in range(1, most + 1):
         reply = get(url, page=page, **parameters)
         items = reply.body.get("items", []) if isinstance(reply.body, dict) else reply.body or []
@@ -56,6 +56,7 @@ def pages(get: Get, url: str, most: int = 1000, **parameters) -> Iterator[object
         yield from items
         if isinstance(reply.body, dict) and reply.body.get("has_more") is False:
             return
+    raise ValueError(f"more than {most} pages of {url}")
 
 
 def last_page(link: str | None) -> int | None:
