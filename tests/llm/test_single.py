@@ -396,3 +396,32 @@ def test_a_page_that_misses_the_wrapper_and_mixes_bare_and_full_symbols():
     other = html_wrappers.inferred(html_wrappers.Page("<article><h1>t</h1></article>").root[1])
     found = html_wrappers.slots(html_wrappers.Page(page), other)
     assert len(found) == 102 and None not in found
+
+
+def test_pseudonyms_link_forms_of_one_value():
+    names, back = Pseudonyms(b"k"), Pseudonyms(b"k", True)
+    digits = lambda t: re.sub(r"\D", "", names.replace(t)[0])[-10:]
+    assert digits("212-555-0187") == digits("(212) 555-0187") == digits("+12125550187") == digits("+1 212 555 0187") != "2125550187"
+    mails = [names.replace(t)[0] for t in ("John@Ex.com", "JOHN@Ex.com", "john@Ex.com")]
+    assert len({m.lower() for m in mails}) == 1 and mails[1].split("@")[0].isupper() and mails[2].islower() is False and mails[2].split("@")[0].islower()
+    for t in ("25/12/1999", "12/25/1999", "2024/02/29", "October 15, 1999", "15 OCT 1999", "may 17 2001", "+44 20 7946 0958", "+1 112 555 0187", "JoHn.D@ex.com"):
+        new = names.replace(t)[0]
+        assert new != t and back.replace(new)[0] == t, (t, new)
+    assert int(names.replace("25/12/1999")[0][:2]) > 12
+    for t in ("31 Feb 2000", "13/13/1999", "Mayor 5, 1999", "2024/13/01", "Marching 5, 1999"):
+        assert names.replace(t) == (t, {})
+
+
+def test_worded_dates_are_the_dates_of_digits():
+    import datetime
+
+    names = Pseudonyms(b"another key")
+    same = 0
+    for n in range(0, 36500, 37):
+        d = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+        iso = names.replace(f"on {d.isoformat()}")[0][3:]
+        worded = names.replace(f"on {d:%d %B %Y}")[0][3:]
+        got = datetime.datetime.strptime(worded, "%d %B %Y").date()
+        assert (got.month == 5) == (d.month == 5)
+        same += got.isoformat() == iso
+    assert same > 0.8 * len(range(0, 36500, 37))  # but for those that would come into May, or leave it

@@ -6,7 +6,7 @@ rank takes the place of the old one. Equal values get equal pseudonyms in every
 task meets them; a pseudonym is valid like its original; and who has the key can undo it.
 
 Formats: payment cards (13 to 19 digits with a check digit), telephone numbers, IPv4 addresses,
-US social security numbers, IBANs, dates with a day, e-mail addresses, and secrets that are
+US social security numbers, IBANs, dates with a day in digits or with the month's English name, e-mail addresses, and secrets that are
 recognised by a prefix or by a name before them. Separators and letter case stay where they are.
 
 Digits and groups that aren't valid as a whole may hold a card or an IBAN beside other numbers or
@@ -32,13 +32,17 @@ ROUNDS = 8
 _KEEP = 200_000
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
+_MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS)
+
 _FIND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsru]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,})(?![A-Za-z0-9]))"
     r"|(?P<named>(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b)[ \t]*[=:][ \t]*[\"']?(?=[A-Za-z_+/.-]*[0-9])(?P<value>[A-Za-z0-9_+/.-]{8,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<iso>(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-]))"
+    r"|(?P<iso>(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}(?![0-9/]))"
+    rf"|(?P<worded>(?<![A-Za-z0-9])(?i:{_MONTH}) [0-9]{{1,2}},? (?:19|20)[0-9]{{2}}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{{1,2}} (?i:{_MONTH}),? (?:19|20)[0-9]{{2}}(?![0-9]))"
     r"|(?P<day>(?<![0-9./-])[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)(?:19|20)[0-9]{2}(?![0-9]|[./-][0-9]))"
     r"|(?P<ip>(?<![0-9.])(?<![vV])(?<!ersion )(?<!elease )(?<!uild )(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
     r"|(?P<phone>(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]))"
@@ -49,6 +53,8 @@ _GROUP = re.compile(r"[0-9]+")
 _USUAL = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
 #: Calling codes of one and of two digits; all others have three.
 _COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: The code of numbers that are written without one.
+_HOME = "+1"
 #: The lengths of IBANs by country.
 _LENGTHS = {
     country: int(size)
@@ -182,8 +188,13 @@ class Pseudonyms:
         if not start[1:].isdigit() and start:
             return None
         rest = re.sub(r"\D", "", x[len(start) :])
-        # Without a country code the first digit tells a number from others, and stays in its range.
-        new = self._valid(rest, f"phone{start}", lambda v: len(v) >= 6 and (bool(start) or v[0] not in "01" and v[3] not in "01"), lambda v: self.characters(v, f"phone{start}"))
+        # A national number is that of its country, which those without a code are of, and stays one; other numbers stay others.
+        national = lambda v: len(v) == 10 and v[0] not in "01" and v[3] not in "01"
+        if start in ("", _HOME) and national(rest):
+            kind, ok = f"phone{_HOME}", national
+        else:
+            kind, ok = f"phone{start} other", lambda v: len(v) >= 6 and bool(start) and not (start == _HOME and national(v))
+        new = self._valid(rest, kind, ok, lambda v: self.characters(v, kind))
         return None if new is None else start + self._digits(x[len(start) :], new)
 
     def iban(self, x: str) -> str | None:
@@ -196,32 +207,54 @@ class Pseudonyms:
         it = iter(v)
         return "".join(next(it) if c != " " else c for c in x)
 
-    def _date(self, year: int, month: int, day: int) -> datetime.date | None:
+    def _date(self, year: int, month: int, day: int, like=lambda d: True) -> datetime.date | None:
+        """Another date among those that are ``like`` it."""
         try:
-            n = datetime.date(year, month, day).toordinal() - _DAY0
+            d = datetime.date(year, month, day)
         except ValueError:
             return None
-        return datetime.date.fromordinal(_DAY0 + self.feistel.permute(n, _DAYS, "date", self.back)) if 0 <= n < _DAYS else None
+        if not 0 <= d.toordinal() - _DAY0 < _DAYS or not like(d):
+            return None
+        while True:
+            d = datetime.date.fromordinal(_DAY0 + self.feistel.permute(d.toordinal() - _DAY0, _DAYS, "date", self.back))
+            if like(d):
+                return d
 
     def iso(self, x: str) -> str | None:
         d = self._date(int(x[:4]), int(x[5:7]), int(x[8:]))
-        return d and d.isoformat()
+        return d and d.isoformat().replace("-", x[4])
 
     def day(self, x: str) -> str | None:
-        """Day before month; with slashes month before day."""
+        """Day before month; with slashes month before day, unless the first number can't be a month."""
         a, b, year = re.split(r"[./-]", x)
         sep = x[len(a)]
-        # The separator decides the order, not the values, so that a pseudonym is read as it was made.
-        us = sep == "/"
-        d = self._date(int(year), int(a if us else b), int(b if us else a))
+        # What decides the order holds for the pseudonym too, so that it is read as it was made.
+        us = sep == "/" and int(a) <= 12
+        like = (lambda d: d.day > 12) if sep == "/" and not us else (lambda d: True)
+        d = self._date(int(year), int(a if us else b), int(b if us else a), like)
         if not d:
             return None
         p, q = (d.month, d.day) if us else (d.day, d.month)
         return f"{p:02d}{sep}{q:02d}{sep}{d.year}"
 
+    def worded(self, x: str) -> str | None:
+        """A date with the month's name, whole or short, in the case it has. May, which tells neither, stays May."""
+        word = re.search(r"[A-Za-z]+", x)[0]
+        month = next(k for k, m in enumerate(_MONTHS, 1) if m[:3].lower() == word[:3].lower())
+        numbers = re.findall(r"[0-9]+", x)
+        d = self._date(int(numbers[1]), month, int(numbers[0]), lambda d: (d.month == 5) == (month == 5))
+        if not d:
+            return None
+        name = _MONTHS[d.month - 1] if len(word) > 3 or month == 5 else _MONTHS[d.month - 1][:3]
+        name = name.upper() if word.isupper() else name.lower() if word.islower() else name
+        it = iter((f"{d.day:02d}" if len(numbers[0]) == 2 else str(d.day), str(d.year)))
+        return re.sub(r"[A-Za-z]+|[0-9]+", lambda m: name if m[0][0].isalpha() else next(it), x)
+
     def email(self, x: str) -> str | None:
+        """The domain stays. A mailbox is the same in any case of letters; each letter keeps its own."""
         name, _, domain = x.rpartition("@")
-        return f"{self.characters(name, 'email@' + domain.lower())}@{domain}"
+        new = self.characters(name.lower(), "email@" + domain.lower())
+        return f"{''.join(c.upper() if o.isupper() else c for c, o in zip(new, name, strict=True))}@{domain}"
 
     def secret(self, x: str) -> str | None:
         m = re.match(r"AKIA|ASIA|gh._|sk_(?:live|test)_", x)
@@ -238,7 +271,7 @@ class Pseudonyms:
         out: list[str] = []
         at = done = 0
         while m := _FIND.search(text, at):
-            kind = next(k for k in ("email", "secret", "named", "iban", "ssn", "iso", "day", "ip", "phone", "card") if m[k] is not None)
+            kind = next(k for k in ("email", "secret", "named", "iban", "ssn", "iso", "worded", "day", "ip", "phone", "card") if m[k] is not None)
             start, at = m.start("value") if kind == "named" else m.start(), m.end()
             if kind == "card":
                 start, end, new, at = self._cards(text, start)
@@ -252,7 +285,7 @@ class Pseudonyms:
                 end, new = at, self._new(kind, text[start:at])
             if new is None:
                 continue
-            name = {"iso": "date", "day": "date", "named": "secret"}.get(kind, kind)
+            name = {"iso": "date", "day": "date", "worded": "date", "named": "secret"}.get(kind, kind)
             counts[name] = counts.get(name, 0) + 1
             out += text[done:start], new
             done = end
