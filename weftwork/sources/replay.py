@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import io
 import json
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from weftwork.sources.recorded import SCHEMA
 
 _TAIL = 1 << 16
+# The process that plans a source on the driver doesn't get this package: the source goes there whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _files(path: str):

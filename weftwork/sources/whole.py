@@ -12,15 +12,20 @@ from __future__ import annotations
 import csv
 import io
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row
 
 
+# The process that commits on the driver doesn't get this package: the sink goes there whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @dataclass
 class Part(WriterCommitMessage):
     number: int

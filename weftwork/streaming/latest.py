@@ -8,9 +8,11 @@ ever rewritten as a whole.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -24,6 +26,10 @@ _SETTINGS = {
 }
 
 
+# The process that prepares state on the driver doesn't get this package: the processor goes there whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _rank(values: tuple) -> tuple:
     """Comparable as Spark orders values: null first, NaN last."""
     return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in values)
