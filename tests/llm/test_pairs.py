@@ -276,3 +276,14 @@ def test_two_thousand_regions_plan(spark, monkeypatch):
     for r in vector_join._regions(nodes, dim, 0.95).groupBy("cell", "blocks").count().collect():
         cells[r["cell"]] = (r["blocks"], r["count"])
     assert len(cells) == 2000 and set(cells.values()) == {(5, 220)}
+
+
+def test_sampled_vectors_without_pairs_in_a_batch(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x[1] = x[0] + 1e-3  # one pair, in the first of two chunks
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, v array<double>").coalesce(1)
+    sample = nodes.where("rep < 200").toPandas()
+    a, b, cell = vector_join._pairs(nodes, sample, 64, 0.95)
+    assert len(a) == len(b) == len(cell) and len(a) >= 2 * 200
+    assert (np.einsum("ij,ij->i", a, b) >= 0.95 - 1e-9).all()
