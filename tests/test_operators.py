@@ -194,3 +194,26 @@ def test_market_cells_are_those_of_plain_arithmetic(spark):
         size = b[f"firms_{t}"] * b[f"adoption_{t}"] * b[f"spend_{t}"] * b[f"share_{w}"] * b[f"deploy_{d}"] * dict(market.REGIONS)[r.region]
         growth = (b[f"cagr_{w}"] + b[f"cagr_deploy_{d}"]) / 2
         assert [r[f"size_{2025 + n}"] for n in range(6)] == [round(size * (1 + growth) ** n, 2) for n in range(6)]
+
+
+def test_near_pairs_in_passes_leave_little_on_disk(spark, monkeypatch, tmp_path):
+    from collections import Counter
+
+    from weftwork.operators import dedupe as module
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = [f"word{rng.randrange(300)}" for _ in range(60)]
+        rows += [(4 * i + k, " ".join(w[: 60 - (k > 1)] + ["x" + str(k)] * (k == 3))) for k in range(4)]
+    d = spark.createDataFrame(rows, "id long, body string")
+    counts = {i: Counter(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for i, t in rows}
+    dot = lambda a, b: sum(n * counts[b][g] for g, n in counts[a].items())
+    want = sorted((a, b) for a in counts for b in counts if a < b and dot(a, b) >= 0.9 * (dot(a, a) * dot(b, b)) ** 0.5 - 1e-12)
+    monkeypatch.setattr(module, "PASS_ROWS", 500)
+    monkeypatch.setattr("weftwork.session.shared_dir", lambda _: f"file://{tmp_path}")
+    got = sorted((r["a"], r["b"]) for r in module.near_pairs(d).collect())
+    assert got == want and len(want) > 100
+    # Shingles, and what was made of them, are gone.
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))}
+    assert left == {"near-members", "near-firsts", "near-norm", "near-found"}
