@@ -217,3 +217,12 @@ def test_near_pairs_in_passes_leave_little_on_disk(spark, monkeypatch, tmp_path)
     # Shingles, and what was made of them, are gone.
     left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet"))}
     assert left == {"near-members", "near-firsts", "near-norm", "near-found"}
+
+
+def test_near_dedupe_keeps_one_copy_of_the_texts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("weftwork.session.shared_dir", lambda _: f"file://{tmp_path}")
+    d = docs(spark, [("s", "a", LONG, 1), ("s", "b", LONG + " thanks", 2), ("s", "c", "short", 3)])
+    kept, drops = near_dedupe(d)
+    assert sorted(r["external_id"] for r in kept.collect()) == ["a", "c"] and [(r["dropped_id"], r["kept_key"]) for r in drops.collect()] == [("b", "a")]
+    texts = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet")) and "body" in spark.read.parquet(str(p)).columns}
+    assert texts == {"near-docs"}
