@@ -1,6 +1,7 @@
 """The operators on pairs, against brute force."""
 
 import collections
+import os
 import random
 import re
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.llm import vector_join
+from weftwork.llm import ngram_join, vector_join
 from weftwork.llm.components import components
 from weftwork.llm.decontaminate import contaminated
 from weftwork.llm.ngram_join import jaccard_components
@@ -72,6 +73,28 @@ def test_jaccard_equals_brute_force(spark, width, num, den):
         assert got == brute(rows, width, num, den), options
 
 
+def test_jaccard_in_passes_by_slices_of_keys(spark, monkeypatch):
+    rows = corpus(2)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    written = collections.defaultdict(list)
+
+    def noted(df, name, *by):
+        written[name].append(materialize(df, name, *by))
+        if name in ("ngram-shared", "ngram-met"):
+            written[f"{name}-rows"].append(written[name][-1].collect())
+        return written[name][-1]
+
+    materialize = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    monkeypatch.setattr(ngram_join, "PASS_ROWS", 1000)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(d, 3, 9, 10, frequent_from=3, combine_below=20).collect()}
+    assert got == brute(rows, 3, 9, 10)
+    assert len(written["ngram-shared"]) == len(written["ngram-met"]) == ngram_join.PASSES
+    assert [{r.key % ngram_join.PASSES for r in part} for part in written["ngram-shared-rows"]] == [{k} for k in range(ngram_join.PASSES)]
+    for name in ("ngram-index", "ngram-shared", "ngram-open", "ngram-met"):
+        assert not any(os.path.exists(x.stored_at.removeprefix("file://")) for x in written[name]), name
+
+
 def test_jaccard_of_repeated_and_null_rows(spark):
     d = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None)], "doc_id long, text string")
     got = sorted(jaccard_components(d, 3, 9, 10).collect(), key=str)
@@ -184,7 +207,7 @@ def vectors(n=900, dim=16):
 
 
 def test_vectors_against_brute_force(spark, monkeypatch):
-    from weftwork.llm import vector_join
+    from weftwork.llm import ngram_join, vector_join
 
     x = vectors()
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
@@ -212,7 +235,7 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 
 
 def test_vectors_that_cannot_be_divided(spark, monkeypatch):
-    from weftwork.llm import vector_join
+    from weftwork.llm import ngram_join, vector_join
 
     monkeypatch.setattr(vector_join, "REGION", 100)
     rng = np.random.default_rng(8)
@@ -231,7 +254,7 @@ def test_vectors_that_cannot_be_divided(spark, monkeypatch):
 @pytest.mark.parametrize("centroids", [512, 8])
 @pytest.mark.parametrize("clusters", [10, 0])
 def test_vectors_in_hundreds_of_regions(spark, monkeypatch, clusters, centroids):
-    from weftwork.llm import vector_join
+    from weftwork.llm import ngram_join, vector_join
 
     monkeypatch.setattr(vector_join, "REGION", 100)
     monkeypatch.setattr(vector_join, "AIM", 0.2)

@@ -18,11 +18,15 @@ large groups of near copies aren't expanded into pairs, each key first offers on
 node to the others; the links found so are contracted to components, and then only nodes that are
 still in different components are paired, over all keys. Every candidate is verified on the whole
 sets.
+
+Passes. Keys are grouped, and paired, slice by slice of their hashes, so that the shuffle files of one
+slice at a time are on disk; what pairs share is summed over the slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,14 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.components import components
 from weftwork.llm.textbatch import chunks, mix, relieve, set_id, shingle_sets
-from weftwork.session import discard, materialize
+from weftwork.session import discard, materialize, sweep
 
 #: Shingles held by a task before it counts them.
 _HOLD = 2_000_000
 #: So many ids of texts to compare are sent to all tasks at most (8 MB); more are joined by a shuffle.
 _BROADCAST_IDS = 1_000_000
+#: Rows of the index that one pass takes, about, and passes at most: each has a dozen stages of its own.
+PASS_ROWS, PASSES = 4_000_000, 4
 
 
 def _names(width: int):
@@ -137,10 +143,26 @@ def _compare(width: int):
     return run
 
 
+def _slices(table: DataFrame, passes: int) -> Iterator[DataFrame]:
+    """``table`` by the remainders of its keys, which are hashes."""
+    for k in range(passes):
+        yield table.where(F.pmod("key", F.lit(passes)) == k) if passes > 1 else table
+
+
+def _stored(parts: Iterator[DataFrame], name: str) -> list[DataFrame]:
+    """Each part written, and its shuffle files deleted, before the next is begun."""
+    out = []
+    for part in parts:
+        out.append(materialize(part, name))
+        sweep(part.sparkSession)
+    return out
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of nodes whose whole sets are linked."""
     names = reps.select("node", "rep")
     pairs = materialize(pairs.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b"), "ngram-pairs")
+    sweep(docs.sparkSession)
     wanted = materialize(pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "ngram-wanted")
     few = wanted.count() <= _BROADCAST_IDS
     texts = materialize(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text"), "ngram-texts")
@@ -192,15 +214,22 @@ def jaccard_components(
     need = f"ceil(n * {num} / {den})"
     stored = entries
     entries = entries.withColumn("r", F.expr(f"cast(n - {need} + least({extend}, {need}) - f as int)"))
+    passes = min(PASSES, max(1, -(-stored.count() // PASS_ROWS)))
     # Few nodes have one rare token, so these keys are dealt out whole; other keys may have very many
     # nodes: the middle one is found by a partial aggregate and joined back, which skew can't hurt.
     middle = [F.min(F.struct("r", "node", "n", "f")).alias("p"), F.min("node").alias("low"), F.max("node").alias("high")]
     of_key = Window.partitionBy("key")
-    rare = entries.where("rare").select("key", "node", "n", "f", "r", "rare", *[c.over(of_key).alias(x) for c, x in ((F.min(F.struct("r", "node", "n", "f")), "p"), (F.min("node"), "low"), (F.max("node"), "high"))])
-    often = entries.where("not rare").select("key", "node", "n", "f", "r", "rare")
-    often = often.join(often.groupBy("key").agg(*middle).where("low <> high"), "key")
-    shared = rare.where("low <> high").unionByName(often).select("key", "node", "n", "f", "r", "rare", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.f").alias("pf"), F.col("p.r").alias("pr"))
-    shared = materialize(shared.dropDuplicates(["key", "node"]), "ngram-shared")
+
+    def grouped(entries: DataFrame) -> DataFrame:
+        """Keys that several nodes have, with the middle one of these."""
+        rare = entries.where("rare").select("key", "node", "n", "f", "r", "rare", *[c.over(of_key).alias(x) for c, x in ((F.min(F.struct("r", "node", "n", "f")), "p"), (F.min("node"), "low"), (F.max("node"), "high"))])
+        often = entries.where("not rare").select("key", "node", "n", "f", "r", "rare")
+        often = often.join(often.groupBy("key").agg(*middle).where("low <> high"), "key")
+        shared = rare.where("low <> high").unionByName(often).select("key", "node", "n", "f", "r", "rare", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.f").alias("pf"), F.col("p.r").alias("pr"))
+        return shared.dropDuplicates(["key", "node"])
+
+    parts = _stored(map(grouped, _slices(entries, passes)), "ngram-shared")
+    shared = reduce(DataFrame.unionByName, parts)
     discard(stored)
 
     like = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
@@ -209,13 +238,15 @@ def jaccard_components(
     most = "least(if(fb > 0, na - (ra - c), na), if(fa > 0, nb - (rb - c), nb))"
     enough = f"(fa > 0 and fb > 0 and c = 0 or c >= greatest(1, {demand})) and {den} * {most} >= {num} * (na + nb - {most})"
 
+    of_pair = ["a", "b", "na", "nb", "fa", "fb", "ra", "rb"]
+
     def counted(pairs: DataFrame) -> DataFrame:
-        """Pairs that share enough of what their prefixes have; an order of ends that is the same for all keys."""
+        """Rare tokens that pairs share; an order of ends that is the same for all keys."""
         ends = pairs.select(*[F.when(F.col("a") < F.col("b"), F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(f"{x}a") for x in ("n", "f", "r")], *[F.when(F.col("a") < F.col("b"), F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"{x}b") for x in ("n", "f", "r")], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "rare")
-        return ends.where(like).groupBy("a", "b", "na", "nb", "fa", "fb", "ra", "rb").agg(F.count_if("rare").alias("c")).where(enough).select("a", "b")
+        return ends.where(like).groupBy(*of_pair).agg(F.count_if("rare").alias("c"))
 
     star = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"), F.col("pf").alias("fa"), F.col("f").alias("fb"), F.col("pr").alias("ra"), F.col("r").alias("rb"), "rare")
-    first = _verified(docs, reps, counted(star), width, num, den)
+    first = _verified(docs, reps, counted(star).where(enough).select("a", "b"), width, num, den)
     label = components(first)
 
     # Keys whose nodes are all in one component by now have nothing more to say.
@@ -223,18 +254,24 @@ def jaccard_components(
     placed = materialize(placed, "ngram-placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     open_ = materialize(placed.join(mixed, "key"), "ngram-open")
-    discard(shared, placed)
+    discard(*parts, placed)
     # Components of a key are paired unless no pair of their nodes can be linked: by a frequent key, which
     # matters only to sets without a shared rare token, at most the frequent part of either is shared.
-    groups = open_.groupBy("key", "comp", "rare").agg(F.max(F.col("n") - F.when(F.col("rare"), 0).otherwise(F.col("r"))).alias("most"), F.min("n").alias("least"))
-    one, two = (groups.select("key", "rare", F.col("comp").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("least").alias(f"l{x}")) for x in "ab")
-    across = one.join(two, ["key", "rare"]).where(f"ca < cb and {den} * least(ma, mb) >= {num} * (la + lb - least(ma, mb))").select("key", "ca", "cb")
-    left = open_.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("r").alias("ra"), "rare")
-    right = open_.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("r").alias("rb"))
     fit = f"rare or {den} * least(na - ra, nb - rb) >= {num} * (na + nb - least(na - ra, nb - rb))"
-    rest = counted(across.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(fit))
-    second = _verified(docs, reps, rest.join(first, ["a", "b"], "left_anti"), width, num, den)
+
+    def met(open_: DataFrame) -> DataFrame:
+        groups = open_.groupBy("key", "comp", "rare").agg(F.max(F.col("n") - F.when(F.col("rare"), 0).otherwise(F.col("r"))).alias("most"), F.min("n").alias("least"))
+        one, two = (groups.select("key", "rare", F.col("comp").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("least").alias(f"l{x}")) for x in "ab")
+        across = one.join(two, ["key", "rare"]).where(f"ca < cb and {den} * least(ma, mb) >= {num} * (la + lb - least(ma, mb))").select("key", "ca", "cb")
+        left = open_.select("key", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("r").alias("ra"), "rare")
+        right = open_.select("key", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("r").alias("rb"))
+        return counted(across.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(fit))
+
+    parts = _stored(map(met, _slices(open_, passes)), "ngram-met")
     discard(open_)
+    rest = reduce(DataFrame.unionByName, parts).groupBy(*of_pair).agg(F.sum("c").alias("c")).where(enough).select("a", "b")
+    second = _verified(docs, reps, rest.join(first, ["a", "b"], "left_anti"), width, num, den)
+    discard(*parts)
 
     names = reps.select("node", "rep")
     linked = first.union(second)
