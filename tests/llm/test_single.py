@@ -1,6 +1,7 @@
 """The operators on single rows, and the pipeline."""
 
 import collections
+import functools
 import json
 import random
 import re
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftwork.llm import attribution, html_wrappers, langid, quality, range_coder, token_store
+from weftwork.llm import attribution, html_wrappers, langid, pretokens, quality, range_coder, token_store
 from weftwork.llm.attribution import RULES, allocate, field_tokens, lines, section_tokens
 from weftwork.llm.langid import identify, page_evidence
 from weftwork.llm.mixing import mix
@@ -56,6 +57,60 @@ def test_range_coder_is_small_and_blocks_are_apart():
     assert (left[:16_000] == x[:16_000]).all() and not left[16_000:].any()
 
 
+def test_range_coder_of_sure_and_of_rare_ids():
+    rng = np.random.default_rng(3)
+    parts = [np.full(3000, 7), rng.integers(0, 60_000, 500), np.tile([5, 6], 3000), rng.integers(0, 2**32, 300), np.full(3000, 9), np.arange(70_000)]
+    x = np.concatenate([*parts, *parts[::-1]]).astype(np.uint32)
+    for block in (100, 2048, 200_000):
+        assert (range_coder.decode(range_coder.encode(x, block)) == x).all()
+
+
+def _loop() -> float:
+    """Milliseconds of a loop that takes about one."""
+    times = []
+    for _ in range(15):
+        a = time.process_time()
+        sum(range(50_000))
+        times.append((time.process_time() - a) * 1000)
+    return sorted(times)[7]
+
+
+def test_range_coder_takes_little_time():
+    x = (np.random.default_rng(4).zipf(1.3, 6_000_000) % 50_000).astype(np.uint32)
+    a = time.process_time()
+    for at in range(0, len(x), token_store.SEGMENT_IDS):
+        part = x[at : at + token_store.SEGMENT_IDS]
+        assert (range_coder.decode(range_coder.encode(part)) == part).all()
+    assert (time.process_time() - a) / len(x) * 1e9 < 800 * _loop()
+
+
+@functools.cache
+def _direct() -> Tokenizer:
+    return Tokenizer.from_file(FILE)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.sampled_from("stmdrevl'''A9  .!é×ɏɐ\n\t\r\x1c\x7f\0"), max_size=30), max_size=6))
+def test_pre_tokens_give_the_library_ids(texts):
+    direct = _direct()
+    ids, counts = load(FILE).encode_array(pa.array(texts, pa.string()))
+    expected = [direct.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
+def test_a_table_of_pre_tokens_grows():
+    table, rng = pretokens.Table(4), np.random.default_rng(5)
+    h = np.unique(rng.integers(1, 2**64 - 1, 20_000, dtype=np.uint64))
+    counts = rng.integers(1, 5, len(h))
+    ids = np.arange(counts.sum())
+    ends = np.cumsum(counts)
+    for a in range(0, len(h), 3000):
+        b = min(a + 3000, len(h))
+        table.add(h[a:b], ids[ends[a] - counts[a] : ends[b - 1]], counts[a:b])
+    got, n = table.expand(table.find(h))
+    assert (got == ids).all() and (n == counts).all() and (table.find(h + np.uint64(1)) == -1).all()
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "SEGMENT_IDS", 2000)
     rows = [(7 - i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "null id", ""), (3, "twice", "")]

@@ -7,7 +7,7 @@ handled as 64-bit hashes; that two of them are confused by chance is not conside
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["pow"], _tables["inv"]
 
 
-def relieve() -> None:
-    """Give memory that isn't used any more back to the system, at the end of a task: a waiting worker shares its executor's room."""
+#: What lets go of things that a worker keeps from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
+def relieve(but: Callable[[], None] | None = None) -> None:
+    """Give memory that isn't used any more back to the system, at the end of a task: a waiting worker shares its executor's room.
+    What is kept from task to task goes too, ``but`` for the task's own."""
+    for drop in KEPT:
+        if drop != but:
+            drop()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -18,41 +18,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm import range_coder
-from weftwork.llm.textbatch import chunks
+from weftwork.llm.textbatch import chunks, relieve
 from weftwork.llm.tokens import load
 from weftwork.session import shared_dir
 
-#: A segment is closed at so many ids; a longer document has one of its own.
-SEGMENT_IDS = 1_000_000
+#: A segment is closed at so many ids; a longer document has one of its own. The blocks of one are coded in step, which pays if they are many.
+SEGMENT_IDS = 8_000_000
 _SCHEMA = "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, packed binary"
 
 
 def _pack(path: str, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = load(path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
-        held: list[bytes] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         size, seq = 0, 0
 
         def close() -> pa.RecordBatch:
-            counts = [len(x) // 4 for x in held]
-            packed = range_coder.encode(np.frombuffer(b"".join(held), "<u4"), block)
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([sum(counts)], pa.int64()), pa.array([packed], pa.binary())]
+            n, whole = np.concatenate(counts), np.concatenate(held)
+            held.clear()
+            packed = range_coder.encode(whole, block)
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([packed], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_ids", "counts", "n_ids", "packed"])
 
         for batch in batches:
             for some in chunks(batch):
-                for i, x in zip(some.column("doc_id").to_pylist(), encoder.encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
-                    ids.append(i)
-                    held.append(x + end)
-                    size += len(x) // 4 + 1
+                names = some.column("doc_id").to_pylist()
+                found, n = encoder.encode_array(some.column("text"))
+                ends = np.cumsum(n)
+                found, n = np.insert(found, ends, end_id), n + 1
+                ends = np.cumsum(n)
+                a = 0
+                while a < len(n):
+                    # Up to the document that fills the segment.
+                    before = int(ends[a - 1]) if a else 0
+                    b = min(int(np.searchsorted(ends, before + SEGMENT_IDS - size)) + 1, len(n))
+                    ids += names[a:b]
+                    counts.append(n[a:b])
+                    held.append(found[before : ends[b - 1]])
+                    size += int(ends[b - 1]) - before
+                    a = b
                     if size >= SEGMENT_IDS:
                         yield close()
-                        ids, held, size, seq = [], [], 0, seq + 1
-        encoder.forget()
+                        ids, counts, held, size, seq = [], [], [], 0, seq + 1
         if ids:
             yield close()
+        encoder.rest()
 
     return run
 
@@ -85,13 +97,13 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    relieve()
     for batch in batches:
         for i in range(batch.num_rows):
-            ids = range_coder.decode(batch.column("packed")[i].as_py()).astype("<u4")
+            ids = range_coder.decode(batch.column("packed")[i].as_py()).astype("<u4", copy=False)
             counts = np.array(batch.column("counts")[i].as_py(), np.int64)
             ends = np.cumsum(counts)
-            data = memoryview(ids.tobytes())
-            crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             start = batch.column("start")[i].as_py() + ends - counts
             yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(start), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -103,6 +115,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    relieve()
     for batch in batches:
         for i in range(batch.num_rows):
             ids = range_coder.decode(batch.column("packed")[i].as_py()).astype(np.int64)

@@ -5,6 +5,10 @@ between two characters that aren't white space always starts a new pre-token. Te
 cut there, the library encodes each distinct piece, and the ids of a text are those of its pieces
 in a row: the same ids as the library gives for the whole text. Texts with other uses of spaces, or
 with the string of an added token such as ``<|endoftext|>``, go to the library whole. A task keeps a bounded number of pieces.
+
+Ids alone, without offsets, take a shorter way for texts of Latin letters and ASCII without control characters and added
+tokens: all their pre-tokens are certain (``pretokens``), and the library's model encodes each distinct one. A worker keeps a
+bounded number of these, also from task to task, until one of another kind relieves it.
 """
 
 from __future__ import annotations
@@ -14,8 +18,11 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from weftwork.llm.textbatch import relieve
+from weftwork.llm import pretokens
+from weftwork.llm.textbatch import KEPT, buffers, relieve
 
 #: Pieces kept by a task in each of two generations: those not met again in one of them are forgotten.
 KEEP = 600_000
@@ -26,6 +33,11 @@ _ODD = b"odd"
 _BETWEEN = "\n"
 #: Parts of a piece that are pre-tokens of their own: letters of Latin scripts, digits, marks but for the apostrophe, one line feed.
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@[-`{-~]+|\n(?=\S)")
+#: Pre-tokens kept by a worker, in a table of 2 to this power; if there are more, it begins anew.
+KEEP_TOKENS, _TABLE_BITS = 1_000_000, 21
+#: The characters that stand for bytes in the vocabulary.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = dict(zip([*_PLAIN, *(b for b in range(256) if b not in _PLAIN)], map(chr, [*_PLAIN, *range(256, 512 - len(_PLAIN))]), strict=True))
 
 _loaded: dict[tuple, Encoder] = {}
 
@@ -51,9 +63,14 @@ class Encoder:
 
     def __init__(self, path: str, offsets: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        #: The library's model, for pre-tokens in the vocabulary's alphabet with line feeds between them.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[ord(_BETWEEN)], "isolated")
+        self.table: pretokens.Table | None = None
+        KEPT.append(self._drop)
         #: Strings of added tokens, which the library finds before it splits a text.
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.offsets = offsets
@@ -69,6 +86,14 @@ class Encoder:
         self.inner, self.leading, self.old = {}, {}, ({}, {})
         relieve()
 
+    def rest(self) -> None:
+        """``forget``, but for the table of pre-tokens, which the next task of this kind may use."""
+        self.inner, self.leading, self.old = {}, {}, ({}, {})
+        relieve(but=self._drop)
+
+    def _drop(self) -> None:
+        self.table = None
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         if self.offsets:
             return [np.array([a for a, _ in e.offsets], "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -163,7 +188,61 @@ class Encoder:
                 out[k] = (out[k][0], None)
         return out
 
+    def _learn_tokens(self, h: np.ndarray, words: list[str]) -> None:
+        """Take the ids of new pre-tokens into the table."""
+        blank = np.fromiter(map(str.isspace, words), bool, len(words))
+        some = [w for w, x in zip(words, blank.tolist(), strict=True) if not x]
+        if some:
+            text = f"{_BETWEEN.join(some)}{_BETWEEN}".encode().decode("latin-1").translate(_ALPHABET)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            line = ids == self.line[0]
+            self.table.add(h[~blank], ids[~line], np.diff(np.flatnonzero(line), prepend=-1) - 1)
+        if blank.any():
+            values = [np.frombuffer(v, "<u4") for v in self._direct([w for w, x in zip(words, blank.tolist(), strict=True) if x])]
+            self.table.add(h[blank], np.concatenate(values), np.array([len(v) for v in values]))
+
+    def _plain_ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of plain texts in a row, number of ids of each)."""
+        starts, at = pretokens.cut(data, offs)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        h = pretokens.hashes(data, starts)
+        if self.table is None or self.table.size > KEEP_TOKENS:
+            self.table = pretokens.Table(_TABLE_BITS)
+        numbers = self.table.find(h)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new, where = np.unique(h[missing], return_index=True)
+            raw, where = data.tobytes(), missing[where]
+            ends = np.append(starts[1:], len(data))[where]
+            self._learn_tokens(new, [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends.tolist(), strict=True)])
+            numbers[missing] = self.table.find(h[missing])
+        ids, counts = self.table.expand(numbers)
+        total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[at]
+        return ids, np.diff(total)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each); a null text has none."""
+        data, offs = buffers(texts)
+        plain = pretokens.plain(data, offs)
+        for x in self.added:
+            plain &= ~pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self._plain_ids(data, offs)
+        ids, counts = self._plain_ids(*buffers(texts.filter(pa.array(plain))))
+        others = [np.frombuffer(v, "<u4") for v in self._by_pieces(pc.fill_null(texts, "").filter(pa.array(~plain)).to_pylist())]
+        out = np.zeros(len(plain), np.int64)
+        out[plain], out[~plain] = counts, [len(v) for v in others]
+        parts, others = iter(np.split(ids, np.cumsum(counts)[:-1])), iter(others)
+        return np.concatenate([next(parts) if p else next(others) for p in plain.tolist()]), out
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.offsets or not texts:
+            return self._by_pieces(texts)
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         found = self.pieces(texts)
         whole = iter(self._direct([t for t, (_, f) in zip(texts, found, strict=True) if f is None]))
         return [next(whole) if f is None else b"".join(f) for _, f in found]
