@@ -226,3 +226,44 @@ def test_near_dedupe_keeps_one_copy_of_the_texts(spark, monkeypatch, tmp_path):
     assert sorted(r["external_id"] for r in kept.collect()) == ["a", "c"] and [(r["dropped_id"], r["kept_key"]) for r in drops.collect()] == [("b", "a")]
     texts = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet")) and "body" in spark.read.parquet(str(p)).columns}
     assert texts == {"near-docs"}
+
+
+def test_near_pairs_write_no_row_for_each_shingle(spark, monkeypatch):
+    from weftwork.operators import dedupe as module
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"word{rng.randrange(10**6)}" for _ in range(100))) for i in range(50)]
+    rows += [(100 + i, t + " more") for i, t in rows[:7]]
+    written, store = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, *a: written.append(store(df, *a)) or written[-1])
+    counted = []
+    monkeypatch.setattr(module, "discard", lambda *tables: counted.extend(t.count() for t in tables))
+    got = module.near_pairs(spark.createDataFrame(rows, "id long, body string").repartition(3))
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(i, 100 + i) for i in range(7)]
+    # 57 documents of 98 shingles or more.
+    assert counted and max([*counted, *(t.count() for t in written)]) < 57 * 98 / 2
+
+
+def test_near_pairs_have_the_words_of_the_jvm(spark):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from weftwork.functions.text import shingles, word_count
+    from weftwork.operators import dedupe as module
+    from weftwork.operators import shingle_vectors as vectors
+
+    rng = random.Random(4)
+    pool = [*"aZ_'-7", "\xe9", "\xdf", "İ", "Σ", "ς", "日", "本", "़", "क", "́", "‍", "‌", "‿", "\xb2", "\xbd", "٣", "\U0001d4b3", "\U0001f600", "K", "…"]
+    pool += [*"   \t\n\x1c\x85\xa0", " ", "　", "​", "\U000e0100"]
+    texts = ["", " ", "ab cd ef gh", *("".join(rng.choices(pool, k=rng.randint(1, 120))) for _ in range(400))]
+    d = spark.createDataFrame([(i, True, i, t) for i, t in enumerate(texts)], "id long, new boolean, node long, text string")
+    want = [(sorted(Counter(r["g"]).values()), r["n"]) for r in d.select("id", shingles(F.col("text")).alias("g"), word_count(F.col("text")).alias("n")).orderBy("id").collect()]
+    table, given = vectors.classes(spark), module._prepared(d).orderBy("id").toArrow().combine_chunks().to_batches()[0]
+    of, h, tf = vectors.counts(given.column("text"), 3, table)
+    assert [sorted(tf[of == i].tolist()) for i in range(len(texts))] == [w for w, _ in want] and sum(len(w) for w, _ in want) > 1000
+    assert len(np.unique(h)) == d.select(F.explode(shingles(F.col("text"))).alias("g")).distinct().count()
+    for least in (1, 5, 12):
+        some = pa.concat_tables([pa.Table.from_batches([b]) for b in vectors._long(iter([given]), least, table)])
+        assert some["id"].to_pylist() == [i for i, (_, n) in enumerate(want) if n >= least]
